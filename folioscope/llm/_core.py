@@ -146,6 +146,37 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of ordered, disjoint spans, a bounded stretch of bytes at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + _SEG - 1, "right")))
+        out[at:to] = span_hashes(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
+
+
+def lookup(keys: np.ndarray):
+    """A function from 64-bit hashes to their places in the sorted array `keys`, -1 where absent."""
+    bits = max(16, min(22, int(len(keys) * 16).bit_length()))
+    shift = np.uint64(64 - bits)
+    there = np.zeros(1 << bits, dtype=bool)
+    there[keys >> shift] = True
+
+    def find(h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, dtype=np.int64)
+        if len(keys):
+            some = np.flatnonzero(there[h >> shift])
+            place = np.minimum(np.searchsorted(keys, h[some]), len(keys) - 1)
+            hit = keys[place] == h[some]
+            out[some[hit]] = place[hit]
+        return out
+
+    return find
+
+
 class Words:
     """The words of a list of texts: where each lies in the joined bytes, its hash,
     and `first`, with the words of text i at first[i]:first[i+1]."""
@@ -165,13 +196,7 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
         if hashes:
-            self.hash = np.empty(len(self.starts), dtype=np.uint64)
-            at = 0
-            while at < len(self.starts):  # a bounded stretch of bytes at a time, cut between words
-                low = self.starts[at]
-                to = max(at + 1, int(np.searchsorted(self.ends, low + _SEG - 1, "right")))
-                self.hash[at:to] = span_hashes(data[low : self.ends[to - 1]], self.starts[at:to] - low, self.ends[at:to] - low)
-                at = to
+            self.hash = hash_runs(data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """The text each word lies in."""
@@ -192,3 +217,29 @@ def runs(counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     out = np.arange(total, dtype=np.int64)
     return out - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tuple[list, list]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with new texts: make()(columns of keys, texts) gives the texts as bytes or None
+    (the very object where nothing changed) and, for each row, whether it stays.  Columns, their order and types remain; a
+    column named `length` follows the new text where the text changed."""
+    schema = to_arrow_schema(docs.schema)
+    names = docs.columns
+    at, key_at, long_at = names.index(text), [names.index(k) for k in keys], names.index(length) if length in names else -1
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for part in slices(batch, text):
+                old = part.column(at).cast(pa.binary()).to_pylist()
+                new, keep = work([part.column(i).to_pylist() for i in key_at], old)
+                cols = [c.cast(f.type) for c, f in zip(part.columns, schema)]
+                if any(x is not y for x, y in zip(new, old)):
+                    if long_at >= 0:
+                        held = part.column(long_at).to_pylist()
+                        cols[long_at] = pa.array([h if x is y else len(x.decode("utf-8", "replace")) for h, x, y in zip(held, new, old)], type=schema.field(long_at).type)
+                    cols[at] = pa.array([None if x is None else x.decode("utf-8", "replace") for x in new], type=schema.field(at).type)
+                out = pa.RecordBatch.from_arrays(cols, schema=schema)
+                yield out if all(keep) else out.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

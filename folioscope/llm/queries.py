@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
 from .secret_scan import op2_secret_scan
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
