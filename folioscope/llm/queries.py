@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
