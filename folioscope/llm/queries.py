@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .license_scan import op3_license_scan
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op9_quality_rules": op9_quality_rules,
 }
