@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
 from .license_scan import op3_license_scan
+from .pack import op1_pack
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
+from .token_files import op8_token_files
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_secret_scan": op2_secret_scan,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
