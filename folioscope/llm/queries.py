@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontaminate
+from .language_id import op6_language_id
 from .license_scan import op3_license_scan
 from .pack import op1_pack
 from .quality_rules import op9_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
