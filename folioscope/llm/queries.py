@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op4_decontaminate
 from .language_id import op6_language_id
 from .license_scan import op3_license_scan
+from .lm_score import op10_lm_score
 from .pack import op1_pack
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {}
