@@ -9,6 +9,7 @@ from .lm_score import op10_lm_score
 from .pack import op1_pack
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
+from .shingle_join import op7_shingle_join
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
+    "op7_shingle_join": op7_shingle_join,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
