@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _core
+from .frequency import COUNTS, bucket_bits, dealt, merged
 
 FOLDS, HELD_OUT = 10, 0
 COMMON = 1 << 17
@@ -46,7 +47,6 @@ BLOCK_BYTES = 8 << 20
 MERGE_ENTRIES = 3 << 20
 FLOOR = 0.1  # the base's addition to every count
 
-COUNTS = "bucket int, hashes binary, counts binary"
 MESSAGES = "bucket int, kind int, block long, part int, a binary, b binary, c binary"
 ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 REQUEST, HOME, COUNT = 0, 1, 2
@@ -132,26 +132,6 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def bucket_bits(spark) -> int:
-    return max(6, (2 * _core.shuffle_parts(spark) - 1).bit_length())
-
-
-def dealt(hashes: np.ndarray, bits: int):
-    """Buckets of sorted hashes, each with its range."""
-    edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = np.concatenate([[0], edges, [len(hashes)]])
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), int(edges[k]), int(edges[k + 1])
-
-
-def merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, with their summed counts."""
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, dtype=np.int64)
-    return hashes[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
 def count(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a bucket: the words of the training documents with their counts."""
     bits = bucket_bits(docs.sparkSession)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op4_decontaminate
 from .language_id import op6_language_id
 from .license_scan import op3_license_scan
+from .line_dedup import op5_line_dedup
 from .lm_score import op10_lm_score
 from .pack import op1_pack
 from .quality_rules import op9_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_license_scan": op3_license_scan,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_shingle_join": op7_shingle_join,
     "op8_token_files": op8_token_files,

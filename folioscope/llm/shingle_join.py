@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _core
+from . import _core, frequency
 from .components import components
-from .lm_score import bucket_bits, dealt, merged
+from .frequency import bucket_bits, dealt
 
 WIDTH = 5
 SLOT_BITS = 25
@@ -54,7 +54,7 @@ RARE, FREQUENT = 32, 1024  # documents from which a shingle is frequent, very fr
 GROUP = 32
 SMALL = 16  # bands below this size sign single shingles only
 HELD_BITS = 24
-FLUSH = 2 << 20
+FLUSH_SIGNS = 1 << 19
 
 _EDGES = [-(-(Fraction(5, 4) ** j).numerator // (Fraction(5, 4) ** j).denominator) for j in range(120)]
 _U = np.uint64
@@ -155,8 +155,6 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 MEMBERS = "doc_id long, n_shingles long, class long"
-COUNTS = "bucket int, hashes binary, counts binary"
-LEVELS = "bucket int, levels binary"
 MESSAGES = "bucket int, kind int, a long, b long, x binary, y binary, z binary"
 SIGNED, PROFILE, PAIR, GROUPED = 0, 1, 2, 3
 
@@ -180,55 +178,6 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _core.map_texts(docs, make, MEMBERS, (id_col,), text_col)
 
 
-def levels(plain: DataFrame, bits: int, slot_bits: int) -> np.ndarray:
-    """Two bits a slot, packed four to a byte: the level of the shingles in it."""
-    schema, out_schema, low = _core.arrow_schema(COUNTS), _core.arrow_schema(LEVELS), slot_bits - bits
-
-    def gather(batches):
-        held, counts, seen, waiting = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), set(), []
-
-        def fold():
-            nonlocal held, counts
-            if waiting:
-                h, c = np.unique(np.concatenate(waiting), return_counts=True)
-                waiting.clear()
-                held, counts = merged(np.concatenate([held, h]), np.concatenate([counts, c]))
-
-        def rows():
-            return _batch([(k, ((held[a:b] << _U(bits)) >> _U(32)).astype(np.uint32).tobytes(), np.minimum(counts[a:b], 65535).astype(np.uint16).tobytes()) for k, a, b in dealt(held, bits)], schema)
-
-        for batch in batches:
-            for part in _core.slices(batch, "t"):
-                for s in shingle_sets(part.column(1).to_pylist()):
-                    if len(s) and (c := class_of(s)) not in seen:
-                        seen.add(c)
-                        waiting.append(s)
-                fold()
-                if len(held) > FLUSH:
-                    yield rows()
-                    held, counts = held[:0], counts[:0]
-        yield rows()
-
-    def level(table: pa.Table) -> pa.Table:
-        h, c = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(i).to_pylist()]) for i, kind in ((1, np.uint32), (2, np.uint16)))
-        h, c = merged(h, c.astype(np.int64))
-        some = c > 1
-        slot = np.zeros(1 << low, dtype=np.uint8)
-        np.maximum.at(slot, (h[some] >> np.uint32(32 - low)).astype(np.int64), (1 + (c[some] >= RARE) + (c[some] >= FREQUENT)).astype(np.uint8))
-        return pa.Table.from_batches([_batch([(table.column(0)[0].as_py(), (slot.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(1).astype(np.uint8).tobytes())], out_schema)])
-
-    out = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
-    size = len(out) >> bits
-    for r in plain.mapInArrow(gather, COUNTS).groupBy("bucket").applyInArrow(level, LEVELS).collect():
-        out[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.levels, dtype=np.uint8)  # 2**SLOT_BITS / 4 bytes in all
-    return out
-
-
-def level_of(table: np.ndarray, slot_bits: int, s: np.ndarray) -> np.ndarray:
-    slot = (s >> _U(64 - slot_bits)).astype(np.int64)
-    return (table[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & 3
-
-
 def sign(plain: DataFrame, table: np.ndarray, bits: int, slot_bits: int) -> DataFrame:
     """Messages to buckets: (signature, class, size), and each class's bitmap."""
     schema, held = _core.arrow_schema(MESSAGES), plain.sparkSession.sparkContext.broadcast(table)
@@ -254,10 +203,10 @@ def sign(plain: DataFrame, table: np.ndarray, bits: int, slot_bits: int) -> Data
                 for s in shingle_sets(part.column(1).to_pylist()):
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
-                        found.append((signatures(s, level_of(held.value, slot_bits, s)), c, len(s)))
+                        found.append((signatures(s, frequency.level_of(held.value, slot_bits, s)), c, len(s)))
                         rows.append((c % (1 << bits), PROFILE, c, len(s), parity(s).tobytes(), None, None))
                         total += len(found[-1][0])
-                if total > FLUSH // 4:
+                if total > FLUSH_SIGNS:
                     yield flush()
                     total = 0
         yield flush()
@@ -401,12 +350,23 @@ def apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("l", F.coalesce("label", "c")).select("g", "c", "n", "l").groupBy("g").applyInArrow(cross, "a long, b long")
 
 
+def _distinct_sets():
+    """Of each task, the sets of the classes it has not met."""
+    seen: set[int] = set()
+
+    def hashes(texts: list) -> np.ndarray:
+        new = [s for s in shingle_sets(texts) if len(s) and (c := class_of(s)) not in seen and not seen.add(c)]
+        return np.concatenate([np.empty(0, dtype=np.uint64), *new])
+
+    return hashes
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
     """Per document its class, the size of its set, and its component by the links."""
     bits = min(bucket_bits(docs.sparkSession), slot_bits - 4)
     plain = _texts(docs, id_col, text_col)
     own = _core.materialise(members(docs, id_col, text_col), "members")
-    signed = sign(plain, levels(plain, bits, slot_bits), bits, slot_bits)
+    signed = sign(plain, frequency.levels(plain, _distinct_sets, (2, RARE, FREQUENT), bits, slot_bits), bits, slot_bits)
     found = _core.materialise(candidates(signed, bits), "candidates")
     profiles = found.filter(F.col("kind") == PROFILE).select(F.col("a").alias("c"), F.col("b").alias("n"), "x").dropDuplicates(["c"])
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b").distinct()
