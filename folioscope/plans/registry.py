@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import imaging_queries, page_queries
+
+QUERIES: dict = {**imaging_queries.QUERIES, **page_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**imaging_queries.SQL, **page_queries.SQL}
