@@ -219,7 +219,7 @@ def score(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
             found = [(k, REQUEST, number, k, h[a:b].tobytes(), doc[a:b].tobytes(), log[a:b].tobytes()) for k, a, b in dealt(h, bits)]
             names = np.array([0 if i is None else i for i in ids], dtype=np.int64).tobytes() + bytes(i is None for i in ids)
             split = _core.crc_mod(ids, FOLDS).astype(np.int64).tobytes()
-            found.append((number % (1 << bits), HOME, number, -1, names, split, np.concatenate(home, axis=1).tobytes()))
+            found.append((((number >> 32) * 31 + (number & 0xFFFFFFFF) * 7919) % (1 << bits), HOME, number, -1, names, split, np.concatenate(home, axis=1).tobytes()))
             number += 1
             ids, home, asked, size = [], [], [], 0
             return table(found)
