@@ -26,10 +26,15 @@ PRODUCER = "folioscope"
 
 # ---------------------------------------------------------------- columns
 def text_width(text: Column, size: Column) -> Column:
-    """The natural width of a text: widths by a map over its characters, summed."""
-    widths = F.create_map(*[x for k, v in enumerate(HELVETICA) for x in (F.lit(chr(32 + k)), F.lit(v))])
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0), lambda acc, c: acc + F.coalesce(F.element_at(widths, c), F.lit(500))) * size / 1000
+    """The natural width of a text: its characters counted by width, by what is left without them."""
+    alike: dict[int, str] = {}
+    for k, v in enumerate(HELVETICA):
+        if v != 500:
+            alike[v] = alike.get(v, "") + chr(32 + k)
+    total = F.length(text) * 500
+    for v, chars in alike.items():
+        total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * (v - 500)
+    return total * size / 1000
 
 
 def page_box(w: Column, h: Column, size: str) -> tuple[Column, Column]:
