@@ -49,3 +49,15 @@ def export_text(pages: DataFrame, key: str) -> DataFrame:
 
 def file_name(stamp: Column, number: Column, extension: str) -> Column:
     return F.concat(F.lit("scan-"), F.date_format(stamp, "yyyyMMdd-HHmmss"), F.lit("-p"), number.cast("string"), F.lit(f".{extension}"))
+
+
+def append(pages: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """`new` pages (without ord) after the last one of their collection."""
+    last = pages.groupBy(key).agg(F.max("ord").alias("_last"))
+    placed = new.join(last, key, "left").withColumn("ord", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.row_number().over(W.partitionBy(key).orderBy("id")) - 1)
+    return pages.unionByName(placed.select(*pages.columns))
+
+
+def write_texts(pages: DataFrame, path: str, key: str) -> None:
+    """One text file a collection, in a folder of its own name; Spark's writer reaches any store."""
+    pages.select(F.col(key), "text").repartition(F.col(key)).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)

@@ -37,6 +37,14 @@ def text_width(text: Column, size: Column) -> Column:
     return total * size / 1000
 
 
+def literal_text(text: Column) -> Column:
+    """literal() as a column of characters below 256: one for each byte."""
+    t = F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "??")
+    t = F.regexp_replace(t, "[^\u0000-\u00ff" + "".join(map(chr, WIN_ANSI)) + "]", "?")
+    t = F.regexp_replace(F.translate(t, "".join(map(chr, WIN_ANSI)), "".join(map(chr, WIN_ANSI.values()))), r"[\x00-\x1f]", " ")
+    return F.concat(F.lit("("), F.regexp_replace(t, r"([()\\])", r"\\$1"), F.lit(")"))
+
+
 def page_box(w: Column, h: Column, size: str) -> tuple[Column, Column]:
     """The page in points: a paper size turned to the image, or the image at A4's long edge."""
     if size in SIZES:

@@ -11,10 +11,20 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 WORD = StructType([StructField("text", StringType()), StructField("conf", DoubleType()), *[StructField(k, DoubleType()) for k in ("x0", "y0", "x1", "y1")]])
 RESULT = StructType([StructField("text", StringType()), StructField("confidence", DoubleType()), StructField("words", ArrayType(WORD)), StructField("error", StringType())])
+#: Recognition languages on offer; English comes along, others are fetched.
+LANGUAGES = {
+    "eng": "English", "fra": "French", "deu": "German", "spa": "Spanish", "ita": "Italian", "por": "Portuguese", "nld": "Dutch", "rus": "Russian", "pol": "Polish", "tur": "Turkish", "ara": "Arabic",
+    "hin": "Hindi", "jpn": "Japanese", "kor": "Korean", "chi_sim": "Chinese (simplified)", "chi_tra": "Chinese (traditional)", "osd": "Orientation & script only",
+}
+BUNDLED = ("eng",)
 #: Segmentation modes on offer, the default first.
 SEGMENTATION = (3, 4, 6, 11, 1)
 
 
+def language_table(spark) -> DataFrame:
+    return spark.createDataFrame([(k, v, k in BUNDLED) for k, v in LANGUAGES.items()], "code string, name string, bundled boolean")
+
+
 def tidy(text: Column) -> Column:
     """Three or more line ends become two; white space at the end goes."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n"), r"[\s  -     　﻿]+$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import detect as detector
-from ..operators import geometry, pages, pdf, raster, settings, text
+from ..operators import geometry, pages, pdf, raster, settings, stats, text
 from ..sources import images, views
 from ..streaming import capture
 from .imaging_queries import RASTER
@@ -467,3 +467,80 @@ def key_value_store(spark, d):
     w = W.partitionBy("key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     e = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), "ts", "event_id")
     return e.withColumn("n", F.row_number().over(w)).filter("n = 1").select("key", "value")
+
+
+# ---------------------------------------------------------------- and more
+@query(f"WITH {QUADS}, s AS (SELECT *, id % 3 > 0 AND w * h > 600 * 500 AS still FROM quads) SELECT id, CASE WHEN still THEN w ELSE 600 END::BIGINT AS w, CASE WHEN still THEN h ELSE 500 END::BIGINT AS h, still AS via_still FROM s")
+def grab(spark, d):
+    out = capture.grabbed(F.col("w"), F.col("h"), F.lit(600), F.lit(500), F.col("id") % 3 > 0)
+    return views.quads(spark, d).select("id", *out).withColumns({k: F.col(k).cast("long") for k in "wh"})
+
+
+@query(f"WITH {QUADS} SELECT id, CASE WHEN NOT (id % 3 > 0 AND w * h > 600 * 500) OR x0 > 0.1 THEN CASE WHEN id % 5 > 0 THEN 'live' ELSE 'none' END ELSE CASE WHEN id % 7 > 0 THEN 'shot' ELSE 'none' END END AS outline FROM quads")
+def capture_decision(spark, d):
+    q = views.quads(spark, d)
+    still = capture.grabbed(F.col("w"), F.col("h"), F.lit(600), F.lit(500), F.col("id") % 3 > 0)[2]
+    return q.select("id", capture.outline_source(still, F.col("x0") > 0.1, F.col("id") % 5 > 0, F.col("id") % 7 > 0).alias("outline"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
+ SELECT user_id, event_id FROM e WHERE after IS NULL OR after - t >= 36000 * 1e6""")
+def debounce(spark, d):
+    e = views.table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return capture.settled(e, "user_id", 36000).select("user_id", "event_id")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {k in text.BUNDLED})" for k, v in text.LANGUAGES.items()) + ") AS t(code, name, bundled)")
+def languages(spark, d):
+    return text.language_table(spark)
+
+
+@query(f"WITH {PAGES}, l AS (SELECT session, max(ord) AS last FROM pages_ GROUP BY 1) SELECT session, id, ord FROM pages_ UNION ALL SELECT session, 'new-' || id, last + row_number() OVER (PARTITION BY session ORDER BY id) FROM pages_ JOIN l USING (session) WHERE role = 'user'")
+def append_pages(spark, d):
+    p = views.page_list(spark, d).select("session", "id", "ord")
+    new = views.page_list(spark, d).filter("role = 'user'").select("session", F.concat(F.lit("new-"), "id").alias("id"))
+    return pages.append(p, new, "session")
+
+
+@query(f"WITH {SETTINGS} SELECT id, coalesce(CASE WHEN n % 2 = 0 THEN n * 0.1::DOUBLE END, 65.0::DOUBLE) AS flatten, 1.0::DOUBLE AS gamma, filter FROM settings")
+def settings_defaults(spark, d):
+    p = views.settings(spark, d).withColumn("flatten", F.when(F.col("n") % 2 == 0, F.col("n") * F.lit(0.1)))
+    return settings.with_defaults(p).select("id", "flatten", "gamma", "filter")
+
+
+@query(f"WITH {SETTINGS} SELECT id, straighten BETWEEN -15 AND 15 AND n / 20.0 BETWEEN 0 AND 100 AS valid FROM settings")
+def settings_valid(spark, d):
+    p = views.settings(spark, d).withColumn("flatten", F.col("n") / F.lit(20.0))
+    return p.select("id", settings.in_range(p).alias("valid"))
+
+
+@query(f"""WITH {RASTER}, {QUADS}, j AS (SELECT image_id, v, x0, x1, x2, x3, y0, y1, y2, y3, (x + 0.5) / 8 AS px, (y + 0.5) / 8 AS py FROM raster JOIN quads ON quads.id = image_id + 1),
+ z AS (SELECT image_id, v, """ + ", ".join(_cross(i, (i + 1) % 4, "px", "py") + f" AS s{i}" for i in range(4)) + """ FROM j),
+ h AS (SELECT image_id, v, count(*) AS n FROM z WHERE NOT (greatest(s0, s1, s2, s3) > 0 AND least(s0, s1, s2, s3) < 0) GROUP BY 1, 2),
+ acc AS (SELECT image_id, v, sum(n) OVER (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING) AS a, sum(n) OVER (PARTITION BY image_id) AS t FROM h)
+ SELECT image_id, min(v)::BIGINT AS level FROM acc WHERE a >= t * 0.9::DOUBLE GROUP BY 1""")
+def level_in_outline(spark, d):
+    """The 90 % level of each raster inside an outline."""
+    q = views.quads(spark, d).withColumn("image_id", F.col("id") - 1).drop("id", "w", "h")
+    p = views.raster8(spark, d).join(q, "image_id").filter(geometry.inside((F.col("x") + 0.5) / 8, (F.col("y") + 0.5) / 8))
+    return stats.percentile_level(stats.histogram(p, F.col("v")), 0.9).select("image_id", F.col("level").cast("long").alias("level"))
+
+
+_MARKS = "".join(map(chr, pdf.WIN_ANSI))
+_CODES = "".join(map(chr, pdf.WIN_ANSI.values()))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, replace(left(text, 60), 'e', '(\') || chr(8212) || chr(8364) || chr(9) || chr(26085) || chr(128512) AS s FROM documents),
+ u AS (SELECT doc_id, regexp_replace(regexp_replace(s, '[\x{{10000}}-\x{{10FFFF}}]', '??', 'g'), '[^\x00-\xff{_MARKS}]', '?', 'g') AS s FROM t)
+ SELECT doc_id, '(' || regexp_replace(regexp_replace(translate(s, '{_MARKS}', '{_CODES}'), '[\x00-\x1f]', ' ', 'g'), '([()\\])', '\\\1', 'g') || ')' AS literal FROM u""")
+def pdf_string(spark, d):
+    s = F.concat(F.replace(F.left("text", F.lit(60)), F.lit("e"), F.lit("(\\")), F.lit("—€\t日\U0001f600"))
+    return views.table(spark, d, "documents").select("doc_id", pdf.literal_text(s).alias("literal"))
+
+
+@query()
+def thumbnail(spark, d):
+    """Every raster rendered small and encoded."""
+    none = F.lit(None).cast("array<double>")
+    p = _packed(spark, d).withColumn("corners", none).withColumn("settings", F.lit(None).cast("map<string,string>"))
+    return images.encode_png(raster.render_pages(p, 160)).select("id", "w", "h", "n_bytes")

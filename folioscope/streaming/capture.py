@@ -201,3 +201,25 @@ def still_verdict(match: Column, sw: Column, sh: Column, vw: Column, vh: Column)
     """Whether a still shows the same view as the stream, and is worth taking."""
     same = match >= 0.82
     return [same.alias("same_view"), (same & (sw * sh > vw * vh * F.lit(1.1))).alias("bigger")]
+
+
+def grabbed(still_w: Column, still_h: Column, frame_w: Column, frame_h: Column, wanted: Column) -> list[Column]:
+    """Size and origin of a shot: the still if one is wanted, there, and larger than the frame."""
+    still = F.coalesce(wanted & (still_w * still_h > frame_w * frame_h), F.lit(False))
+    return [F.when(still, still_w).otherwise(frame_w).alias("w"), F.when(still, still_h).otherwise(frame_h).alias("h"), still.alias("via_still")]
+
+
+def outline_source(via_still: Column, same_view: Column, live: Column, detect: Column) -> Column:
+    """Where a shot's outline comes from: the live one if it holds for the shot, else the shot itself."""
+    return F.when(~via_still | same_view, F.when(live, "live").otherwise("none")).otherwise(F.when(detect, "shot").otherwise("none"))
+
+
+def settled(events: DataFrame, key: str, quiet: float) -> DataFrame:
+    """The last event of every burst: none follows within `quiet` seconds."""
+    after = F.lead(F.unix_micros("ts")).over(W.partitionBy(key).orderBy("ts", "event_id"))
+    return events.withColumn("_after", after).filter(F.col("_after").isNull() | (F.col("_after") - F.unix_micros("ts") >= quiet * 1e6)).drop("_after")
+
+
+def settled_stream(events: DataFrame, key: str, quiet: str) -> DataFrame:
+    """The same over a stream with a watermark: the last event of each session window."""
+    return events.groupBy(key, F.session_window("ts", quiet)).agg(F.max(F.struct("ts", "event_id")).alias("e")).select(key, "e.ts", "e.event_id")
