@@ -11,6 +11,7 @@ from .pack import op1_pack
 from .quality_rules import op9_quality_rules
 from .secret_scan import op2_secret_scan
 from .shingle_join import op7_shingle_join
+from .sql import ORACLE_SQL  # noqa: F401
 from .token_files import op8_token_files
 
 QUERIES = {
@@ -25,4 +26,3 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
 }
-ORACLE_SQL: dict[str, str] = {}

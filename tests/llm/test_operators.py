@@ -319,6 +319,26 @@ def test_line_dedup(make_docs):
     assert line_dedup.remove(empty).collect() == [] and line_dedup.remove(empty).columns == empty.columns
 
 
+def test_line_hashes_that_stand_for_different_lines(make_docs, monkeypatch):
+    """A hash known to collide is replaced by a digest of the bytes; the result stays."""
+    rows = line_rows()
+    ranges = lambda df: {(r.doc_id, r.th, r.a, r.b) for r in df.collect()}
+    held = line_dedup._sequence
+    want = ranges(line_dedup.repeated(make_docs(rows), "doc_id", "text"))
+    texts = line_dedup.Lines([(t or "").encode() for _, t in rows])
+    assert want and ranges(line_dedup.repeated(make_docs(rows), "doc_id", "text", collided=frozenset(texts.hash[::3].tolist()))) == want
+    one, two = (line_dedup.Lines([t]) for t in (b"a b\nc d", b"a b\ne f"))
+    two.hash[1] = one.hash[1]
+    assert held(one, 0, 1, frozenset()) == held(two, 0, 1, frozenset())
+    assert held(one, 0, 1, frozenset([int(one.hash[1])])) != held(two, 0, 1, frozenset([int(one.hash[1])]))
+
+
+def test_collisions_are_found(spark):
+    rows = [(1, 5, b"x"), (1, 5, b"y"), (1, -6, b"z"), (1, -6, b"z"), (0, 5, b"w"), (1, -7, b"u"), (1, -7, b"v")]
+    df = spark.createDataFrame([(k, h, bytearray(b)) for k, h, b in rows], "kind int, key long, body binary")
+    assert line_dedup._collisions(df, 6) == {5, (1 << 64) - 7}
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k} of a passage with some words" for k in range(60)]
     a, b = (line_dedup.Lines(["\n".join(x).encode()]) for x in (lines, ["new one", *lines]))
