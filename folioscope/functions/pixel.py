@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,6 +74,3 @@ def size_text(n: Column) -> Column:
         .otherwise(F.concat(whole(mb), F.lit(" MB")))
     )
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return functools.reduce(lambda a, b: a & b, conditions)

@@ -27,8 +27,6 @@ RANGES = {
     "straighten": (-15, 15), "flatten": (0, 100), "temp": (-100, 100), "tint": (-100, 100), "exposure": (-100, 100), "contrast": (-100, 100), "highlights": (-100, 100),
     "shadows": (-100, 100), "saturation": (-100, 100), "vibrance": (-100, 100), "gamma": (0.3, 3), "denoise": (0, 100), "sharpen": (0, 150), "threshold": (-50, 50), "window": (20, 300),
 }
-KEPT = ("rotate", "flipH", "flipV", "straighten", "outSize", "invert")
-GEOMETRY = {"rotate": 0.0, "flipH": False, "flipV": False, "straighten": 0.0}
 
 
 def preset_record(name: str) -> dict:

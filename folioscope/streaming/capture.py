@@ -151,7 +151,7 @@ def quad_easing_stream(readings: DataFrame) -> DataFrame:
         for q in pdf["quad"]:
             held, missed = steadied(held, missed, None if q is None else list(q))
             out.append(held)
-        state.update((held or [], missed))
+        state.update(([float(x) for x in held or []], int(missed)))
         yield pd.DataFrame({"camera": pdf["camera"], "seq": pdf["seq"], "quad": out})
 
     kind = dict(readings.dtypes)["camera"]

@@ -88,6 +88,39 @@ def test_outline_easing():
     assert capture.steadied(held, missed, None)[0] is None
 
 
+def test_streams_of_outlines_and_bursts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("a", k, None if k % 5 == 4 else [k / 100.0] * 8) for k in range(20)]
+    df = spark.createDataFrame(rows, "camera string, seq long, quad array<double>")
+    want = {(r.seq, tuple(r.quad or ())) for r in capture.quad_easing(df).collect()}
+    df.coalesce(1).write.parquet(str(tmp_path / "q"))
+    events = spark.createDataFrame([("k", k, k * 10 + (100 if k > 3 else 0)) for k in range(8)] + [("k", 99, 10_000)], "key string, event_id long, s long").select("key", "event_id", F.timestamp_seconds("s").alias("ts"))
+    last = {r.event_id for r in capture.settled(events, "key", 60).collect()}
+    assert last == {3, 7, 99}
+    events.coalesce(1).write.parquet(str(tmp_path / "e"))
+    streams = {
+        "quads": (capture.quad_easing_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "q"))), lambda r: (r.seq, tuple(r.quad or ()))),
+        "bursts": (capture.settled_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "e")).withWatermark("ts", "1 second"), "key", "60 seconds"), lambda r: r.event_id),
+    }
+    got = {}
+    for name, (stream, key) in streams.items():
+        stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        got[name] = {key(r) for r in spark.table(name).collect()}
+    assert got["quads"] == want
+    assert got["bursts"] == {3, 7}  # the last window stays open
+
+
+def test_text_files(spark, tmp_path):
+    from folioscope.operators import pages as collections
+
+    df = spark.createDataFrame([("a", 0, "one"), ("a", 1, "two"), ("b", 0, " ")], "session string, ord int, text string")
+    out = collections.export_text(df, "session")
+    assert {r.session: r.text for r in out.collect()} == {"a": "── page 1 ──\none\n\n── page 2 ──\ntwo", "b": None}
+    collections.write_texts(out.filter("text is not null"), str(tmp_path / "t"), "session")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t" / "session=a"), wholetext=True).collect()] == ["── page 1 ──\none\n\n── page 2 ──\ntwo\n"]
+
+
 def test_auto_expose():
     knob = {"min": -4.0, "max": 4.0, "step": 0.1, "value": 0.0}
     out = capture.auto_expose(knob, lambda v: 120 + 30 * v)
