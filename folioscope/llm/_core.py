@@ -47,8 +47,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     here, and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

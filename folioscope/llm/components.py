@@ -18,48 +18,61 @@ LINKS = "a long, b long"
 FOREST_NODES = 1 << 18
 
 
-def _forest(batches):
-    """Links of a task as stars around the least node of each tree; memory is bounded
-    by giving out the stars whenever FOREST_NODES nodes are held."""
-    parent: dict[int, int] = {}
+class Forest:
+    """What a task knows of components: links come in, stars around least nodes go out."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
         return x
 
-    def stars():
-        rows = [(x, r) for x in parent if (r := root(x)) != x]
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+    def stars(self) -> pa.RecordBatch:
+        rows = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
+        self.parent.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        if len(parent) > FOREST_NODES:
-            yield stars()
-            parent.clear()
-    if parent:
-        yield stars()
+
+def spanning(pairs):
+    """Stars that span the pairs, given out whenever FOREST_NODES nodes are held."""
+    forest = Forest()
+    for a, b in pairs:
+        forest.join(a, b)
+        if len(forest.parent) > FOREST_NODES:
+            yield forest.stars()
+    yield forest.stars()
+
+
+def _forest(batches):
+    return spanning(x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for every node of links (a, b): label is the least node reachable."""
+    """(node, label) for every node of links (a, b), written: label is the least node reachable."""
     links = _core.materialise(links.mapInArrow(_forest, LINKS), "links")
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node"))
+    labels = _core.materialise(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node")), "labels")
     while not links.isEmpty():
-        hooks = _core.materialise(links.groupBy(F.greatest("a", "b").alias("c")).agg(F.min(F.least("a", "b")).alias("p")), "hooks")
-        while True:  # until every hook ends at a label that hooks onto none
+        hooks = _core.materialise(links.groupBy(F.greatest("a", "b").alias("c")).agg(F.min(F.least("a", "b")).alias("p"), F.lit(True).alias("moved")), "hooks")
+        while not hooks.filter("moved").isEmpty():  # until every hook ends at a label that hooks onto none
             up = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
             new = _core.materialise(hooks.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "hooks")
-            hooks = new.select("c", "p")
-            if new.filter("moved").isEmpty():
-                break
-        labels = _core.materialise(labels.join(hooks, labels.label == hooks.c, "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            _core.discard(hooks)
+            hooks = new
+        ends = hooks.drop("moved")
+        moved = _core.materialise(labels.join(ends, labels.label == ends.c, "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        left = links
         for end in ("a", "b"):
-            links = links.join(hooks.withColumnRenamed("c", end), end, "left").withColumn(end, F.coalesce("p", end)).drop("p")
-        links = _core.materialise(links.filter("a != b").select("a", "b").mapInArrow(_forest, LINKS).distinct(), "links")
+            left = left.join(ends.withColumnRenamed("c", end), end, "left").withColumn(end, F.coalesce("p", end)).drop("p")
+        left = _core.materialise(left.filter("a != b").select("a", "b").mapInArrow(_forest, LINKS).distinct(), "links")
+        _core.discard(labels, links, hooks)
+        labels, links = moved, left
+    _core.discard(links)
     return labels

@@ -7,12 +7,14 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _core
 
 COUNTS = "bucket int, hashes binary, counts binary"
 LEVELS = "bucket int, levels binary"
 HELD_HASHES = 2 << 20
+HELD_BITS = 24
 _U = np.uint64
 
 
@@ -78,3 +80,42 @@ def levels(plain: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], l
 def level_of(table: np.ndarray, slot_bits: int, hashes: np.ndarray) -> np.ndarray:
     slot = (hashes >> _U(64 - slot_bits)).astype(np.int64)
     return (table[slot >> 2] >> ((slot & 3) * 2).astype(np.uint8)) & 3
+
+
+def held_bits(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2**HELD_BITS bits in which every value of a long column has its bit."""
+    ddl = "part int, x binary"
+    schema, low = _core.arrow_schema(ddl), HELD_BITS - 9
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << low, dtype=np.uint8)
+        bits[table.column("slot").to_numpy() & ((1 << low) - 1)] = 1
+        return pa.table([pa.array([x], type=f.type) for x, f in zip((table.column("part")[0].as_py(), np.packbits(bits).tobytes()), schema)], schema=schema)
+
+    slots = values.select(F.pmod(column, F.lit(1 << HELD_BITS)).cast("int").alias("slot")).distinct()
+    out = np.zeros(1 << (HELD_BITS - 3), dtype=np.uint8)
+    size = 1 << (low - 3)
+    for r in slots.withColumn("part", F.shiftright("slot", low)).groupBy("part").applyInArrow(run, ddl).collect():  # 2**HELD_BITS / 8 bytes at most
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.x, dtype=np.uint8)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value has its bit; also some that held_bits was not given."""
+    slot = values.astype(np.int64) & ((1 << HELD_BITS) - 1)
+    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def split_by_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows whose long `column` has no bit, and those that may be among the values it was made of."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                there = has_bit(held.value, batch.column(batch.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(there == wanted))
+
+        return df.mapInArrow(run, df.schema)
+
+    return part(False), part(True)

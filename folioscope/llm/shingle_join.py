@@ -20,10 +20,10 @@ its own band and the next, as a partner is at most 5/4 as large.
 
 Candidates: classes that share a signature.  A signature of less than GROUP classes
 gives the pairs whose sizes allow a link.  In a larger one, each class is first paired
-with the least class and its neighbour; after components are known, pairs of classes
-that still lie apart follow, so no link is lost.  Parity bitmaps, whose distance
-never exceeds the symmetric difference, discard most pairs; exact intersection
-of the sets decides the rest.
+with the least class and its neighbour; after components are known, classes that
+still lie apart meet in blocks (settle), so no link is lost.  Parity bitmaps, whose
+distance never exceeds the symmetric difference, discard most pairs; exact
+intersection of the sets decides the rest.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lowered, taken by 64-bit hashes.
 
@@ -45,15 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _core, frequency
-from .components import components
+from .components import components, spanning
 from .frequency import bucket_bits, dealt
 
 WIDTH = 5
 SLOT_BITS = 25
 RARE, FREQUENT = 32, 1024  # documents from which a shingle is frequent, very frequent
 GROUP = 32
+BLOCK = 512  # classes of a cluster that meet as many others in one task
 SMALL = 16  # bands below this size sign single shingles only
-HELD_BITS = 24
 FLUSH_SIGNS = 1 << 19
 
 _EDGES = [-(-(Fraction(5, 4) ** j).numerator // (Fraction(5, 4) ** j).denominator) for j in range(120)]
@@ -278,76 +278,120 @@ def _sets_meet(n, x, m, y) -> bool:
     return linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))
 
 
-def held_classes(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of 2**HELD_BITS bits in which every class of pairs has its bit."""
-    ddl = "part int, x binary"
-    schema, low = _core.arrow_schema(ddl), HELD_BITS - 9
-
-    def run(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << low, dtype=np.uint8)
-        bits[table.column("slot").to_numpy() & ((1 << low) - 1)] = 1
-        return pa.Table.from_batches([_batch([(table.column("part")[0].as_py(), np.packbits(bits).tobytes())], schema)])
-
-    slots = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).select(F.pmod("c", F.lit(1 << HELD_BITS)).cast("int").alias("slot")).distinct()
-    out = np.zeros(1 << (HELD_BITS - 3), dtype=np.uint8)
-    size = 1 << (low - 3)
-    for r in slots.withColumn("part", F.shiftright("slot", low)).groupBy("part").applyInArrow(run, ddl).collect():  # 2**HELD_BITS / 8 bytes at most
-        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.x, dtype=np.uint8)
-    return out
-
-
-def verify(pairs: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame:
-    """The pairs that link, written."""
-    some = _core.materialise(both_sides(pairs, profiles, _bitmaps_meet), "pairs")
-    held = plain.sparkSession.sparkContext.broadcast(held_classes(some))
+def sets_of(plain: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, n, x): the sets of the classes in column c of `classes`, and a few others; written."""
+    held = plain.sparkSession.sparkContext.broadcast(frequency.held_bits(classes, "c"))
     schema = _core.arrow_schema("c long, n long, x binary")
 
     def run(batches):
         seen = set()
         for batch in batches:
             for part in _core.slices(batch, "t"):
+                sets = [s for s in shingle_sets(part.column(1).to_pylist()) if len(s)]
+                names = np.array([class_of(s) for s in sets], dtype=np.int64)
                 rows = []
-                for s in shingle_sets(part.column(1).to_pylist()):
-                    if not len(s):
-                        continue
-                    c = class_of(s)
-                    slot = c % (1 << HELD_BITS)
-                    if held.value[slot >> 3] >> (7 - (slot & 7)) & 1 and c not in seen:
+                for k in np.flatnonzero(frequency.has_bit(held.value, names)).tolist():
+                    if (c := int(names[k])) not in seen:
                         seen.add(c)
-                        rows.append((c, len(s), s.tobytes()))
+                        rows.append((c, len(sets[k]), sets[k].tobytes()))
                 if rows:
                     yield _batch(rows, schema)
 
-    sets = _core.materialise(plain.mapInArrow(run, "c long, n long, x binary").groupBy("c", "n").agg(F.first("x").alias("x")), "sets")
-    return _core.materialise(both_sides(some, sets, _sets_meet), "links")
+    return _core.materialise(plain.mapInArrow(run, "c long, n long, x binary").groupBy("c", "n").agg(F.first("x").alias("x")), "sets")
 
 
-def apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of larger groups, the pairs of classes whose components still differ."""
-    ddl = "g long, c long, n long"
-    schema, out_schema = _core.arrow_schema(ddl), _core.arrow_schema("a long, b long")
-
-    def spread(batches):
-        for batch in batches:
-            for g, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                c, n = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), g)), pa.array(c), pa.array(n.astype(np.int64))], schema=schema)
-
-    def cross(table: pa.Table) -> pa.Table:
-        c, n, l = (table.column(k).to_numpy() for k in ("c", "n", "l"))
-        out = []
-        if len(np.unique(l)) > 1:
-            order = np.argsort(n, kind="stable")
-            c, n, l = c[order], n[order], l[order]
-            for i in range(len(c)):
-                to = int(np.searchsorted(n, 5 * n[i] // 4, "right"))
-                other = c[i + 1 : to][l[i + 1 : to] != l[i]]
-                out.append(np.stack([np.minimum(other, c[i]), np.maximum(other, c[i])], axis=1))
-        pairs = np.concatenate([np.empty((0, 2), dtype=np.int64), *out])
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out_schema)
-
-    rows = groups.mapInArrow(spread, ddl).join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
-    return rows.withColumn("l", F.coalesce("label", "c")).select("g", "c", "n", "l").groupBy("g").applyInArrow(cross, "a long, b long")
+def verify(pairs: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame:
+    """The pairs that link, written."""
+    some = _core.materialise(both_sides(pairs, profiles, _bitmaps_meet), "pairs")
+    sets = sets_of(plain, some.select(F.col("a").alias("c")).union(some.select("b")))
+    links = _core.materialise(both_sides(some, sets, _sets_meet), "links")
+    _core.discard(some, sets)
+    return links
+
+
+class _Bitmaps:
+    """Bitmaps of several sizes, compared with one at a time."""
+
+    def __init__(self, maps: list[bytes], n: np.ndarray):
+        size = np.array([len(x) for x in maps])
+        self.n, self.by_size = n, {int(k): np.flatnonzero(size == k) for k in np.unique(size)}
+        self.held = {(k, k): np.stack([np.frombuffer(maps[i], dtype=np.uint64) for i in at]) for k, at in self.by_size.items()}
+
+    def near(self, n: int, x: np.ndarray) -> np.ndarray:
+        """Places whose sizes and bitmaps allow a link with (n, x), nearest first."""
+        found, gaps = [], []
+        for k, at in self.by_size.items():
+            to = min(k, 8 * len(x))
+            if (k, to) not in self.held:
+                self.held[k, to] = np.bitwise_xor.reduce(self.held[k, k].reshape(len(at), -1, to // 8), axis=1)
+            y = np.bitwise_xor.reduce(x.reshape(-1, to // 8), axis=0)
+            fits = np.flatnonzero(_near(self.n[at], np.int64(n)))
+            gap = np.bitwise_count(self.held[k, to][fits] ^ y).sum(1, dtype=np.int64)
+            good = 9 * gap <= self.n[at[fits]] + n
+            found.append(at[fits[good]])
+            gaps.append(gap[good])
+        found, gaps = np.concatenate(found), np.concatenate(gaps)
+        return found[np.argsort(gaps, kind="stable")]
+
+
+MEETING = "w long, i int, j int, side int, c long, n long, x binary, s binary, l long"
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The classes of side 1 against those of side 0: links that join components, once each."""
+    side = table.column("side").to_numpy()
+    (c, n, x, s, l), (c1, n1, x1, s1, l1) = ([part.column(k).to_pylist() for k in ("c", "n", "x", "s", "l")] for part in (table.filter(pa.array(side == k)) for k in (0, 1)))
+    out, parent = [], {}
+
+    def root(v: int) -> int:
+        while (p := parent.get(v, v)) != v:
+            v = p
+        return v
+
+    if c and c1:
+        maps, label = _Bitmaps(x, np.array(n, dtype=np.int64)), np.array(l)
+        for ci, ni, xi, si, li in zip(c1, n1, x1, s1, l1):
+            mine = np.frombuffer(si, dtype=np.uint64)
+            near = maps.near(ni, np.frombuffer(xi, dtype=np.uint64))
+            for k in near[label[near] != li].tolist():
+                a, b = root(li), root(l[k])
+                if a != b and linked(mine, np.frombuffer(s[k], dtype=np.uint64)):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ci, c[k]))
+    return pa.table([pa.array([r[i] for r in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame | None:
+    """Links still missing between classes of larger groups, None if there can be none.
+
+    Groups that share classes are taken together, so no pair meets twice.  Of such a
+    cluster, the classes outside its largest component meet all its classes, in blocks
+    of BLOCK by BLOCK; of what meets, only links that join components are given out."""
+
+    def stars(batches):
+        groups_ = (np.frombuffer(x, dtype=np.int64).tolist() for batch in batches for x in batch.column(0).to_pylist())
+        return spanning((c[0], x) for c in groups_ for x in c[1:])
+
+    clusters = components(groups.select("x").mapInArrow(stars, "a long, b long"))
+    own = clusters.select(F.col("node").alias("c"), F.col("label").alias("w")).join(profiles, "c").join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
+    own = _core.materialise(own.select("w", "c", "n", "x", F.coalesce("label", "c").alias("l")), "clusters")
+    sizes = own.groupBy("w", "l").agg(F.count("*").alias("k")).groupBy("w").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("l", F.struct("k", "l")).alias("main"))
+    left = _core.materialise(own.join(sizes.filter("total > most"), "w"), "clusters")
+    _core.discard(clusters, own)
+    if left.isEmpty():
+        _core.discard(left)
+        return None
+    sets = sets_of(plain, left.select("c"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = left.join(sets.select("c", F.col("x").alias("s")), "c").withColumn("of", blocks(F.col("total"))).withColumn("against", blocks(F.col("total") - F.col("most")))
+    block = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = [x.split()[0] for x in MEETING.split(", ")]
+    one = rows.withColumn("i", block("of")).withColumn("j", each("against")).withColumn("side", F.lit(0)).select(*names)
+    other = rows.filter("l != main").withColumn("j", block("against")).withColumn("i", each("of")).withColumn("side", F.lit(1)).select(*names)
+    links = _core.materialise(one.union(other).groupBy("w", "i", "j").applyInArrow(_meet, "a long, b long"), "links")
+    _core.discard(left, sets)
+    return links
 
 
 def _distinct_sets():
@@ -372,11 +416,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_b
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b").distinct()
     links = verify(pairs, profiles, plain)
     labels = components(links)
-    groups = found.filter(F.col("kind") == GROUPED).select(F.xxhash64("x").alias("g"), "x", "y").dropDuplicates(["g"])
-    if not groups.isEmpty():
-        rest = _core.materialise(apart(groups.select("g", "x", "y"), labels).distinct().join(pairs, ["a", "b"], "left_anti"), "apart")
-        if not rest.isEmpty():
-            labels = components(links.union(verify(rest, profiles, plain)))
+    groups = found.filter(F.col("kind") == GROUPED).select(F.xxhash64("x").alias("g"), "x").dropDuplicates(["g"])
+    more = None if groups.isEmpty() else settle(groups, labels, profiles, plain)
+    if more is not None:
+        _core.discard(labels)
+        labels = components(links.union(more))
+        _core.discard(more)
+    _core.discard(found, links)
     classes = own.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("m"))
     classes = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     names = classes.groupBy("label").agg(F.min("m").alias("component_id"))
@@ -387,10 +433,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_b
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least id; documents
-    without words and those without an id stay."""
+    without words and those without an id stay.  Only documents that may go, by a bitmap
+    of the ids, are shuffled."""
     found = join(docs, id_col, text_col)
-    gone = found.filter((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = _core.materialise(found.filter((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    stay, rest = frequency.split_by_bits(docs, id_col, frequency.held_bits(gone, id_col))
+    return stay.unionByName(rest.join(gone, id_col, "left_anti").select(*docs.columns))
 
 
 def op7_shingle_join(spark, sf_dir) -> DataFrame:
