@@ -7,10 +7,12 @@ division cuts through some passages, so several, each with its own window and
 divisor, are made side by side.  A chunk counts if it has at least two lines and
 min_words words.
 
-Chunks are counted over all documents by hash, in a table of fixed size; of those
-that may repeat, tasks send the bytes, once for each chunk they hold, and equal
-bytes decide.  The first occurrence, by document id and line, stays; the lines of
-all others go.
+Chunks are counted over all documents by hash, in a table of fixed size; those that
+may repeat are compared by the hashes of all their lines.  Tasks send the bytes of
+these lines, each once, to be compared with other tasks' lines of equal hash; a hash
+that stands for different bytes is replaced by a digest of the bytes, so equal
+chunks have equal bytes.  The first occurrence, by document id and line, stays; the
+lines of all others go.
 
 Cases: a null text stays null, an empty one empty; rows of one id and one text are
 the same document and lose the same lines; a null id sorts first; documents without
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +36,11 @@ from . import _core, frequency
 DIVISIONS = ((1, 2), (1, 3), (2, 2), (2, 3), (2, 5))
 MIN_LINES, MIN_WORDS = 2, 10
 SLOT_BITS = 25
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 6 << 20
 
-CHUNKS = "key long, chunk binary, doc long, th long, a long, n long, places binary"
+CHUNKS = "kind int, flush long, v long, key long, body binary, doc long, th long, a long, n long, places binary"
+VERDICTS = "flush long, v long, doc long, th long, a long"
+CHUNK, LINE = 0, 1
 GONE = "doc_id long, th long, a long, b long"
 
 
@@ -79,48 +84,104 @@ def _hashes():
     return run
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """The line ranges a..b of documents, by id and hash of the text, that repeat an earlier one."""
-    spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("th")).filter("t is not null")
-    bits = min(frequency.bucket_bits(spark), slot_bits - 4)
-    held = spark.sparkContext.broadcast(frequency.levels(plain.select("i", "t"), _hashes, (2, 1 << 62, 1 << 62), bits, slot_bits))
-    schema, gone_schema = _core.arrow_schema(CHUNKS), _core.arrow_schema(GONE)
+def _sequence(lines: Lines, x: int, y: int, collided: frozenset) -> bytes:
+    """What stands for the bytes of lines x..y: their hashes, or digests where a hash is not enough."""
+    hashes = lines.hash[x : y + 1]
+    if not collided or not any(h in collided for h in hashes.tolist()):
+        return hashes.tobytes()
+    body = lambda k: lines.raw[lines.starts[k] : lines.ends[k]]
+    return b"".join(bytes(8) + hashlib.sha256(body(k)).digest() if int(lines.hash[k]) in collided else lines.hash[k].tobytes() for k in range(x, y + 1))
+
+
+def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: frozenset) -> DataFrame:
+    """Chunks that may repeat, one row a flush and chunk with all its places there, and their
+    lines, one row a flush and line."""
+    schema, held = _core.arrow_schema(CHUNKS), plain.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        """Chunks that may repeat; equal bytes of a task go once, with all their places."""
-        found, size = {}, 0
+        found, bodies, size, number = {}, {}, 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
         def flush():
-            nonlocal size
+            nonlocal size, number
             rows = []
-            for (key, chunk), places in found.items():
+            for v, ((key, body), places) in enumerate(found.items()):
                 doc, th, a, _ = min(places, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
                 flat = np.array([[0 if d is None else d, d is None, t, x, y] for d, t, x, y in places], dtype=np.int64)
-                rows.append((key, chunk, doc, th, a, len({(d, t, x) for d, t, x, _ in places}), flat.tobytes()))
+                rows.append((CHUNK, number, v, key, body, doc, th, a, len({(d, t, x) for d, t, x, _ in places}), flat.tobytes()))
+            rows += [(LINE, number, None, h, body, None, None, None, None, None) for h, body in bodies]
             found.clear()
-            size = 0
+            bodies.clear()
+            size, number = 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             for part in _core.slices(batch, "t"):
                 ids, texts, hashes = (part.column(i).to_pylist() for i in range(3))
                 lines = Lines(texts)
+                used = np.zeros(len(lines.hash) + 1, dtype=np.int64)
                 for keys, first, last in lines.chunks():
                     some = np.flatnonzero(frequency.level_of(held.value, slot_bits, keys))
+                    np.add.at(used, first[some], 1)
+                    np.add.at(used, last[some] + 1, -1)
                     for key, x, y in zip(keys[some].astype(np.int64).tolist(), first[some].tolist(), last[some].tolist()):
-                        chunk, doc = lines.raw[lines.starts[x] : lines.ends[y]], lines.doc[x]
-                        size += 64 + (len(chunk) if (key, chunk) not in found else 0)
-                        found.setdefault((key, chunk), []).append((ids[doc], hashes[doc], int(lines.number[x]), int(lines.number[y])))
+                        doc, body = lines.doc[x], _sequence(lines, x, y, collided)
+                        size += 64 + len(body)
+                        found.setdefault((key, body), []).append((ids[doc], hashes[doc], int(lines.number[x]), int(lines.number[y])))
+                for k in np.flatnonzero(np.cumsum(used[:-1])).tolist():
+                    body = lines.raw[lines.starts[k] : lines.ends[k]]
+                    if (line := (int(lines.hash[k].astype(np.int64)), body)) not in bodies:
+                        bodies[line] = None
+                        size += 64 + len(body)
                 if size > FLUSH_BYTES:
                     yield flush()
         yield flush()
 
-    chunks = _core.materialise(plain.mapInArrow(run, CHUNKS), "chunks")
-    # one row a task and chunk, however often it occurs; a chunk of several divisions is one chunk
-    firsts = chunks.groupBy("key", "chunk").agg(F.min(F.struct("doc", "th", "a")).alias("f"), F.sum("n").alias("total")).filter("total > 1")
-    firsts = firsts.select(F.col("key").alias("k2"), F.col("chunk").alias("c2"), F.col("f.doc").alias("f1"), F.col("f.th").alias("f2"), F.col("f.a").alias("f3"))
-    met = chunks.join(firsts, (F.col("key") == F.col("k2")) & (F.col("chunk") == F.col("c2"))).select("f1", "f2", "f3", "places")
+    return _core.materialise(plain.mapInArrow(run, CHUNKS), "chunks")
+
+
+def _collisions(rows: DataFrame, bits: int) -> frozenset:
+    """Hashes that stand for lines of different bytes.  Of n lines n*n / 2**65 are expected:
+    none, in practice."""
+    schema = _core.arrow_schema("key long")
+
+    def compare(table: pa.Table) -> pa.Table:
+        seen: dict[int, bytes] = {}
+        out = {key for key, body in zip(table.column("key").to_pylist(), table.column("body").to_pylist()) if seen.setdefault(key, body) != body}
+        return pa.table([pa.array(sorted(out), type=pa.int64())], schema=schema)
+
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
+    found = rows.filter(F.col("kind") == LINE).select(bucket, "key", "body").groupBy("bucket").applyInArrow(compare, "key long").collect()
+    return frozenset(r.key & (1 << 64) - 1 for r in found)
+
+
+def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_BITS, collided: frozenset = frozenset()) -> DataFrame:
+    """The line ranges a..b of documents, by id and hash of the text, that repeat an earlier one."""
+    plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("th")).filter("t is not null")
+    bits = min(frequency.bucket_bits(docs.sparkSession), slot_bits - 4)
+    table = frequency.levels(plain.select("i", "t"), _hashes, (2, 1 << 62, 1 << 62), bits, slot_bits)
+    verdict_schema, gone_schema = (_core.arrow_schema(x) for x in (VERDICTS, GONE))
+
+    def judge(table: pa.Table) -> pa.Table:
+        """One bucket of chunks: the first occurrence of each that is found more than once."""
+        met: dict[tuple, list] = {}
+        for flush, v, key, body, doc, th, a, n in zip(*(table.column(k).to_pylist() for k in ("flush", "v", "key", "body", "doc", "th", "a", "n"))):
+            met.setdefault((key, body), []).append((doc is not None, doc or 0, th, a, flush, v, n))
+        out = []
+        for rows in met.values():
+            if len(rows) > 1 or rows[0][-1] > 1:
+                real, doc, th, a, *_ = min(rows)
+                out += [(flush, v, doc if real else None, th, a) for *_, flush, v, _ in rows]
+        return pa.table([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(verdict_schema)], schema=verdict_schema)
+
+    rows = _chunk_rows(plain, table, slot_bits, collided)
+    if more := _collisions(rows, bits) - collided:
+        _core.discard(rows)
+        rows = _chunk_rows(plain, table, slot_bits, collided | more)
+    # a bucket gets one row a flush and chunk, however often that occurs; its places stay behind
+    chunks = rows.filter(F.col("kind") == CHUNK)
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
+    verdicts = chunks.select(bucket, "flush", "v", "key", "body", "doc", "th", "a", "n").groupBy("bucket").applyInArrow(judge, VERDICTS)
+    met = chunks.select("flush", "v", "places").join(verdicts, ["flush", "v"]).select("doc", "th", "a", "places")
 
     def others(batches):
         for batch in batches:
@@ -132,7 +193,9 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
                         out.append((d, t, x, y))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(gone_schema)], schema=gone_schema)
 
-    return met.mapInArrow(others, GONE)
+    out = met.mapInArrow(others, GONE)
+    out.chunks = rows  # written, and read when `out` runs
+    return out
 
 
 def drop_lines(text: bytes, ranges: list) -> tuple[bytes, int]:
@@ -144,11 +207,16 @@ def drop_lines(text: bytes, ranges: list) -> tuple[bytes, int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the ranges that go from each, by id and text."""
-    gone = repeated(docs, id_col, text_col).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__h")
-    marked = docs.withColumn("__th", F.xxhash64(text_col))
-    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__th"] == gone["__h"]), "left").drop("__id", "__h", "__th")
+    """docs with the ranges that go from each, by id and text.  Only documents that may
+    lose lines, by a bitmap of the texts' hashes, are shuffled to meet their ranges."""
+    ranges = "array<struct<a:bigint,b:bigint>>"
+    found = repeated(docs, id_col, text_col)
+    gone = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).cast(ranges).alias("__gone"))
+    gone = _core.materialise(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__h"), "gone")
+    _core.discard(found.chunks)
+    clean, hit = frequency.split_by_bits(docs.withColumn("__th", F.xxhash64(text_col)), "__th", frequency.held_bits(gone, "__h"))
+    hit = hit.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").drop("__id", "__h", "__th")
+    return clean.drop("__th").withColumn("__gone", F.lit(None).cast(ranges)).unionByName(hit)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +253,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    return _core.map_texts(_marked(docs, id_col, text_col), make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", (id_col, "__gone"), text_col)
+    return _core.map_texts(_marked(docs.select(id_col, text_col), id_col, text_col), make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", (id_col, "__gone"), text_col)
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:
