@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- tables

@@ -231,7 +231,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
 
         return work
 
-    return _core.map_texts(docs, make, "doc_id long, held_out boolean, lang_pred string, score double", (id_col,), text_col, 4 << 20)
+    return _core.map_texts(docs, make, "doc_id long, held_out boolean, lang_pred string, score double", (id_col,), text_col)
 
 
 def keep_known(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.0) -> DataFrame:

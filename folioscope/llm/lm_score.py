@@ -44,7 +44,7 @@ COMMON = 1 << 17
 BYTE_SHARE = 1e-4
 END_SHARE = 2e-3
 BLOCK_BYTES = 8 << 20
-MERGE_ENTRIES = 3 << 20
+MERGE_ENTRIES = 1 << 20
 FLOOR = 0.1  # the base's addition to every count
 
 MESSAGES = "bucket int, kind int, block long, part int, a binary, b binary, c binary"

@@ -22,8 +22,8 @@ _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80
 #: One of these is in every text with such white space.
 _ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 #: Chunks held by a worker before it starts anew; a bound on memory, not on results.
-HELD_CHUNKS = 2_000_000
-HELD_IDS = 16_000_000
+HELD_CHUNKS = 1_000_000
+HELD_IDS = 6_000_000
 
 
 class Encoder:
