@@ -5,7 +5,7 @@ chunk begins where it is divisible by a small number.  Where a chunk begins thus
 depends only on the lines around it: text put in before it does not move it.  One
 division cuts through some passages, so several, each with its own window and
 divisor, are made side by side.  A chunk counts if it has at least two lines and
-min_words words.
+min_words words; a line of LONG_LINE words or more counts by itself, too.
 
 Chunks are counted over all documents by hash, in a table of fixed size; those that
 may repeat are compared by the hashes of all their lines.  Tasks send the bytes of
@@ -16,7 +16,9 @@ lines of all others go.
 
 Cases: a null text stays null, an empty one empty; rows of one id and one text are
 the same document and lose the same lines; a null id sorts first; documents without
-a repeated chunk keep their text, those of which no word is left go; a text may have
+a repeated chunk keep their text, those of which no word is left go; a text whose only
+line with words is a long one stays where the first occurrence is the same whole text
+(a copy of a document, left to the join of near duplicates); a text may have
 any number of lines; an empty table gives an empty result.
 """
 
@@ -35,6 +37,8 @@ from . import _core, frequency
 #: (lines under the rolling hash, divisor) of each division
 DIVISIONS = ((1, 2), (1, 3), (2, 2), (2, 3), (2, 5))
 MIN_LINES, MIN_WORDS = 2, 10
+#: words from which a single line counts
+LONG_LINE = 50
 SLOT_BITS = 25
 FLUSH_BYTES = 6 << 20
 
@@ -59,6 +63,10 @@ class Lines:
         self.starts, self.ends, self.words, self.doc, self.number = (x[real] for x in (starts, ends, words, doc, number))
         self.hash = _core.hash_runs(self.data, self.starts, self.ends)
 
+    def alone(self, k: int) -> bool:
+        """Whether line k is the only one with words of its text."""
+        return (k == 0 or self.doc[k - 1] != self.doc[k]) and (k + 1 == len(self.doc) or self.doc[k + 1] != self.doc[k])
+
     def chunks(self, divisions=DIVISIONS, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
         """(key, first line, last line) of the chunks of each division."""
         n = len(self.hash)
@@ -76,10 +84,16 @@ class Lines:
             begin, last = begin[good], last[good]
             yield _core.hash_runs(self.data, self.starts[begin], self.ends[last]), begin, last
 
+    def counted(self):
+        """(key, first line, last line) of all that counts: chunks and long lines."""
+        yield from self.chunks()
+        long = np.flatnonzero(self.words >= LONG_LINE)
+        yield self.hash[long], long, long
+
 
 def _hashes():
     def run(texts: list) -> np.ndarray:
-        return np.concatenate([np.empty(0, dtype=np.uint64), *(key for key, _, _ in Lines(texts).chunks())])
+        return np.concatenate([np.empty(0, dtype=np.uint64), *(key for key, _, _ in Lines(texts).counted())])
 
     return run
 
@@ -105,9 +119,9 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
             nonlocal size, number
             rows = []
             for v, ((key, body), places) in enumerate(found.items()):
-                doc, th, a, _ = min(places, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
-                flat = np.array([[0 if d is None else d, d is None, t, x, y] for d, t, x, y in places], dtype=np.int64)
-                rows.append((CHUNK, number, v, key, body, doc, th, a, len({(d, t, x) for d, t, x, _ in places}), flat.tobytes()))
+                doc, th, a, *_ = min(places, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
+                flat = np.array([[0 if d is None else d, (d is None) + 2 * alone, t, x, y] for d, t, x, y, alone in places], dtype=np.int64)
+                rows.append((CHUNK, number, v, key, body, doc, th, a, len({p[:3] for p in places}), flat.tobytes()))
             rows += [(LINE, number, None, h, body, None, None, None, None, None) for h, body in bodies]
             found.clear()
             bodies.clear()
@@ -119,14 +133,14 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
                 ids, texts, hashes = (part.column(i).to_pylist() for i in range(3))
                 lines = Lines(texts)
                 used = np.zeros(len(lines.hash) + 1, dtype=np.int64)
-                for keys, first, last in lines.chunks():
+                for keys, first, last in lines.counted():
                     some = np.flatnonzero(frequency.level_of(held.value, slot_bits, keys))
                     np.add.at(used, first[some], 1)
                     np.add.at(used, last[some] + 1, -1)
                     for key, x, y in zip(keys[some].astype(np.int64).tolist(), first[some].tolist(), last[some].tolist()):
                         doc, body = lines.doc[x], _sequence(lines, x, y, collided)
                         size += 64 + len(body)
-                        found.setdefault((key, body), []).append((ids[doc], hashes[doc], int(lines.number[x]), int(lines.number[y])))
+                        found.setdefault((key, body), []).append((ids[doc], hashes[doc], int(lines.number[x]), int(lines.number[y]), x == y and lines.alone(x)))
                 for k in np.flatnonzero(np.cumsum(used[:-1])).tolist():
                     body = lines.raw[lines.starts[k] : lines.ends[k]]
                     if (line := (int(lines.hash[k].astype(np.int64)), body)) not in bodies:
@@ -187,9 +201,9 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
         for batch in batches:
             out = []
             for doc, th, a, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for d, null, t, x, y in np.frombuffer(places, dtype=np.int64).reshape(-1, 5).tolist():
-                    d = None if null else d
-                    if (d, t, x) != (doc, th, a):
+                for d, flags, t, x, y in np.frombuffer(places, dtype=np.int64).reshape(-1, 5).tolist():
+                    d = None if flags & 1 else d
+                    if (d, t, x) != (doc, th, a) and not (flags & 2 and t == th):
                         out.append((d, t, x, y))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(gone_schema)], schema=gone_schema)
 

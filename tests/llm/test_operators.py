@@ -346,6 +346,23 @@ def test_boundaries_resist_shifts():
     assert len(before - after) <= len(line_dedup.DIVISIONS) < len(before) / 4
 
 
+def test_long_lines_go_alone(make_docs):
+    """Planted one-line passages between lines that differ, in other places and as whole texts."""
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"u{rng.randrange(1 << 40)}" for _ in range(n))
+    long, short = line(line_dedup.LONG_LINE), line(line_dedup.LONG_LINE - 1)
+    put = lambda *own: "\n".join(x for y in own for x in (y, line(6)))
+    rows = [(k, line(5) + "\n" + put(long, short)) for k in range(6)] + [(9, put(long)), (10, long), (11, long + "\n"), (12, put(long, long))]
+    copies = [(20, line(60)), (21, line(60))]
+    copies += [(22, copies[0][1]), (23, copies[1][1] + "\n" + line(3))]
+    got = {r.doc_id: r.text for r in line_dedup.remove(make_docs(rows + copies)).collect()}
+    assert got[0] == rows[0][1]
+    for k, text in rows[1:]:
+        left = [x for x in text.split("\n") if x != long]
+        assert got.get(k) == ("\n".join(left) if any(left) else None)
+    assert all(got[i] == t for i, t in copies[:3]) and got[23] == copies[3][1].split("\n")[1]
+
+
 # ---------------------------------------------------------------- 6
 def test_language(make_docs):
     rng = random.Random(6)
