@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by runs or content-defined chunks of lines.
 
 A rolling hash runs over the hashes of a document's lines (those with a word); a
 chunk begins where it is divisible by a small number.  Where a chunk begins thus
@@ -7,6 +7,11 @@ division cuts through some passages, so several, each with its own window and
 divisor, are made side by side.  A chunk counts if it has at least two lines and
 min_words words; a line of LONG_LINE words or more counts by itself, too.
 
+A chunk's ends depend on the lines next to it, so chunks miss edges of passages, and
+short passages whole.  With runs=True the shortest runs of that size count instead, one
+from every line on and one up to every line: they cover every repeated run of lines
+that is large enough, to its edges, and so all that chunks find.
+
 Chunks are counted over all documents by hash, in a table of fixed size; those that
 may repeat are compared by the hashes of all their lines.  Tasks send the bytes of
 these lines, each once, to be compared with other tasks' lines of equal hash; a hash
@@ -84,16 +89,30 @@ class Lines:
             begin, last = begin[good], last[good]
             yield _core.hash_runs(self.data, self.starts[begin], self.ends[last]), begin, last
 
-    def counted(self):
-        """(key, first line, last line) of all that counts: chunks and long lines."""
-        yield from self.chunks()
+    def shortest(self, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
+        """(key, first line, last line) of the shortest runs from each line on, and up to each line."""
+        n = len(self.hash)
+        total, k = np.concatenate([[0], np.cumsum(self.words)]), np.arange(n)
+        last = np.maximum(k + min_lines, np.searchsorted(total, total[:-1] + min_words)) - 1
+        begin = np.minimum(k - min_lines, np.searchsorted(total, total[1:] - min_words, "right") - 2) + 1
+        ahead, back = last < n, begin >= 0
+        ahead[ahead] = self.doc[last[ahead]] == self.doc[ahead]
+        back[back] = self.doc[begin[back]] == self.doc[back]
+        # none lies strictly within another, so both begins and ends are in order
+        both = np.unique(np.concatenate([k[ahead] * n + last[ahead], begin[back] * n + k[back]]))
+        begin, last = both // max(n, 1), both % max(n, 1)
+        return _core.hash_runs(self.data, self.starts[begin], self.ends[last]), begin, last
+
+    def counted(self, runs: bool = False):
+        """(key, first line, last line) of all that counts: chunks or shortest runs, and long lines."""
+        yield from [self.shortest()] if runs else self.chunks()
         long = np.flatnonzero(self.words >= LONG_LINE)
         yield self.hash[long], long, long
 
 
-def _hashes():
+def _hashes(runs: bool):
     def run(texts: list) -> np.ndarray:
-        return np.concatenate([np.empty(0, dtype=np.uint64), *(key for key, _, _ in Lines(texts).counted())])
+        return np.concatenate([np.empty(0, dtype=np.uint64), *(key for key, _, _ in Lines(texts).counted(runs))])
 
     return run
 
@@ -107,7 +126,7 @@ def _sequence(lines: Lines, x: int, y: int, collided: frozenset) -> bytes:
     return b"".join(bytes(8) + hashlib.sha256(body(k)).digest() if int(lines.hash[k]) in collided else lines.hash[k].tobytes() for k in range(x, y + 1))
 
 
-def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: frozenset) -> DataFrame:
+def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: frozenset, runs: bool) -> DataFrame:
     """Chunks that may repeat, one row a flush and chunk with all its places there, and their
     lines, one row a flush and line."""
     schema, held = _core.arrow_schema(CHUNKS), plain.sparkSession.sparkContext.broadcast(table)
@@ -133,7 +152,7 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
                 ids, texts, hashes = (part.column(i).to_pylist() for i in range(3))
                 lines = Lines(texts)
                 used = np.zeros(len(lines.hash) + 1, dtype=np.int64)
-                for keys, first, last in lines.counted():
+                for keys, first, last in lines.counted(runs):
                     some = np.flatnonzero(frequency.level_of(held.value, slot_bits, keys))
                     np.add.at(used, first[some], 1)
                     np.add.at(used, last[some] + 1, -1)
@@ -168,11 +187,11 @@ def _collisions(rows: DataFrame, bits: int) -> frozenset:
     return frozenset(r.key & (1 << 64) - 1 for r in found)
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_BITS, collided: frozenset = frozenset()) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_BITS, collided: frozenset = frozenset(), runs: bool = False) -> DataFrame:
     """The line ranges a..b of documents, by id and hash of the text, that repeat an earlier one."""
     plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("th")).filter("t is not null")
     bits = min(frequency.bucket_bits(docs.sparkSession), slot_bits - 4)
-    table = frequency.levels(plain.select("i", "t"), _hashes, (2, 1 << 62, 1 << 62), bits, slot_bits)
+    table = frequency.levels(plain.select("i", "t"), lambda: _hashes(runs), (2, 1 << 62, 1 << 62), bits, slot_bits)
     verdict_schema, gone_schema = (_core.arrow_schema(x) for x in (VERDICTS, GONE))
 
     def judge(table: pa.Table) -> pa.Table:
@@ -187,10 +206,10 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
                 out += [(flush, v, doc if real else None, th, a) for *_, flush, v, _ in rows]
         return pa.table([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(verdict_schema)], schema=verdict_schema)
 
-    rows = _chunk_rows(plain, table, slot_bits, collided)
+    rows = _chunk_rows(plain, table, slot_bits, collided, runs)
     if more := _collisions(rows, bits) - collided:
         _core.discard(rows)
-        rows = _chunk_rows(plain, table, slot_bits, collided | more)
+        rows = _chunk_rows(plain, table, slot_bits, collided | more, runs)
     # a bucket gets one row a flush and chunk, however often that occurs; its places stay behind
     chunks = rows.filter(F.col("kind") == CHUNK)
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
@@ -220,11 +239,11 @@ def drop_lines(text: bytes, ranges: list) -> tuple[bytes, int]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), sum(bool(lines[i].split()) for i in gone)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
     """docs with the ranges that go from each, by id and text.  Only documents that may
     lose lines, by a bitmap of the texts' hashes, are shuffled to meet their ranges."""
     ranges = "array<struct<a:bigint,b:bigint>>"
-    found = repeated(docs, id_col, text_col)
+    found = repeated(docs, id_col, text_col, runs=runs)
     gone = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).cast(ranges).alias("__gone"))
     gone = _core.materialise(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__h"), "gone")
     _core.discard(found.chunks)
@@ -233,8 +252,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return clean.drop("__th").withColumn("__gone", F.lit(None).cast(ranges)).unionByName(hit)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without repeated chunks; a document that loses its last word goes."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """docs without repeated chunks, or runs; a document that loses its last word goes."""
 
     def make():
         def work(cols, texts):
@@ -247,10 +266,10 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    return _core.rewrite_texts(_marked(docs, id_col, text_col), make, ("__gone",), text_col).drop("__gone")
+    return _core.rewrite_texts(_marked(docs, id_col, text_col, runs), make, ("__gone",), text_col).drop("__gone")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """Per document: its lines with words, how many went, the ranges of those, and the sha256 of what is left."""
 
     def make():
@@ -267,8 +286,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         return work
 
-    return _core.map_texts(_marked(docs.select(id_col, text_col), id_col, text_col), make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", (id_col, "__gone"), text_col)
+    return _core.map_texts(_marked(docs.select(id_col, text_col), id_col, text_col, runs), make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", (id_col, "__gone"), text_col)
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:
-    return report(_core.read_table(spark, sf_dir, "documents"))
+    return report(_core.read_table(spark, sf_dir, "documents"), runs=True)
