@@ -538,6 +538,13 @@ def pdf_string(spark, d):
     return views.table(spark, d, "documents").select("doc_id", pdf.literal_text(s).alias("literal"))
 
 
+@query(SQL["pdf_string"].replace("left(text, 60)", "text"))
+def pdf_string_whole(spark, d):
+    """pdf_string of whole texts."""
+    s = F.concat(F.replace("text", F.lit("e"), F.lit("(\\")), F.lit("—€\t日\U0001f600"))
+    return views.table(spark, d, "documents").select("doc_id", pdf.literal_text(s).alias("literal"))
+
+
 @query()
 def thumbnail(spark, d):
     """Every raster rendered small and encoded."""

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from folioscope.operators import pdf, raster, settings, text
+from folioscope.plans.registry import QUERIES
 from folioscope.sources import images
 from folioscope.streaming import capture
 
@@ -16,6 +17,14 @@ def pages():
     return [{"jpeg": b"\xff\xd8one\xff\xd9", "w": 600, "h": 800, "words": words}, {"jpeg": b"\xff\xd8two\xff\xd9", "w": 800, "h": 600, "words": []}]
 
 
+def test_pdf_strings_of_whole_texts(spark, tmp_path):
+    """A registered query gives every text whole, as pdf.literal() does."""
+    rows = [(1, None), (2, ""), (3, "short\n\x00 (one)"), (4, "x" * 61 + "—é日\\)"), (5, "tail e “q” \U0001f600\t" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.literal for r in QUERIES["pdf_string_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else pdf.literal(t.replace("e", "(\\") + "—€\t日\U0001f600").decode("latin-1") for i, t in rows}
+
+
 def test_pdf_offsets_and_content():
     out = pdf.build(pages(), "a4")
     at = int(re.search(rb"startxref\n(\d+)", out)[1])
