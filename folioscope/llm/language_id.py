@@ -11,7 +11,10 @@ side by side.
 
 Training: documents whose crc32(doc_id as text) mod 4 is not 2, with a text and a
 language; at most `fit_docs` of each language, those of least hashed id, and of
-each `fit_rows` rows of `span` bytes spread over the text.
+each `fit_rows` rows of `span` bytes spread over the text.  The network's `least` is the
+lowest score of a training document, by these rows, that gets its own label, and
+MOST_LEAST at most: a lower score says that no language is likelier than all others
+together, or than in any clean document.
 
 Cases: a text that is null or has no letter is `und` with score 0; without training
 rows every text is; repeated rows get equal labels; ties go to the language that
@@ -33,6 +36,7 @@ SPAN = 64
 FIT_DOCS = 150
 FIT_ROWS = 8
 FOLDS, HELD_OUT = 4, 2
+MOST_LEAST = 0.5
 COLUMNS = 2048  # rows of bytes that run side by side
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -103,7 +107,7 @@ class Network:
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.languages, self.hidden = languages, hidden
+        self.languages, self.hidden, self.least = languages, hidden, 0.0
         self.ahead, self.back = Direction(hidden, rng), Direction(hidden, rng)
         self.out = {"w": rng.normal(0, 0.3, (len(languages), 2 * hidden)).astype(np.float32), "c": np.zeros((len(languages), 1), dtype=np.float32)}
 
@@ -194,10 +198,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return work
 
     found: dict[str, list] = {}
+    bodies: dict[tuple, bytes] = {}
     for r in sorted(_core.map_texts(some, make, "l string, h long, i long, x binary, n long", ("l", "h", "i"), "t").collect(), key=lambda r: (r.h, r.i)):
         own = found.setdefault(r.l, [])
         if len(own) < fit_docs * fit_rows:
             own.append((np.frombuffer(r.x, dtype=np.uint8), np.arange(SPAN) < r.n))
+            bodies[r.l, r.h, r.i] = bodies.get((r.l, r.h, r.i), b"") + r.x[: r.n]
     if not found:
         return None
     net = Network(sorted(found))
@@ -206,6 +212,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per = max(len(v) for v in y)  # every language weighs the same
     at = [np.resize(np.arange(len(v)), per) for v in y]
     net.fit(np.concatenate([v[a] for v, a in zip(x, at)]), np.concatenate([v[a] for v, a in zip(real, at)]), np.concatenate([v[a] for v, a in zip(y, at)]))
+    labels, scores = verdicts(net, list(bodies.values()))
+    net.least = min([s for (own, *_), l, s in zip(bodies, labels, scores) if l == own] + [MOST_LEAST])
     return net
 
 

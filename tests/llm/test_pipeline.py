@@ -66,6 +66,19 @@ def test_run_equals_its_stages(spark, tables):
     assert a and a == b
 
 
+def test_text_in_no_language_goes(spark, make_docs):
+    """The network's score decides: text of all languages' letters goes, clean documents stay."""
+    rng = random.Random(6)
+    letters = {"aa": "abcde", "bb": "vwxyz", "cc": "ghijk", "dd": "lmnop"}
+    word = lambda own: "".join(rng.choice(own) for _ in range(rng.randrange(2, 8)))
+    rows = [(k, " ".join(word(letters[l]) for _ in range(rng.randrange(4, 60))), l) for k in range(320) for l in [rng.choice(list(letters))]]
+    mixed = [(1000 + k, " ".join("".join(rng.choice("".join(letters.values())) for _ in range(6)) for _ in range(200)), None) for k in range(20)]
+    docs = make_docs(rows + mixed)
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    assert kept >= {r[0] for r in rows}
+    assert sum(r[0] not in kept for r in mixed) >= 10
+
+
 def test_empty_tables(spark, make_docs, tmp_path):
     make_docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
