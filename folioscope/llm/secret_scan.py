@@ -3,7 +3,9 @@
 Natural words cost a byte-pair vocabulary few tokens: many characters share one
 token.  Random strings don't.  A candidate run of key characters whose ratio of
 characters to tokens is low is reported as a span of kind `rare`, unless it is a
-known digest or an identifier.  The three fixed patterns of the base come first
+known digest or an identifier.  Of a run that is not, each part between separators
+that is long enough is judged by itself, as wordy text joined to a random string
+raises the ratio of both.  The three fixed patterns of the base come first
 and always stay.
 
 Cases: a null or empty text has no spans; repeated rows are scanned each for
@@ -27,6 +29,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones need not be matched first
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 IDENTIFIER = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[_/+=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+))*[_/+=-]*")
@@ -67,7 +70,9 @@ def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int,
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if is_random(m[0], path, max_ratio)]
+    for m in CANDIDATE.finditer(text):
+        found = [m] if is_random(m[0], path, max_ratio) else [p for p in PART.finditer(text, *m.span()) if p[0] != m[0] and is_random(p[0], path, max_ratio)]
+        spans += [(p.start(), 3, p.end()) for p in found]
     return sorted(spans)
 
 

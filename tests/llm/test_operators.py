@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -267,6 +268,20 @@ def test_fm_index():
             assert got == {k: v for k, v in want.items() if v}
 
 
+def test_secrets_joined_to_words():
+    """A random string is found behind a wordy path too, alone; words and digests are not."""
+    rng = random.Random(23)
+    path, wordy = public_tokenizers.path(secret_scan.VOCABULARY), "backend/services/authentication/credentials/"
+    for n in (20, 32):
+        for k in range(50):
+            s = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n - 2)) + "a1"
+            text = f"in {wordy}{s}{rng.choice(['', '/configuration_of_services', '-production_environment'])} now"
+            rare = [text[a:b] for a, k, b in secret_scan.find(text, path) if k == 3]
+            assert len(rare) == 1 and s in rare[0]
+    for s in (wordy, wordy + "authenticationservice12/" + "readme_first", wordy + hashlib.sha256(b"x").hexdigest()):
+        assert not [k for _, k, _ in secret_scan.find(f"in {s} now", path) if k == 3]
+
+
 # ---------------------------------------------------------------- 5
 def line_rows():
     rng = random.Random(4)
