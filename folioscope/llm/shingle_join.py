@@ -41,7 +41,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _core, frequency
@@ -406,7 +406,8 @@ def _distinct_sets():
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
-    """Per document its class, the size of its set, and its component by the links."""
+    """Per document its class, the size of its set, its component by the links, and the class of
+    the document the component is named after (`first`; one id may stand on several texts)."""
     bits = min(bucket_bits(docs.sparkSession), slot_bits - 4)
     plain = _texts(docs, id_col, text_col)
     own = _core.materialise(members(docs, id_col, text_col), "members")
@@ -425,20 +426,47 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_b
     _core.discard(found, links)
     classes = own.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("m"))
     classes = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    names = classes.groupBy("label").agg(F.min("m").alias("component_id"))
-    named = classes.select("class", "label").join(names, "label").select("class", "component_id")
-    filled = own.filter("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id", "class")
-    return filled.union(own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class"))
+    least = F.min(F.when(F.col("m").isNotNull(), F.struct("m", F.col("class").alias("c"))))
+    names = classes.groupBy("label").agg(least.alias("x")).select("label", F.col("x.m").alias("component_id"), F.col("x.c").alias("first"))
+    named = classes.select("class", "label").join(names, "label").select("class", "component_id", "first")
+    filled = own.filter("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id", "class", "first")
+    return filled.union(own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class", F.col("class").alias("first")))
+
+
+def _classed(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with the class of each text."""
+    out = docs.withColumn("__class", F.lit(0).cast("long"))
+    schema = _core.arrow_schema("x long")
+
+    def run(batches):
+        for batch in batches:
+            for part in _core.slices(batch, text_col):
+                texts = part.column(part.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+                own = pa.array([class_of(s) for s in shingle_sets(texts)], type=schema.field(0).type)
+                yield part.set_column(part.schema.get_field_index("__class"), "__class", own)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least id; documents
-    without words and those without an id stay.  Only documents that may go, by a bitmap
-    of the ids, are shuffled."""
-    found = join(docs, id_col, text_col)
-    gone = _core.materialise(found.filter((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    stay, rest = frequency.split_by_bits(docs, id_col, frequency.held_bits(gone, id_col))
-    return stay.unionByName(rest.join(gone, id_col, "left_anti").select(*docs.columns))
+    without words and those without an id stay.  A document is known by its id and class:
+    of rows that repeat both, one stays, that of the least text; of several texts under one
+    id each is judged by itself.  Only documents that may go, by a bitmap of the ids, are
+    shuffled."""
+    found = join(docs, id_col, text_col).filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # the class as text: rows are dealt by both columns anew, not as the join before, by class
+    found = found.withColumn("c", F.col("class").cast("string")).withColumn("goes", (F.col("component_id") < F.col("doc_id")) | (F.col("first") != F.col("class")))
+    marks = found.groupBy("doc_id", "c").agg(F.max("goes").alias("__goes"), F.count("*").alias("n")).filter("__goes or n > 1")
+    gone = _core.materialise(marks.select(F.col("doc_id").alias("__id"), F.col("c").cast("long").alias("__class"), "__goes"), "gone")
+    stay, rest = frequency.split_by_bits(docs, id_col, frequency.held_bits(gone, "__id"))
+    rest = _classed(rest, text_col)
+    other = rest.join(gone.withColumnRenamed("__class", "__c"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__class") == F.col("__c")), "left")
+    out = stay.unionByName(other.filter("__goes is null").select(*docs.columns))
+    if gone.filter("not __goes").isEmpty():
+        return out
+    one = other.filter("not __goes").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__c").orderBy(text_col)))
+    return out.unionByName(one.filter("__n = 1").select(*docs.columns))
 
 
 def op7_shingle_join(spark, sf_dir) -> DataFrame:

@@ -76,6 +76,14 @@ def test_keep_first(make_docs, mixed_rows):
     assert kept == {i for real, i, _, c in brute(mixed_rows) if real and (c is None or i <= c)} | {None}
 
 
+def test_keep_first_with_repeated_ids(make_docs):
+    """Of repeated rows one stays; of several texts under one id only copies go."""
+    a, b, c, d = (" ".join(f"{k}{n}" for n in range(30)) for k in "abcd")
+    rows = [(1, a), (1, a), (1, a.upper()), (3, b), (7, b), (7, c), (8, d), (8, d), (9, d), (5, None), (5, None), (None, c), (None, c), (1, b + " end")]
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in S.keep_first(make_docs(rows)).collect()))
+    assert kept == sorted([(1, a.upper()), (1, b + " end"), (7, c), (8, d), (5, ""), (5, ""), (0, c), (0, c)])
+
+
 def test_signatures_lose_no_link():
     """Sets at the threshold share a signature, whatever the levels."""
     rng = np.random.default_rng(3)
