@@ -11,8 +11,9 @@ Windows: `width` consecutive words of an item; an item of fewer words, but not
 none, is one window.  Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are
 lowered.
 
-Cases: null or empty texts and items have no words and match nothing; repeated
-items count once by their id, repeated documents each for themselves; items that
+Cases: null or empty texts and items have no words and match nothing; an item
+without an id takes part with its windows, but is not listed; repeated items count
+once by their id, repeated documents each for themselves; items that
 share a window are all reported; long texts are indexed whole; an empty
 benchmark or table gives rows without hits.  The benchmark is read in blocks of
 max_block_bytes, each broadcast alone, so its size is bounded by that parameter.
@@ -118,7 +119,7 @@ class FMIndex:
 class Windows:
     """The distinct windows of a block of items, as word symbols from 2 on (1 parts stretches)."""
 
-    def __init__(self, item_ids: list[str], texts: list, width: int = WIDTH):
+    def __init__(self, item_ids: list[str | None], texts: list, width: int = WIDTH):
         w = _core.Words(texts, _core.ALNUM, lower=True)
         self.words = np.unique(w.hash)
         symbol = np.searchsorted(self.words, w.hash) + 2
@@ -126,7 +127,7 @@ class Windows:
         for i, item in enumerate(item_ids):
             own = symbol[w.first[i] : w.first[i + 1]].tolist()
             for k in range(max(1, len(own) - width + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + width]), set()).add(str(item))
+                found.setdefault(tuple(own[k : k + width]), set()).update(() if item is None else (str(item),))
         self.items = sorted({x for s in found.values() for x in s})
         place = {x: k for k, x in enumerate(self.items)}
         self.groups = []  # (windows of one length, items of each)
@@ -172,7 +173,7 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     n = 1 + int(plain.agg(F.sum(F.length("t"))).first()[0] or 0) // max_block_bytes
     out = []
     for k in range(n):
-        rows = (plain if n == 1 else plain.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k)).filter("i is not null and t is not null").collect()
+        rows = (plain if n == 1 else plain.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).filter("t is not null").collect()
         out.append(spark.sparkContext.broadcast(Windows([r.i for r in rows], [bytes(r.t) for r in rows], width)))
     return out
 

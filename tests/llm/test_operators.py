@@ -268,6 +268,20 @@ def test_fm_index():
             assert got == {k: v for k, v in want.items() if v}
 
 
+def test_items_without_an_id(spark, make_docs):
+    """Their words are hits and are cut, in one block or many; no item is listed for them."""
+    items = [(None, "one two three four"), (None, "five six seven"), (4, "five six seven"), (5, "only here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(1, "x One two, three four y"), (2, "five six seven"), (3, "a only here b"), (4, "none")])
+    want = [(1, 4, []), (2, 3, ["4"]), (3, 2, ["5"]), (4, 0, [])]
+    assert [(i, n, list(x)) for i, n, x in rows_of(decontaminate.scan(docs, bench), "doc_id", "n_hit", "items")] == want
+    assert {r.doc_id: r.text.split() for r in decontaminate.remove(docs, bench).collect()} == {1: ["x", "y"], 3: ["a", "b"], 4: ["none"]}
+    held = decontaminate.blocks(bench, max_block_bytes=8)
+    assert len(held) > 1
+    w, hit, found = decontaminate._scanner(held)([b"one two three four five six seven"])
+    assert hit.all() and found == [{"4"}]
+
+
 def test_secrets_joined_to_words():
     """A random string is found behind a wordy path too, alone; words and digests are not."""
     rng = random.Random(23)
