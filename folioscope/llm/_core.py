@@ -8,6 +8,9 @@ so every task gives a word the same hash.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
 import zlib
@@ -30,12 +33,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or in tests (where it
-    is unset) one temporary folder per session, which is then set as such."""
+    """The folder all machines share: spark.checkpoint.dir, or on a local master (where it
+    may be unset) one temporary folder per session, which is then set as such."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -60,10 +65,60 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df does not have, by any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- memory of workers
+@functools.lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+
+
+def release() -> None:
+    """Gives freed memory back to the system.  Workers outlive their tasks, and several wait
+    beside each executor: what each has once used would else stay theirs."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def tidy(run):
+    """run, a function of Arrow batches, with a release() at the end of each task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(work, least_bytes: int = 1 << 22):
+    """work, a function of the Arrow table of a group, with a release() after each large one."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        size, out = table.nbytes, work(table)
+        del table
+        if size >= least_bytes:
+            release()
+        return out
+
+    return tidied
+
+
 # ---------------------------------------------------------------- Arrow maps
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose `column` holds max_bytes at most (or one row)."""
@@ -99,7 +154,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], d
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
-    return plain.mapInArrow(run, ddl)
+    return plain.mapInArrow(tidy(run), ddl)
 
 
 # ---------------------------------------------------------------- bytes and words
@@ -251,4 +306,4 @@ def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tup
                 out = pa.RecordBatch.from_arrays(cols, schema=schema)
                 yield out if all(keep) else out.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

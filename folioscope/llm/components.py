@@ -57,7 +57,7 @@ def _forest(batches):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b), written: label is the least node reachable."""
-    links = _core.materialise(links.mapInArrow(_forest, LINKS), "links")
+    links = _core.materialise(links.mapInArrow(_core.tidy(_forest), LINKS), "links")
     labels = _core.materialise(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node")), "labels")
     while not links.isEmpty():
         hooks = _core.materialise(links.groupBy(F.greatest("a", "b").alias("c")).agg(F.min(F.least("a", "b")).alias("p"), F.lit(True).alias("moved")), "hooks")
@@ -71,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
         left = links
         for end in ("a", "b"):
             left = left.join(ends.withColumnRenamed("c", end), end, "left").withColumn(end, F.coalesce("p", end)).drop("p")
-        left = _core.materialise(left.filter("a != b").select("a", "b").mapInArrow(_forest, LINKS).distinct(), "links")
+        left = _core.materialise(left.filter("a != b").select("a", "b").mapInArrow(_core.tidy(_forest), LINKS).distinct(), "links")
         _core.discard(labels, links, hooks)
         labels, links = moved, left
     _core.discard(links)

@@ -72,7 +72,7 @@ def levels(plain: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], l
 
     out = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
     size = len(out) >> bits
-    for r in plain.mapInArrow(gather, COUNTS).groupBy("bucket").applyInArrow(level, LEVELS).collect():  # 2**slot_bits / 4 bytes in all
+    for r in plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_group(level), LEVELS).collect():  # 2**slot_bits / 4 bytes in all
         out[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.levels, dtype=np.uint8)
     return out
 
@@ -95,7 +95,7 @@ def held_bits(values: DataFrame, column: str) -> np.ndarray:
     slots = values.select(F.pmod(column, F.lit(1 << HELD_BITS)).cast("int").alias("slot")).distinct()
     out = np.zeros(1 << (HELD_BITS - 3), dtype=np.uint8)
     size = 1 << (low - 3)
-    for r in slots.withColumn("part", F.shiftright("slot", low)).groupBy("part").applyInArrow(run, ddl).collect():  # 2**HELD_BITS / 8 bytes at most
+    for r in slots.withColumn("part", F.shiftright("slot", low)).groupBy("part").applyInArrow(_core.tidy_group(run), ddl).collect():  # 2**HELD_BITS / 8 bytes at most
         out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.x, dtype=np.uint8)
     return out
 
@@ -106,16 +106,30 @@ def has_bit(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def split_by_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """The rows whose long `column` has no bit, and those that may be among the values it was made of."""
+def having_bit(batch: pa.RecordBatch, column: str, bitmap: np.ndarray, wanted: bool = True) -> pa.RecordBatch:
+    """The rows of a batch whose long `column` has its bit (may be among the values the bitmap
+    was made of), or those that have not."""
+    there = has_bit(bitmap, batch.column(batch.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    return batch.filter(pa.array(there == wanted))
+
+
+def without_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose long `column` has no bit."""
     held = df.sparkSession.sparkContext.broadcast(bitmap)
 
-    def part(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                there = has_bit(held.value, batch.column(batch.schema.get_field_index(column)).fill_null(0).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(there == wanted))
+    def run(batches):
+        for batch in batches:
+            yield having_bit(batch, column, held.value, False)
+
+    return df.mapInArrow(_core.tidy(run), df.schema)
 
-        return df.mapInArrow(run, df.schema)
 
-    return part(False), part(True)
+def with_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose long `column` may be among the values the bitmap was made of."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            yield having_bit(batch, column, held.value)
+
+    return df.mapInArrow(_core.tidy(run), df.schema)

@@ -24,7 +24,8 @@ the same document and lose the same lines; a null id sorts first; documents with
 a repeated chunk keep their text, those of which no word is left go; a text whose only
 line with words is a long one stays where the first occurrence is the same whole text
 (a copy of a document, left to the join of near duplicates); a text may have
-any number of lines; an empty table gives an empty result.
+any number of lines; extra columns pass through remove() whatever their names, and
+report() does not read them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
                     yield flush()
         yield flush()
 
-    return _core.materialise(plain.mapInArrow(run, CHUNKS), "chunks")
+    return _core.materialise(plain.mapInArrow(_core.tidy(run), CHUNKS), "chunks")
 
 
 def _collisions(rows: DataFrame, bits: int) -> frozenset:
@@ -183,13 +184,13 @@ def _collisions(rows: DataFrame, bits: int) -> frozenset:
         return pa.table([pa.array(sorted(out), type=pa.int64())], schema=schema)
 
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-    found = rows.filter(F.col("kind") == LINE).select(bucket, "key", "body").groupBy("bucket").applyInArrow(compare, "key long").collect()
+    found = rows.filter(F.col("kind") == LINE).select(bucket, "key", "body").groupBy("bucket").applyInArrow(_core.tidy_group(compare), "key long").collect()
     return frozenset(r.key & (1 << 64) - 1 for r in found)
 
 
 def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_BITS, collided: frozenset = frozenset(), runs: bool = False) -> DataFrame:
     """The line ranges a..b of documents, by id and hash of the text, that repeat an earlier one."""
-    plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(text_col).alias("th")).filter("t is not null")
+    plain = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t"), F.xxhash64(F.col(f"`{text_col}`")).alias("th")).filter("t is not null")
     bits = min(frequency.bucket_bits(docs.sparkSession), slot_bits - 4)
     table = frequency.levels(plain.select("i", "t"), lambda: _hashes(runs), (2, 1 << 62, 1 << 62), bits, slot_bits)
     verdict_schema, gone_schema = (_core.arrow_schema(x) for x in (VERDICTS, GONE))
@@ -213,7 +214,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
     # a bucket gets one row a flush and chunk, however often that occurs; its places stay behind
     chunks = rows.filter(F.col("kind") == CHUNK)
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-    verdicts = chunks.select(bucket, "flush", "v", "key", "body", "doc", "th", "a", "n").groupBy("bucket").applyInArrow(judge, VERDICTS)
+    verdicts = chunks.select(bucket, "flush", "v", "key", "body", "doc", "th", "a", "n").groupBy("bucket").applyInArrow(_core.tidy_group(judge), VERDICTS)
     met = chunks.select("flush", "v", "places").join(verdicts, ["flush", "v"]).select("doc", "th", "a", "places")
 
     def others(batches):
@@ -226,7 +227,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
                         out.append((d, t, x, y))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(gone_schema)], schema=gone_schema)
 
-    out = met.mapInArrow(others, GONE)
+    out = met.mapInArrow(_core.tidy(others), GONE)
     out.chunks = rows  # written, and read when `out` runs
     return out
 
@@ -239,17 +240,21 @@ def drop_lines(text: bytes, ranges: list) -> tuple[bytes, int]:
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), sum(bool(lines[i].split()) for i in gone)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
-    """docs with the ranges that go from each, by id and text.  Only documents that may
-    lose lines, by a bitmap of the texts' hashes, are shuffled to meet their ranges."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> tuple[DataFrame, DataFrame, str]:
+    """The documents without a repeat; the others with the ranges that go from each, by id and
+    text; the name of the column of ranges, which docs does not have.  Only documents that may lose lines, by a bitmap of the texts' hashes, are shuffled to
+    meet their ranges."""
     ranges = "array<struct<a:bigint,b:bigint>>"
+    of, h, th, gone = _core.new_names(docs, "id_of", "hash_of", "text_hash", "gone")
     found = repeated(docs, id_col, text_col, runs=runs)
-    gone = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).cast(ranges).alias("__gone"))
-    gone = _core.materialise(gone.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__h"), "gone")
+    marks = found.groupBy(F.col("doc_id").alias(of), F.col("th").alias(h)).agg(F.collect_set(F.struct("a", "b")).cast(ranges).alias(gone))
+    marks = _core.materialise(marks, "gone")
     _core.discard(found.chunks)
-    clean, hit = frequency.split_by_bits(docs.withColumn("__th", F.xxhash64(text_col)), "__th", frequency.held_bits(gone, "__h"))
-    hit = hit.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left").drop("__id", "__h", "__th")
-    return clean.drop("__th").withColumn("__gone", F.lit(None).cast(ranges)).unionByName(hit)
+    bitmap = frequency.held_bits(marks, h)
+    hashed = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`")))
+    hit = frequency.with_bits(hashed, th, bitmap)
+    hit = hit.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(th) == F.col(h)), "left")
+    return frequency.without_bits(hashed, th, bitmap).drop(th), hit.drop(of, h, th), gone
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
@@ -266,7 +271,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs
 
         return work
 
-    return _core.rewrite_texts(_marked(docs, id_col, text_col, runs), make, ("__gone",), text_col).drop("__gone")
+    clean, hit, gone = _marked(docs, id_col, text_col, runs)
+    return clean.unionByName(_core.rewrite_texts(hit, make, (gone,), text_col).drop(gone))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
@@ -286,7 +292,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs
 
         return work
 
-    return _core.map_texts(_marked(docs.select(id_col, text_col), id_col, text_col, runs), make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", (id_col, "__gone"), text_col)
+    plain = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    clean, hit, gone = _marked(plain, "i", "t", runs)
+    both = clean.withColumn(gone, F.lit(None).cast("array<struct<a:bigint,b:bigint>>")).unionByName(hit)
+    return _core.map_texts(both, make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", ("i", gone), "t")
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:

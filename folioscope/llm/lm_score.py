@@ -158,7 +158,7 @@ def count(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         h, c = merged(h, c)
         return pa.table([pa.array([x], type=f.type) for x, f in zip((table.column(0)[0].as_py(), h.tobytes(), c.tobytes()), schema)], schema=schema)
 
-    return plain.mapInArrow(gather, COUNTS).groupBy("bucket").applyInArrow(merge, COUNTS)
+    return plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_group(merge), COUNTS)
 
 
 def summary(counts: DataFrame, common: int, bits: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def summary(counts: DataFrame, common: int, bits: int) -> tuple[int, int, np.nda
                 top = np.argsort(-c, kind="stable")[:each]
                 yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((int(c.sum()), len(c), h[top].tobytes(), c[top].tobytes()), schema)], schema=schema)
 
-    rows = counts.mapInArrow(run, ddl).collect()  # one a bucket, together 1.5 times `common` words at most
+    rows = counts.mapInArrow(_core.tidy(run), ddl).collect()  # one a bucket, together 1.5 times `common` words at most
     h = np.concatenate([np.frombuffer(r.hashes, dtype=np.uint64) for r in rows] or [np.empty(0, dtype=np.uint64)])
     c = np.concatenate([np.frombuffer(r.counts, dtype=np.int64) for r in rows] or [np.empty(0, dtype=np.int64)])
     top = np.argsort(-c, kind="stable")[:common]
@@ -291,11 +291,11 @@ def score(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
         whole = figures[:2].round().astype(np.int64)
         return pa.table([ids, pa.array(fold == HELD_OUT), whole[0], whole[1], np.full(n, tokens), figures[2], figures[3]], schema=row_schema)
 
-    requests = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(ask, MESSAGES)
+    requests = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(_core.tidy(ask), MESSAGES)
     none = F.lit(None).cast("binary")
     known = counts.select("bucket", F.lit(COUNT).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("part"), F.col("hashes").alias("a"), F.col("counts").alias("b"), none.alias("c"))
-    answered = requests.unionByName(known).groupBy("bucket").applyInArrow(answer, MESSAGES)
-    return answered.groupBy("block").applyInArrow(sum_up, ROWS)
+    answered = requests.unionByName(known).groupBy("bucket").applyInArrow(_core.tidy_group(answer), MESSAGES)
+    return answered.groupBy("block").applyInArrow(_core.tidy_group(sum_up), ROWS)
 
 
 def op10_lm_score(spark, sf_dir) -> DataFrame:

@@ -211,7 +211,7 @@ def sign(plain: DataFrame, table: np.ndarray, bits: int, slot_bits: int) -> Data
                     total = 0
         yield flush()
 
-    return plain.mapInArrow(run, MESSAGES)
+    return plain.mapInArrow(_core.tidy(run), MESSAGES)
 
 
 def _near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def candidates(signed: DataFrame, bits: int) -> DataFrame:
         profiles = data.filter(pa.array(kind == PROFILE)).cast(schema)
         return pa.Table.from_batches(out + profiles.to_batches(), schema=schema)
 
-    return signed.groupBy("bucket").applyInArrow(run, MESSAGES)
+    return signed.groupBy("bucket").applyInArrow(_core.tidy_group(run), MESSAGES)
 
 
 def both_sides(pairs: DataFrame, table: DataFrame, decide) -> DataFrame:
@@ -267,7 +267,7 @@ def both_sides(pairs: DataFrame, table: DataFrame, decide) -> DataFrame:
             if keep:
                 yield _batch(keep, schema)
 
-    return joined.select("a", "n", "x", "b", "m", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "n", "x", "b", "m", "y").mapInArrow(_core.tidy(run), "a long, b long")
 
 
 def _bitmaps_meet(n, x, m, y) -> bool:
@@ -297,7 +297,7 @@ def sets_of(plain: DataFrame, classes: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, schema)
 
-    return _core.materialise(plain.mapInArrow(run, "c long, n long, x binary").groupBy("c", "n").agg(F.first("x").alias("x")), "sets")
+    return _core.materialise(plain.mapInArrow(_core.tidy(run), "c long, n long, x binary").groupBy("c", "n").agg(F.first("x").alias("x")), "sets")
 
 
 def verify(pairs: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame:
@@ -372,7 +372,7 @@ def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: Dat
         groups_ = (np.frombuffer(x, dtype=np.int64).tolist() for batch in batches for x in batch.column(0).to_pylist())
         return spanning((c[0], x) for c in groups_ for x in c[1:])
 
-    clusters = components(groups.select("x").mapInArrow(stars, "a long, b long"))
+    clusters = components(groups.select("x").mapInArrow(_core.tidy(stars), "a long, b long"))
     own = clusters.select(F.col("node").alias("c"), F.col("label").alias("w")).join(profiles, "c").join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
     own = _core.materialise(own.select("w", "c", "n", "x", F.coalesce("label", "c").alias("l")), "clusters")
     sizes = own.groupBy("w", "l").agg(F.count("*").alias("k")).groupBy("w").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("l", F.struct("k", "l")).alias("main"))
@@ -389,7 +389,7 @@ def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: Dat
     names = [x.split()[0] for x in MEETING.split(", ")]
     one = rows.withColumn("i", block("of")).withColumn("j", each("against")).withColumn("side", F.lit(0)).select(*names)
     other = rows.filter("l != main").withColumn("j", block("against")).withColumn("i", each("of")).withColumn("side", F.lit(1)).select(*names)
-    links = _core.materialise(one.union(other).groupBy("w", "i", "j").applyInArrow(_meet, "a long, b long"), "links")
+    links = _core.materialise(one.union(other).groupBy("w", "i", "j").applyInArrow(_core.tidy_group(_meet), "a long, b long"), "links")
     _core.discard(left, sets)
     return links
 
@@ -433,19 +433,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_b
     return filled.union(own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "class", F.col("class").alias("first")))
 
 
-def _classed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with the class of each text."""
-    out = docs.withColumn("__class", F.lit(0).cast("long"))
+def _classed(docs: DataFrame, id_col: str, text_col: str, name: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows of docs whose id may be in the bitmap, with the class of each text as column `name`."""
+    out = docs.withColumn(name, F.lit(0).cast("long"))
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = _core.arrow_schema("x long")
 
     def run(batches):
         for batch in batches:
-            for part in _core.slices(batch, text_col):
+            for part in _core.slices(frequency.having_bit(batch, id_col, held.value), text_col):
                 texts = part.column(part.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
                 own = pa.array([class_of(s) for s in shingle_sets(texts)], type=schema.field(0).type)
-                yield part.set_column(part.schema.get_field_index("__class"), "__class", own)
+                yield part.set_column(part.schema.get_field_index(name), name, own)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(_core.tidy(run), out.schema)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -455,18 +456,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id each is judged by itself.  Only documents that may go, by a bitmap of the ids, are
     shuffled."""
     found = join(docs, id_col, text_col).filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    of, other, goes, nth = _core.new_names(docs, "id", "class", "goes", "nth")
     # the class as text: rows are dealt by both columns anew, not as the join before, by class
     found = found.withColumn("c", F.col("class").cast("string")).withColumn("goes", (F.col("component_id") < F.col("doc_id")) | (F.col("first") != F.col("class")))
-    marks = found.groupBy("doc_id", "c").agg(F.max("goes").alias("__goes"), F.count("*").alias("n")).filter("__goes or n > 1")
-    gone = _core.materialise(marks.select(F.col("doc_id").alias("__id"), F.col("c").cast("long").alias("__class"), "__goes"), "gone")
-    stay, rest = frequency.split_by_bits(docs, id_col, frequency.held_bits(gone, "__id"))
-    rest = _classed(rest, text_col)
-    other = rest.join(gone.withColumnRenamed("__class", "__c"), (F.col(f"`{id_col}`") == F.col("__id")) & (F.col("__class") == F.col("__c")), "left")
-    out = stay.unionByName(other.filter("__goes is null").select(*docs.columns))
-    if gone.filter("not __goes").isEmpty():
+    marks = found.groupBy("doc_id", "c").agg(F.max("goes").alias(goes), F.count("*").alias("n")).filter(f"{goes} or n > 1")
+    gone = _core.materialise(marks.select(F.col("doc_id").alias(of), F.col("c").cast("long").alias(other), goes), "gone")
+    bitmap = frequency.held_bits(gone, of)
+    stay = frequency.without_bits(docs, id_col, bitmap)
+    own = _core.new_names(docs, "own")[0]
+    rest = _classed(docs, id_col, text_col, own, bitmap)
+    rest = rest.join(gone, (F.col(f"`{id_col}`") == F.col(of)) & (F.col(own) == F.col(other)), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = stay.unionByName(rest.filter(F.col(goes).isNull()).select(*columns))
+    if gone.filter(~F.col(goes)).isEmpty():
         return out
-    one = other.filter("not __goes").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__c").orderBy(text_col)))
-    return out.unionByName(one.filter("__n = 1").select(*docs.columns))
+    one = rest.filter(~F.col(goes)).withColumn(nth, F.row_number().over(Window.partitionBy(of, other).orderBy(F.col(f"`{text_col}`"))))
+    return out.unionByName(one.filter(F.col(nth) == 1).select(*columns))
 
 
 def op7_shingle_join(spark, sf_dir) -> DataFrame:

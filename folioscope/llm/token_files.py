@@ -127,7 +127,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
     n = shards or _core.shuffle_parts(spark)
     plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("u", F.monotonically_increasing_id())
     ranged = plain.repartitionByRange(n, "i", "h", "u").sortWithinPartitions("i", "h", "u").select("i", "t")
-    ranged.mapInArrow(run, BLOCKS).write.parquet(path)
+    ranged.mapInArrow(_core.tidy(run), BLOCKS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +149,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (ids, held.value[shard] + start + ends - counts, counts, crc)], schema=schema)
 
-    return blocks.select("shard", "start", "payload").mapInArrow(run, ROWS)
+    return blocks.select("shard", "start", "payload").mapInArrow(_core.tidy(run), ROWS)
 
 
 def op8_token_files(spark, sf_dir) -> DataFrame:

@@ -348,6 +348,16 @@ def test_line_dedup(make_docs):
     assert line_dedup.remove(empty).collect() == [] and line_dedup.remove(empty).columns == empty.columns
 
 
+def test_line_dedup_with_names_that_clash(spark):
+    """Columns named as those the operator adds, now or once, stay as they are."""
+    names = ["id_of", "hash_of", "text_hash", "gone", "gone_", "__id", "__gone", "__th", "__h", "th", "i", "t", "a"]
+    rows = line_rows()
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = line_dedup.remove(docs)
+    assert out.columns == docs.columns and all(set(r[2:]) == {"x"} for r in out.collect())
+    assert rows_of(out, "doc_id", "text") == sorted(((i, t) for i, t, c in plain_dedup(rows)[0] if not c or t.split()), key=key)
+
+
 def test_line_hashes_that_stand_for_different_lines(make_docs, monkeypatch):
     """A hash known to collide is replaced by a digest of the bytes; the result stays."""
     rows = line_rows()
