@@ -18,19 +18,26 @@ shingles of a part, all but one (two) must be absent before no combination is le
 The number of parts follows from the size band of the set, and a set is signed for
 its own band and the next, as a partner is at most 5/4 as large.
 
-Candidates: classes that share a signature.  A signature of less than GROUP classes
-gives the pairs whose sizes allow a link.  In a larger one, each class is first paired
-with the least class and its neighbour; after components are known, classes that
-still lie apart meet in blocks (settle), so no link is lost.  Parity bitmaps, whose
-distance never exceeds the symmetric difference, discard most pairs; exact
-intersection of the sets decides the rest.
+Candidates: classes that share a signature.  Two sets that share a rare shingle meet
+by it; where two meet by a combination, their shingles in common may thus be taken
+to be no more than the lesser count of shingles that are not rare, and pairs whose
+sizes ask for more are left out.  (Texts of one template, each with a few words of
+its own, are no pairs by this.)  A signature of less than GROUP classes gives all
+pairs that are left.  A larger one is parted so that all such pairs lie within a
+part; there, each class is first paired with the least class and its neighbour;
+after components are known, classes of one part that still lie apart meet in blocks
+(settle), so no link is lost.  Parity bitmaps, whose distance never exceeds the
+symmetric difference, discard most pairs; exact intersection of the sets decides
+the rest.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lowered, taken by 64-bit hashes.
 
 Cases: null, empty or wordless texts have an empty set and link with nothing; fewer
 than five words are one shingle; repeated rows share a class; a null id takes part
 but is never a component's name (null if a component has no other); long texts are
-taken whole; an empty table gives an empty result.
+taken whole; ties in level go by the hash; columns other than the id and the text are
+not read by join(), and pass through keep_first() whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _core, frequency
-from .components import components, spanning
+from .components import components
 from .frequency import bucket_bits, dealt
 
 WIDTH = 5
@@ -98,18 +105,20 @@ def parts_of(j: int) -> int:
     return 0 if _EDGES[j] < SMALL else max(1, (_EDGES[j] // 5 + 1) // 4)
 
 
-def signatures(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The signatures of a sorted set, given each shingle's level."""
+def signatures(s: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a sorted set, given each shingle's level, and with each how many
+    shingles at most two sets have in common that meet by it first."""
     need = len(s) // 5 + 1
     ordered = s[np.argsort(level, kind="stable")]
     rare = int((level <= 1).sum())
     if rare >= need:
-        return _core.mix(ordered[:need] ^ _U(1))
-    out = [_core.mix(ordered[:rare] ^ _U(1))]
+        single = np.unique(_core.mix(ordered[:need] ^ _U(1)))
+        return single, np.full(len(single), len(s), dtype=np.uint32)
+    single, out = np.unique(_core.mix(ordered[:rare] ^ _U(1))), []
     for j in (band(len(s)), band(len(s)) + 1):
         parts = parts_of(j)
         if not parts:
-            out.append(_core.mix(ordered[:need] ^ _U(1)))
+            out.append(_core.mix(ordered[rare:need] ^ _U(1)))
             continue
         left = need - rare
         for k, own in ((2, s[level == 2]), (3, s[level == 3])):
@@ -131,7 +140,8 @@ def signatures(s: np.ndarray, level: np.ndarray) -> np.ndarray:
                 for column in np.array(found, dtype=np.uint64).T:
                     h = _core.mix(h * _U(5) + column)
                 out.append(h)
-    return np.unique(np.concatenate(out))
+    out = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *out]))
+    return np.concatenate([single, out]), np.repeat(np.array([len(s), len(s) - rare], dtype=np.uint32), [len(single), len(out)])
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -190,9 +200,10 @@ def sign(plain: DataFrame, table: np.ndarray, bits: int, slot_bits: int) -> Data
             size = [len(f[0]) for f in found]
             names = np.repeat(np.array([f[1] for f in found], dtype=np.int64), size)
             n = np.repeat(np.array([f[2] for f in found], dtype=np.uint32), size)
+            rare = n - np.concatenate([np.empty(0, dtype=np.uint32), *(f[3] for f in found)])
             order = np.argsort(signs, kind="stable")
-            signs, names, n = signs[order], names[order], n[order]
-            out = rows + [(k, SIGNED, 0, 0, signs[a:b].tobytes(), names[a:b].tobytes(), n[a:b].tobytes()) for k, a, b in dealt(signs, bits)]
+            signs, names, n, rare = (x[order] for x in (signs, names, n, rare))
+            out = rows + [(k, SIGNED, 0, 0, signs[a:b].tobytes(), names[a:b].tobytes(), np.stack([n[a:b], rare[a:b]]).tobytes()) for k, a, b in dealt(signs, bits)]
             rows.clear()
             found.clear()
             return _batch(out, schema)
@@ -203,7 +214,8 @@ def sign(plain: DataFrame, table: np.ndarray, bits: int, slot_bits: int) -> Data
                 for s in shingle_sets(part.column(1).to_pylist()):
                     if len(s) and (c := class_of(s)) not in seen:
                         seen.add(c)
-                        found.append((signatures(s, frequency.level_of(held.value, slot_bits, s)), c, len(s)))
+                        signs, most = signatures(s, frequency.level_of(held.value, slot_bits, s))
+                        found.append((signs, c, len(s), most))
                         rows.append((c % (1 << bits), PROFILE, c, len(s), parity(s).tobytes(), None, None))
                         total += len(found[-1][0])
                 if total > FLUSH_SIGNS:
@@ -219,6 +231,34 @@ def _near(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m).astype(np.int64) >= 80 * np.maximum(n, m)
 
 
+def _fit(n: np.ndarray, f: np.ndarray, m: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles of which min(f, g) at most are shared may link."""
+    return 9 * np.minimum(f, g) >= 4 * (n + m)
+
+
+def parted(n: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """A number for each set of a group, -1 for those that fit with none: sets that fit with
+    one another get the same number.
+
+    With c = (9f - 4n) // 4, two sets fit if each has n no greater than the other's c.  For two
+    with n <= c that is to say that the ranges n..c meet; a set with c < n fits only with
+    such whose range covers c..n, and two of them never fit."""
+    c, out = (9 * f - 4 * n) // 4, np.full(len(n), -1, dtype=np.int64)
+    wide = np.flatnonzero(c >= n)
+    if not len(wide):
+        return out
+    order = wide[np.argsort(n[wide], kind="stable")]
+    reach = np.maximum.accumulate(c[order])
+    new = np.concatenate([[True], n[order][1:] > reach[:-1]])
+    out[order] = np.cumsum(new) - 1
+    low, high = n[order][new], reach[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
+    rest = np.flatnonzero(c < n)
+    at = np.searchsorted(low, c[rest], "right") - 1
+    inside = (at >= 0) & (n[rest] <= high[np.maximum(at, 0)])
+    out[rest[inside]] = at[inside]
+    return out
+
+
 def candidates(signed: DataFrame, bits: int) -> DataFrame:
     """Pairs of classes that share a signature, larger groups whole, and the bitmaps."""
     schema = _core.arrow_schema(MESSAGES)
@@ -227,11 +267,12 @@ def candidates(signed: DataFrame, bits: int) -> DataFrame:
         bucket = data.column("bucket")[0].as_py()
         kind = np.asarray(data.column("kind").to_numpy())
         own = data.filter(pa.array(kind == SIGNED))
-        signs, names, n = (np.concatenate([np.empty(0, dtype=k)] + [np.frombuffer(x, dtype=k) for x in own.column(c).to_pylist()]) for c, k in (("x", np.uint64), ("y", np.int64), ("z", np.uint32)))
+        signs, names = (np.concatenate([np.empty(0, dtype=k)] + [np.frombuffer(x, dtype=k) for x in own.column(c).to_pylist()]) for c, k in (("x", np.uint64), ("y", np.int64)))
+        n, f = np.concatenate([np.empty((2, 0), dtype=np.int64)] + [np.frombuffer(x, dtype=np.uint32).reshape(2, -1).astype(np.int64) for x in own.column("z").to_pylist()], axis=1)
+        f = n - f
         order = np.lexsort((names, signs))
-        signs, names, n = signs[order], names[order], n[order]
-        new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (names[1:] != names[:-1])]) if len(signs) else np.empty(0, dtype=bool)
-        signs, names, n = signs[new], names[new], n[new]
+        order = order[np.concatenate([[True], (signs[order][1:] != signs[order][:-1]) | (names[order][1:] != names[order][:-1])])] if len(order) else order
+        signs, names, n, f = (x[order] for x in (signs, names, n, f))
         begin = np.flatnonzero(np.concatenate([[True], signs[1:] != signs[:-1]])) if len(signs) else np.empty(0, dtype=np.int64)
         size = np.diff(np.append(begin, len(signs)))
         left, right, groups = [], [], {}
@@ -241,13 +282,20 @@ def candidates(signed: DataFrame, bits: int) -> DataFrame:
             left.append((at[:, None] + i).ravel())
             right.append((at[:, None] + j).ravel())
         for b, k in zip(begin[size >= GROUP].tolist(), size[size >= GROUP].tolist()):
-            left += [np.full(k - 1, b), np.arange(b, b + k - 1)]
-            right += [np.arange(b + 1, b + k), np.arange(b + 1, b + k)]
-            groups.setdefault(names[b : b + k].tobytes(), n[b : b + k].tobytes())  # a group of the same classes once
+            part = parted(n[b : b + k], f[b : b + k])
+            order = np.argsort(part, kind="stable")  # within a part by class
+            edges = np.searchsorted(part[order], np.arange(part.max() + 2))
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                some = b + order[a:z]
+                if len(some) > 1:
+                    left += [np.full(len(some) - 1, some[0]), some[:-1]]
+                    right += [some[1:], some[1:]]
+                if len(some) > 2:
+                    groups.setdefault(names[some].tobytes())  # a group of the same classes once
         left, right = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (left, right))
-        fits = _near(n[left], n[right])
+        fits = _fit(n[left], f[left], n[right], f[right])
         pairs = np.unique(np.stack([names[left[fits]], names[right[fits]]], axis=1), axis=0) if fits.any() else np.empty((0, 2), dtype=np.int64)
-        out = [_batch([(bucket, GROUPED, int(signs[0] >> _U(1)) + i, 0, x, y, None) for i, (x, y) in enumerate(groups.items())], schema)]
+        out = [_batch([(bucket, GROUPED, 0, 0, x, None, None) for x in groups], schema)]
         none = pa.nulls(len(pairs), pa.binary())
         out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), bucket), type=pa.int32()), pa.array(np.full(len(pairs), PAIR), type=pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], schema=schema))
         profiles = data.filter(pa.array(kind == PROFILE)).cast(schema)
@@ -361,20 +409,40 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame | None:
-    """Links still missing between classes of larger groups, None if there can be none.
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, c, l) of the groups whose classes lie in several components, written."""
+    schema = _core.arrow_schema("g long, c long")
 
-    Groups that share classes are taken together, so no pair meets twice.  Of such a
-    cluster, the classes outside its largest component meet all its classes, in blocks
-    of BLOCK by BLOCK; of what meets, only links that join components are given out."""
+    def each(batches):
+        for batch in batches:
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                c = np.frombuffer(x, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), g)), pa.array(c)], schema=schema)
+
+    own = groups.select("g", "x").mapInArrow(_core.tidy(each), "g long, c long")
+    own = _core.materialise(own.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select("g", "c", F.coalesce("label", "c").alias("l")), "grouped")
+    some = own.groupBy("g").agg(F.min("l").alias("least"), F.max("l").alias("most")).filter("least < most").select("g")
+    out = _core.materialise(own.join(some, "g"), "mixed")
+    _core.discard(own)
+    return out
 
-    def stars(batches):
-        groups_ = (np.frombuffer(x, dtype=np.int64).tolist() for batch in batches for x in batch.column(0).to_pylist())
-        return spanning((c[0], x) for c in groups_ for x in c[1:])
 
-    clusters = components(groups.select("x").mapInArrow(_core.tidy(stars), "a long, b long"))
-    own = clusters.select(F.col("node").alias("c"), F.col("label").alias("w")).join(profiles, "c").join(labels.select(F.col("node").alias("c"), "label"), "c", "left")
-    own = _core.materialise(own.select("w", "c", "n", "x", F.coalesce("label", "c").alias("l")), "clusters")
+def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame | None:
+    """Links still missing between classes of larger groups, None if there can be none.
+
+    Only groups that hold several components matter.  Those that share classes are taken
+    together, so no pair meets twice.  Of such a cluster, the classes outside its largest
+    component meet all its classes, in blocks of BLOCK by BLOCK; of what meets, only links
+    that join components are given out."""
+    mixed = _mixed(groups, labels)
+    if mixed.isEmpty():
+        _core.discard(mixed)
+        return None
+    first = mixed.groupBy("g").agg(F.min("c").alias("a"))
+    clusters = components(mixed.join(first, "g").filter("a != c").select("a", F.col("c").alias("b")))
+    own = clusters.select(F.col("node").alias("c"), F.col("label").alias("w")).join(mixed.select("c", "l").distinct(), "c").join(profiles, "c")
+    own = _core.materialise(own.select("w", "c", "n", "x", "l"), "clusters")
+    _core.discard(mixed)
     sizes = own.groupBy("w", "l").agg(F.count("*").alias("k")).groupBy("w").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("l", F.struct("k", "l")).alias("main"))
     left = _core.materialise(own.join(sizes.filter("total > most"), "w"), "clusters")
     _core.discard(clusters, own)

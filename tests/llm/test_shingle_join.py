@@ -96,11 +96,50 @@ def test_signatures_lose_no_link():
             continue
         both = np.unique(np.concatenate([x, y]))
         level = dict(zip(both.tolist(), rng.integers(0, 4, len(both)).tolist()))
-        sx, sy = (S.signatures(s, np.array([level[v] for v in s.tolist()])) for s in (x, y))
-        assert len(np.intersect1d(sx, sy))
+        (sx, fx), (sy, fy) = (S.signatures(s, np.array([level[v] for v in s.tolist()])) for s in (x, y))
+        _, i, j = np.intersect1d(sx, sy, return_indices=True)
+        assert S._fit(len(x), fx[i].astype(int), len(y), fy[j].astype(int)).any()
         assert S.may_link(len(x), S.parity(x), len(y), S.parity(y))
 
 
+def test_parts_hold_all_pairs_that_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = rng.integers(1, int(rng.integers(3, 120)), int(rng.integers(1, 60)))
+        f = n - rng.integers(0, 1 + n // 3)
+        part = S.parted(n, f)
+        fits = S._fit(n[:, None], f[:, None], n, f)
+        np.fill_diagonal(fits, False)
+        a, b = np.nonzero(fits)
+        assert (part[a] == part[b]).all() and (part[a] >= 0).all()
+
+
+def thanks(rng, k, own=2):
+    """A short text of one template with `own` words at its end that no other has."""
+    return "thank you for your order we hope to see you again soon in one of our shops near you " + " ".join(f"o{k}x{j}{rng.randrange(10**6)}" for j in range(own))
+
+
+def test_texts_of_one_template(spark, make_docs):
+    """They share most shingles but do not link: no pairs come of it, however many there are."""
+    rng = random.Random(9)
+    rows = [(k, thanks(rng, k, rng.randrange(2, 6))) for k in range(120)] + [(200 + k, thanks(rng, 0, 0) + f" x{k % 4}") for k in range(40)]
+    assert found(S.join(make_docs(rows))) == brute(rows)
+    docs = make_docs([(k, thanks(rng, k, 3)) for k in range(3000)])
+    plain, bits = S._texts(docs, "doc_id", "text"), S.bucket_bits(spark)
+    table = S.frequency.levels(plain, S._distinct_sets, (2, S.RARE, S.FREQUENT), bits, 20)
+    assert S.candidates(S.sign(plain, table, bits, 20), bits).filter(f"kind in ({S.PAIR}, {S.GROUPED})").count() == 0
+
+
+def test_names_that_clash(spark, mixed_rows):
+    """Columns named as those an operator adds stay as they are."""
+    names = ["id", "class", "goes", "nth", "own", "Class", "goes_"]
+    docs = spark.createDataFrame([(i, t, *["x"] * 7) for i, t, *_ in mixed_rows], "doc_id long, text string, " + ", ".join(f"`{c}{'2' if c == 'Class' else ''}` string" for c in names))
+    out = S.keep_first(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {i for real, i, _, c in brute([r[:2] for r in mixed_rows]) if real and (c is None or i <= c)} | {None}
+    assert all(set(r[2:]) == {"x"} for r in out.collect())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
