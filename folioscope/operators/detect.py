@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .geometry import hull, to_quad
+from .pages import redetected
 from .raster import half_up, resize, unpack
 
 WORK = 320
@@ -87,7 +88,7 @@ def is_valid(q: np.ndarray, w: int, h: int) -> bool:
     u, v = np.roll(q, 1, axis=0) - q, np.roll(q, -1, axis=0) - q
     size = np.hypot(*u.T) * np.hypot(*v.T)
     angle = np.degrees(np.arccos(np.clip((u * v).sum(1) / np.where(size == 0, 1, size), -1, 1)))
-    return bool(((angle >= 45) & (angle <= 135)).all())
+    return bool((np.abs(angle - 90) <= 45 + 1e-9).all())  # an angle of 45 degrees may come out a little less
 
 
 def _attempt(gray: np.ndarray, thr: int, bright: bool) -> np.ndarray | None:
@@ -119,35 +120,101 @@ def _attempt(gray: np.ndarray, thr: int, bright: bool) -> np.ndarray | None:
     return np.clip((quad - 0.8 * d / np.where(far == 0, 1, far)) / [w, h], 0, 1)
 
 
-def detect(img: np.ndarray, first: bool | None = None) -> tuple[np.ndarray | None, bool | None]:
+def prepared(img: np.ndarray, work: int = WORK, least: int = 40) -> np.ndarray:
+    """Gray values at working size: the long edge `work`, each edge `least` at least."""
+    h, w = img.shape[:2]
+    k = work / max(w, h)
+    small = resize(img, max(least, half_up(w * k)), max(least, half_up(h * k))).astype(np.int32)
+    return (small @ np.array([77, 150, 29])) >> 8
+
+
+def choose(guess: bool, held: bool | None, attempt) -> tuple[object, bool | None]:
+    """Tries the polarity that held last, or else the guess, then the other: what attempt(bright)
+    gives, and the polarity it came of; (None, None) if neither gives anything."""
+    first = guess if held is None else held
+    for bright in (first, not first):
+        found = attempt(bright)
+        if found is not None:
+            return found, bright
+    return None, None
+
+
+def detect(img: np.ndarray, first: bool | None = None, work: int = WORK, least: int = 40) -> tuple[np.ndarray | None, bool | None]:
     """The page's quad, normalised, and whether it is brighter than its surroundings; or
     (None, None).  `first`: the polarity to try before the other, e.g. the last one that held."""
-    h, w = img.shape[:2]
-    k = WORK / max(w, h)
-    small = resize(img, max(40, half_up(w * k)), max(40, half_up(h * k))).astype(np.int32)
-    gray = (small @ np.array([77, 150, 29])) >> 8
+    gray = prepared(img, work, least)
     h, w = gray.shape
     thr, m = otsu(gray), max(2, half_up(min(w, h) * 0.04))
     x, y = np.meshgrid(np.arange(w), np.arange(h))
     border = (x < m) | (y < m) | (x >= w - m) | (y >= h - m)
     centre = ~border & (x > w * 0.35) & (x < w * 0.65) & (y > h * 0.35) & (y < h * 0.65)
-    guess = bool(gray[centre].mean() >= gray[border].mean()) if first is None else first
-    for bright in (guess, not guess):
-        quad = _attempt(gray, thr, bright)
-        if quad is not None:
-            return quad, bright
-    return None, None
+    mean = lambda some: gray[some].mean() if some.any() else 0.0
+    return choose(bool(mean(centre) >= mean(border)), first, lambda bright: _attempt(gray, thr, bright))
 
 
-def detect_pages(pages: DataFrame) -> DataFrame:
+def detect_pages(pages: DataFrame, work: int = WORK, least: int = 40) -> DataFrame:
     """(id, corners array<double> or null, bright) of images (id, w, h, data)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                quad, bright = detect(unpack(r.w, r.h, r.data))
+                quad, bright = detect(unpack(r.w, r.h, r.data), None, work, least)
                 rows.append((r.id, None if quad is None else quad.ravel().tolist(), bright))
             yield pd.DataFrame(rows, columns=["id", "corners", "bright"])
 
     return pages.select("id", "w", "h", "data").mapInPandas(run, "id string, corners array<double>, bright boolean")
+
+
+def redetect(pages: DataFrame) -> DataFrame:
+    """pages (id, w, h, data, corners, ...) with outlines found anew; null, the whole frame, where none is."""
+    return redetected(pages, detect_pages(pages).select("id", "corners"))
+
+
+# ---------------------------------------------------------------- one camera after another frame
+FOUND = "camera string, seq long, corners array<double>, bright boolean"
+
+
+def _follow(pdf: pd.DataFrame, held: bool | None, work: int, least: int) -> tuple[pd.DataFrame, bool | None]:
+    """Frames of one camera in order; the polarity that held is tried first on the next."""
+    rows = []
+    for r in pdf.sort_values("seq").itertuples(index=False):
+        quad, bright = detect(unpack(r.w, r.h, r.data), held, work, least)
+        held = held if bright is None else bright
+        rows.append((r.camera, r.seq, None if quad is None else quad.ravel().tolist(), bright))
+    return pd.DataFrame(rows, columns=["camera", "seq", "corners", "bright"]), held
+
+
+def detect_frames(frames: DataFrame, work: int = WORK, least: int = 40) -> DataFrame:
+    """Outlines in frames (camera, seq, w, h, data), each camera's in order in one task; give a
+    camera's stretches (a day, say) names of their own where one is too long for that."""
+    return frames.select("camera", "seq", "w", "h", "data").groupBy("camera").applyInPandas(lambda pdf: _follow(pdf, None, work, least)[0], FOUND)
+
+
+def detect_frames_stream(frames: DataFrame, work: int = WORK, least: int = 40) -> DataFrame:
+    """The same over a stream: a camera's polarity lives in the state store."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {1: True, 0: False}.get(state.get[0]) if state.exists else None
+        out, held = _follow(pd.concat(list(parts)), held, work, least)
+        state.update((-1 if held is None else int(held),))
+        yield out
+
+    return frames.select("camera", "seq", "w", "h", "data").groupBy("camera").applyInPandasWithState(run, FOUND, "bright int", "append", GroupStateTimeout.NoTimeout)
+
+
+def polarity_track(outcomes: DataFrame) -> DataFrame:
+    """(camera, seq, bright) of what frames would give (camera, seq, guess, bright_ok, dark_ok):
+    the rule of detect_frames() alone, without pixels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held, out = None, []
+        pdf = pdf.sort_values("seq").reset_index(drop=True)
+        for guess, ok, dark in zip(pdf["guess"], pdf["bright_ok"], pdf["dark_ok"]):
+            _, bright = choose(bool(guess), held, lambda b: True if (ok if b else dark) else None)  # noqa: B023
+            held = held if bright is None else bright
+            out.append(bright)
+        return pd.DataFrame({"camera": pdf["camera"], "seq": pdf["seq"], "bright": pd.array(out, dtype="boolean")})
+
+    return outcomes.groupBy("camera").applyInPandas(run, f"camera {dict(outcomes.dtypes)['camera']}, seq long, bright boolean")

@@ -94,6 +94,19 @@ def ordered() -> list[Column]:
     return [turned[i][a].alias(f"{a}{i}") for i in range(4) for a in "xy"]
 
 
+def unit_square_map() -> Column:
+    """The nine coefficients, by row, of the map that takes the unit square's corners onto the
+    quad's, in closed form; null if three corners lie on a line so that there is none."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = ((F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4))
+    ux, uy, vx, vy = x1 - x2, y1 - y2, x3 - x2, y3 - y2
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    det = ux * vy - vx * uy
+    g, h = (sx * vy - vx * sy) / det, (ux * sy - sx * uy) / det
+    m = F.array(x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h, F.lit(1.0))
+    flat = (x1 - x0) * (y3 - y0) - (x3 - x0) * (y1 - y0)
+    return F.when((F.abs(det) >= 1e-12) & (F.abs(flat) >= 1e-12), m)
+
+
 def nearest_corner(px: Column, py: Column, w: Column, h: Column, reach: float = 26.0) -> Column:
     """The corner nearest a place, null if none is within `reach` pixels; the first of equals."""
     d = [F.struct((F.sqrt(F.pow((F.col(f"x{i}") - px) * w, F.lit(2.0)) + F.pow((F.col(f"y{i}") - py) * h, F.lit(2.0))) / w).alias("d"), F.lit(i).alias("i")) for i in range(4)]

@@ -7,6 +7,8 @@ operators.raster; these are for statistics and for checking those.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,24 +82,25 @@ def illumination_blocks(pixels: DataFrame, w: int, h: int) -> DataFrame:
     return pixels.groupBy("image_id", block("x", w).alias("bx"), block("y", h).alias("by")).agg(F.max("v").alias("level"))
 
 
-def components(pixels: DataFrame, rounds: int = 64) -> DataFrame:
-    """Labels of 4-connected set pixels (v > 0): the least place y * 4096 + x reachable.
-    Minima spread along rows and columns by turns until nothing changes."""
+def components(pixels: DataFrame) -> DataFrame:
+    """Labels of 4-connected set pixels (v > 0): the least place y * 2**32 + x reachable, for an
+    image of any width.  Minima spread along rows and columns by turns until nothing changes,
+    however long that takes.  Every round ends in a checkpoint (spark.checkpoint.dir).  Whole
+    frames go through detect.largest_component, one task an image."""
     spark = pixels.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", ""):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
-    p = pixels.filter("v > 0").select("image_id", "x", "y", (F.col("y") * 4096 + F.col("x")).cast("long").alias("label"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        held = spark.conf.get("spark.checkpoint.dir", "")
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(held or tempfile.mkdtemp(prefix="folioscope-"))
+    p = pixels.filter("v > 0").select("image_id", "x", "y", (F.col("y").cast("long") * F.lit(1 << 32) + F.col("x")).alias("label"))
     for by, along in (("y", "x"), ("x", "y")):  # a run of neighbours in a line is found once
         p = p.withColumn(f"run_{along}", F.col(along) - F.row_number().over(W.partitionBy("image_id", by).orderBy(along)))
-    for _ in range(rounds):
-        new = p
+    p, same = p.withColumn("moved", F.lit(True)).checkpoint(), False
+    while not same:
+        new = p.withColumn("old", F.col("label"))
         for by, along in (("y", "x"), ("x", "y")):
             new = new.withColumn("label", F.min("label").over(W.partitionBy("image_id", by, f"run_{along}")))
-        new = new.withColumn("moved", F.lit(True)).checkpoint()
-        same = new.join(p.select("image_id", "x", "y", F.col("label").alias("old")), ["image_id", "x", "y"]).filter("label != old").isEmpty()
-        p = new.drop("moved")
-        if same:
-            break
+        p = new.withColumn("moved", F.col("label") != F.col("old")).drop("old").checkpoint()
+        same = p.filter("moved").isEmpty()
     return p.select("image_id", "x", "y", "label")

@@ -19,9 +19,24 @@ def move(pages: DataFrame, key: str, source: int, target: int) -> DataFrame:
     return pages.withColumn("_p", place).withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("_p", "id")) - 1).drop("_p")
 
 
-def delete(pages: DataFrame, key: str, gone: Column) -> DataFrame:
-    """Without the pages that `gone` holds for, renumbered so that no gap is left."""
-    return restored(pages.filter(~F.coalesce(gone, F.lit(False))), key)
+def delete(pages: DataFrame, gone: Column, key: str | None = None) -> DataFrame:
+    """Without the pages that `gone` holds for.  The others keep their order as it is; with
+    `key` they are renumbered, so that no gap is left."""
+    left = pages.filter(~F.coalesce(gone, F.lit(False)))
+    return restored(left, key) if key else left
+
+
+def clear(pages: DataFrame, chosen: Column) -> DataFrame:
+    """Without any page of the collections that `chosen` holds for."""
+    return delete(pages, chosen)
+
+
+def redetected(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """pages (id, corners, ...) with the corners of `found` (id, corners) in place of theirs; an
+    outline that was looked for and not found is null there, and clears them."""
+    new = found.select("id", F.col("corners").alias("_corners"), F.lit(True).alias("_seen"))
+    j = pages.join(new, "id", "left").withColumn("corners", F.when(F.col("_seen"), F.col("_corners")).otherwise(F.col("corners")))
+    return j.select(*pages.columns)
 
 
 def upsert(pages: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -61,3 +76,22 @@ def append(pages: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def write_texts(pages: DataFrame, path: str, key: str) -> None:
     """One text file a collection, in a folder of its own name; Spark's writer reaches any store."""
     pages.select(F.col(key), "text").repartition(F.col(key)).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+
+
+def page_texts(pages: DataFrame, stamp: Column) -> DataFrame:
+    """(name, body): one text file for each page that has a text, named as exports are."""
+    some = pages.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
+    return some.select(file_name(stamp, F.col("ord") + 1, "txt").alias("name"), F.encode("text", "utf-8").alias("body"))
+
+
+def short_number(v: Column) -> Column:
+    """A figure for people: no decimals from 100 on, one from 1 on, else three; halves go up."""
+    shown = lambda d: F.format_string(f"%.{d}f", F.floor(F.abs(v) * 10**d + 0.5) / 10**d)
+    size = F.when(F.abs(v) >= 100, shown(0)).when(F.abs(v) >= 1, shown(1)).otherwise(shown(3))
+    return F.concat(F.when(v < 0, "-").otherwise(""), size)
+
+
+def page_id(stamp: Column, salt: Column) -> Column:
+    """A page's id: `p`, the milliseconds in base 36, five characters made of the salt."""
+    millis = F.floor(F.unix_micros(stamp) / 1000)
+    return F.concat(F.lit("p"), F.lower(F.conv(millis.cast("string"), 10, 36)), F.left(F.md5(salt.cast("string").cast("binary")), F.lit(5)))

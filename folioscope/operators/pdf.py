@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,16 +28,31 @@ PRODUCER = "folioscope"
 
 
 # ---------------------------------------------------------------- columns
+def _units() -> np.ndarray:
+    out = np.full(1 << 16, 500, dtype=np.int64)
+    out[32:127] = HELVETICA
+    return out
+
+
 def text_width(text: Column, size: Column) -> Column:
-    """The natural width of a text: its characters counted by width, by what is left without them."""
-    alike: dict[int, str] = {}
-    for k, v in enumerate(HELVETICA):
-        if v != 500:
-            alike[v] = alike.get(v, "") + chr(32 + k)
-    total = F.length(text) * 500
-    for v, chars in alike.items():
-        total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * (v - 500)
-    return total * size / 1000
+    """The natural width of a text: one look-up a UTF-16 unit, over all texts of a batch at once."""
+
+    @F.pandas_udf("long")
+    def total(texts: pd.Series) -> pd.Series:
+        raw = [t.encode("utf-16-le", "surrogatepass") if t is not None else b"" for t in texts]
+        ends = np.cumsum([len(r) // 2 for r in raw], dtype=np.int64)
+        acc = np.concatenate([[0], np.cumsum(_units()[np.frombuffer(b"".join(raw), dtype="<u2")])])
+        return pd.Series(np.diff(acc[np.concatenate([[0], ends]).astype(np.int64)])).mask(texts.isna().to_numpy())
+
+    return total(text) * size / 1000
+
+
+def date_text(stamp: Column, offset_minutes: Column) -> Column:
+    """A PDF date: local time with the zone's distance from universal time."""
+    away = F.abs(offset_minutes)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    zone = F.concat(F.when(offset_minutes >= 0, "+").otherwise("-"), two(F.floor(away / 60)), F.lit("'"), two(away % 60), F.lit("'"))
+    return F.concat(F.lit("D:"), F.date_format(stamp, "yyyyMMddHHmmss"), zone)
 
 
 def literal_text(text: Column) -> Column:
@@ -84,6 +102,18 @@ def literal(text: str) -> bytes:
     return bytes(out + b")")
 
 
+def low_bytes(text: str) -> bytes:
+    """The low byte of every UTF-16 unit."""
+    return text.encode("utf-16-le", "surrogatepass")[::2]
+
+
+def created_now(now: datetime | None = None) -> str:
+    """The PDF date of now, or of a time with a zone."""
+    now = now or datetime.now().astimezone()
+    minutes = int((now.utcoffset().total_seconds() if now.utcoffset() else 0) // 60)
+    return f"D:{now:%Y%m%d%H%M%S}{'+' if minutes >= 0 else '-'}{abs(minutes) // 60:02d}'{abs(minutes) % 60:02d}'"
+
+
 def natural_width(text: str, size: float) -> float:
     units = len(text.encode("utf-16-le", "surrogatepass")) // 2
     plain = [HELVETICA[ord(c) - 32] for c in text if 32 <= ord(c) <= 126]
@@ -115,8 +145,9 @@ def content(w: int, h: int, size: str, words: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def build(pages: list[dict], size: str = "auto", title: str = "Scan", created: str = "D:19700101000000+00'00'", searchable: bool = True) -> bytes:
-    """A PDF 1.4 of pages {jpeg, w, h, words}."""
+def build(pages: list[dict], size: str = "auto", title: str = "Scan", created: str | None = None, searchable: bool = True) -> bytes:
+    """A PDF 1.4 of pages {jpeg, w, h, words}, created now unless said otherwise."""
+    created = created or created_now()
     stream = lambda head, body: b"<< " + head + b"/Length %d >>\nstream\n" % len(body) + body + b"\nendstream"
     kids = b" ".join(b"%d 0 R" % (5 + 3 * i) for i in range(len(pages)))
     objects = [
@@ -142,14 +173,15 @@ def build(pages: list[dict], size: str = "auto", title: str = "Scan", created: s
     return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R /Info 4 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, at))
 
 
-def build_documents(pages: DataFrame, key: str, size: str = "auto") -> DataFrame:
+def build_documents(pages: DataFrame, key: str, size: str = "auto", title: str = "Scan", created: str | None = None, searchable: bool = True) -> DataFrame:
     """One PDF for each key of pages (key, ord, jpeg, w, h, words): a document is one file,
     so its pages meet in one task."""
+    created = created or created_now()  # one date for all, also of tasks that run again
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         rows = [{"jpeg": r.jpeg, "w": r.w, "h": r.h, "words": [dict(x) if isinstance(x, dict) else x.asDict() for x in (r.words if r.words is not None else [])]} for r in pdf.itertuples()]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_pages": [len(rows)], "pdf": [build(rows, size)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_pages": [len(rows)], "pdf": [build(rows, size, title, created, searchable)]})
 
     kind = dict(pages.dtypes)[key]
     return pages.groupBy(key).applyInPandas(run, f"{key} {kind}, n_pages long, pdf binary")
@@ -160,3 +192,19 @@ def offsets(objects: DataFrame, key: str, order: str, body: str) -> DataFrame:
     size = F.octet_length(body)
     return objects.withColumn("at", F.coalesce(F.sum(size).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
+
+def objects(documents: DataFrame, key: str) -> DataFrame:
+    """(key, object, at, found): what the xref table of each PDF says of its objects, and
+    whether an object of that number begins there."""
+
+    @F.pandas_udf("array<struct<object:long,at:long,found:boolean>>")
+    def read(files: pd.Series) -> pd.Series:
+        out = []
+        for body in files:
+            start = int(body[body.rindex(b"startxref") + 9 :].split()[0])
+            rows = body[start:].split(b"\n")
+            places = [int(r[:10]) for r in rows[3 : 2 + int(rows[1].split()[1])]]
+            out.append([{"object": n, "at": p, "found": body[p:].startswith(b"%d 0 obj" % n)} for n, p in enumerate(places, 1)])
+        return pd.Series(out)
+
+    return documents.select(key, F.explode(read("pdf")).alias("o")).select(key, "o.object", "o.at", "o.found")

@@ -6,12 +6,14 @@ clamps to 0..255 and rounds half to even.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .geometry import PAPER, homography, project
 from .settings import DEFAULTS
@@ -33,6 +35,7 @@ def shoulder(v: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- resampling
+@functools.lru_cache(maxsize=16)
 def _axis_weights(n: int, m: int) -> np.ndarray:
     """(m, n): how much of each of n cells falls into each of m, or linear interpolation when growing."""
     out = np.zeros((m, n))
@@ -53,8 +56,8 @@ def resize(img: np.ndarray, w: int, h: int) -> np.ndarray:
     """Area averages when shrinking, bilinear when growing."""
     if img.shape[1] == w and img.shape[0] == h:
         return img
-    rows = np.tensordot(_axis_weights(img.shape[0], h), img.astype(float), (1, 0))
-    return store(np.moveaxis(np.tensordot(_axis_weights(img.shape[1], w), rows, (1, 1)), 0, 1))
+    rows = (_axis_weights(img.shape[0], h) @ img.reshape(img.shape[0], -1).astype(float)).reshape(h, img.shape[1], -1)
+    return store(_axis_weights(img.shape[1], w) @ rows)
 
 
 def fit(img: np.ndarray, longest: int) -> np.ndarray:
@@ -294,3 +297,20 @@ def render_pages(pages: DataFrame, longest: float = math.inf) -> DataFrame:
                 yield pd.DataFrame([(r.id, out.shape[1], out.shape[0], out.tobytes())], columns=["id", "w", "h", "data"])
 
     return pages.select("id", "w", "h", "data", "corners", "settings").mapInPandas(run, IMAGE)
+
+
+def fit_images(images: DataFrame, longest: int) -> DataFrame:
+    """Packed images no longer than `longest`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                out = fit(unpack(r.w, r.h, r.data), longest)
+                yield pd.DataFrame([(r.id, out.shape[1], out.shape[0], out.tobytes())], columns=["id", "w", "h", "data"])
+
+    return images.select("id", "w", "h", "data").mapInPandas(run, IMAGE)
+
+
+def identity_tone(contrast: Column, exposure: Column, gamma: Column, highlights: Column, shadows: Column) -> Column:
+    """Whether the tone table would change nothing."""
+    return (contrast == 0) & (exposure == 0) & (highlights == 0) & (shadows == 0) & (F.abs(gamma - 1) < 1e-6)

@@ -11,6 +11,8 @@ DEFAULTS = {
     "mode": "color", "flatten": 65.0, "wb": "gray", "temp": 0.0, "tint": 0.0, "exposure": 0.0, "contrast": 0.0, "gamma": 1.0, "highlights": 0.0,
     "shadows": 0.0, "saturation": 0.0, "vibrance": 0.0, "denoise": 0.0, "sharpen": 16.0, "threshold": 0.0, "window": 100.0,
 }
+#: The geometry of a page as it is taken.
+GEOMETRY = {"rotate": 0.0, "straighten": 0.0, "flipH": False, "flipV": False}
 #: What each preset sets.
 PRESETS = {
     "original": {"mode": "color", "flatten": 0, "wb": "off", "contrast": 0, "gamma": 1, "saturation": 0, "vibrance": 0, "sharpen": 0, "denoise": 0, "exposure": 0, "highlights": 0, "shadows": 0, "temp": 0, "tint": 0},
@@ -62,12 +64,31 @@ def edit(pages: DataFrame, field: str, value: Column) -> DataFrame:
     return pages.withColumns({field: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value)), "filter": F.lit("custom")})
 
 
-def reset_field(pages: DataFrame, field: str, preset: Column) -> DataFrame:
-    """A slider put back to what the page's preset says, or else the default."""
-    cases = F.lit(DEFAULTS[field])
+def reset_field(pages: DataFrame, field: str) -> DataFrame:
+    """A slider put back to what the page's present preset says, or else the default: a page
+    whose sliders were moved is `custom`, which is no preset."""
+    value = F.lit(DEFAULTS[field])
     for n in PRESETS:
-        cases = F.when(preset == n, F.lit(preset_record(n)[field])).otherwise(cases)
-    return pages.withColumn(field, cases)
+        value = F.when(F.col("filter") == n, F.lit(preset_record(n)[field])).otherwise(value)
+    return pages.withColumn(field, value)
+
+
+def reset_all(pages: DataFrame, chosen: Column) -> DataFrame:
+    """The chosen pages as a new one begins: defaults with the `auto` preset, no turn, flip or inversion."""
+    fresh = preset_record("auto") | {"filter": "auto"} | GEOMETRY | {"outSize": "detected", "invert": False}
+    return pages.withColumns({k: F.when(chosen, F.lit(v)).otherwise(F.col(k)) for k, v in fresh.items() if k in pages.columns})
+
+
+def choose(pages: DataFrame, field: str, value: Column) -> DataFrame:
+    """White balance, inversion or size chosen: the preset's name stays."""
+    if field not in ("wb", "invert", "outSize"):
+        raise ValueError(f"{field} is not a choice")
+    return pages.withColumn(field, value)
+
+
+def flip(pages: DataFrame, field: str, chosen: Column) -> DataFrame:
+    """flipH or flipV turned over on the chosen pages."""
+    return pages.withColumn(field, F.when(chosen, ~F.col(field)).otherwise(F.col(field)))
 
 
 def neutral(pages: DataFrame) -> DataFrame:
@@ -76,18 +97,26 @@ def neutral(pages: DataFrame) -> DataFrame:
     return pages.withColumns({k: F.lit(off[k]) for k in DEFAULTS} | {"filter": F.lit("original")})
 
 
-def apply_to_all(pages: DataFrame, chosen: Column) -> DataFrame:
-    """The settings of the one chosen page on all pages; each keeps its geometry."""
+def apply_to_all(pages: DataFrame, chosen: Column, order: str = "id") -> DataFrame:
+    """The settings of the chosen page on all pages; each keeps its geometry.  Of several
+    chosen pages the first by `order` counts; if none is chosen, all stay as they are."""
     fields = [c for c in pages.columns if c in DEFAULTS or c in ("filter", "outSize", "invert")]
-    one = pages.filter(chosen).select(*[F.col(c).alias(f"_{c}") for c in fields]).limit(1)
-    j = pages.crossJoin(F.broadcast(one))  # a single row
-    return j.select(*[F.col(f"_{c}").alias(c) if c in fields else F.col(c) for c in pages.columns])
+    one = pages.filter(chosen).orderBy(order).limit(1).select(F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in fields])
+    j = pages.join(F.broadcast(one), F.lit(True), "left")  # a single row
+    return j.select(*[F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in pages.columns])
 
 
-def inherit(pages: DataFrame, key: str, order: str, field: str) -> DataFrame:
-    """A page without an own value of `field` takes the one of the page before it."""
+def inherit(pages: DataFrame, key: str, order: str, own: Column) -> DataFrame:
+    """Settings of pages in the order they were taken: one that brings its own (`own` holds)
+    keeps all its fields, another takes those of the nearest page before that does, without
+    its turns and flips; one before which there is none keeps its own."""
     w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return pages.withColumn(field, F.last(field, ignorenulls=True).over(w))
+    fields = [c for c in pages.columns if c in DEFAULTS or c in ("filter", "outSize", "invert")]
+    held = F.last(F.when(own, F.struct(*[F.col(c) for c in fields])), ignorenulls=True).over(w)
+    j = pages.withColumn("_held", held).withColumn("_takes", F.coalesce(~own, F.lit(True)) & F.col("_held").isNotNull())
+    taken = {c: F.when(F.col("_takes"), F.col("_held")[c]).otherwise(F.col(c)) for c in fields}
+    level = {c: F.when(F.col("_takes"), F.lit(v)).otherwise(F.col(c)) for c, v in GEOMETRY.items() if c in pages.columns}
+    return j.select(*[(taken | level).get(c, F.col(c)).alias(c) for c in pages.columns])
 
 
 def changed(field: Column, default: float) -> Column:

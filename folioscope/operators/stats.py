@@ -49,14 +49,24 @@ def paper_level(pixels: DataFrame) -> DataFrame:
 
 
 def gray_gains(pixels: DataFrame, least: int = 32) -> DataFrame:
-    """Channel gains that make the mean of the lighter pixels gray; 1 where too few are light."""
+    """Channel gains that make the mean of the lighter pixels gray; 1 where too few are light.
+    Sums and counts by level of luma come first, so pixels are read once and at most a few
+    hundred rows an image are shuffled."""
     lum = luma709(F.col("r"), F.col("g"), F.col("b"))
-    light = pixels.join(paper_level(pixels), "image_id").filter(lum >= F.greatest(F.lit(24.0), F.col("level") * F.lit(0.55)))
-    m = light.groupBy("image_id").agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in "rgb"])
+    level = luma_level(F.col("r"), F.col("g"), F.col("b"))
+    # `reach`: the highest paper level at whose bound, 0.55 of it, the pixel still counts as light
+    near = F.least(F.lit(255), F.floor(lum / F.lit(0.55)).cast("int") + 1)
+    reach = F.when(lum >= near * F.lit(0.55), near).when(lum >= (near - 1) * F.lit(0.55), near - 1).otherwise(near - 2)
+    sums = pixels.groupBy("image_id", level.alias("v"), F.when(lum >= 24.0, reach).otherwise(-1).alias("reach"))
+    sums = sums.agg(F.count("*").alias("n"), *[F.sum(c).cast("long").alias(c) for c in "rgb"])
+    upto, whole = W.partitionBy("image_id").orderBy("v").rangeBetween(W.unboundedPreceding, 0), W.partitionBy("image_id")
+    h = sums.withColumn("acc", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
+    h = h.withColumn("paper", F.min(F.when(F.col("acc") >= F.col("total") * F.lit(0.9), F.col("v"))).over(whole))
+    light = F.col("reach") >= F.col("paper")
+    m = h.groupBy("image_id").agg(*[F.sum(F.when(light, F.col(c))).alias(c) for c in ("n", "r", "g", "b")])
     m = m.select("image_id", "n", *[(F.col(c) / F.col("n")).alias(c) for c in "rgb"]).withColumn("mean", (F.col("r") + F.col("g") + F.col("b")) / 3)
-    gain = lambda c: F.when(F.col("n") < least, F.lit(1.0)).otherwise(clamp(F.col("mean") / F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c)), 0.55, 1.9))
-    gains = m.select("image_id", *[gain(c).alias(f"g{c}") for c in "rgb"])
-    return pixels.select("image_id").distinct().join(gains, "image_id", "left").select("image_id", *[F.coalesce(f"g{c}", F.lit(1.0)).alias(f"g{c}") for c in "rgb"])
+    gain = lambda c: F.when(F.coalesce(F.col("n"), F.lit(0)) < least, F.lit(1.0)).otherwise(clamp(F.col("mean") / F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c)), 0.55, 1.9))
+    return m.select("image_id", *[gain(c).alias(f"g{c}") for c in "rgb"])
 
 
 def white_gains(pixels: DataFrame) -> DataFrame:

@@ -47,9 +47,45 @@ def box_class(conf: Column) -> Column:
     return F.when(conf > 85, "good").when(conf > 60, "warn").otherwise("bad")
 
 
+def segmentation_table(spark) -> DataFrame:
+    return spark.createDataFrame([(m, k == 0) for k, m in enumerate(SEGMENTATION)], "mode int, is_default boolean")
+
+
+def edited(pages: DataFrame, new: Column) -> DataFrame:
+    """Recognised text (struct `ocr`) overwritten where `new` is not null; a page that was never
+    read gets an entry without words, of an image of one pixel."""
+    w = F.col("ocr")
+    kept = F.when(w.isNotNull(), w.withField("text", new))
+    stub = F.struct(*[(new if k == "text" else F.lit(1) if k in ("imgW", "imgH") else F.array() if k == "words" else F.lit(None)).cast(t).alias(k) for k, t in _fields(pages, "ocr")])
+    return pages.withColumn("ocr", F.when(new.isNull(), w).otherwise(F.coalesce(kept, stub)))
+
+
+def _fields(df: DataFrame, name: str) -> list:
+    return [(f.name, f.dataType) for f in df.schema[name].dataType.fields]
+
+
+class Job:
+    """Work that can be called off: run(f) calls f under a job group, cancel() ends its tasks."""
+
+    def __init__(self, spark, name: str):
+        self.context, self.name = spark.sparkContext, name
+
+    def run(self, f: Callable):
+        self.context.setJobGroup(self.name, self.name, interruptOnCancel=True)
+        try:
+            return f()
+        finally:
+            self.context.setLocalProperty("spark.jobGroup.id", None)
+
+    def cancel(self) -> None:
+        self.context.cancelJobGroup(self.name)
+
+
 def recognise(pages: DataFrame, engine: Callable[[bytes, str, int], dict], image: str = "image", lang: str = "eng", psm: int = SEGMENTATION[0]) -> DataFrame:
     """pages with `ocr` from engine(image, lang, psm) -> {text, confidence, words}; a page
     that fails has its error there and does not stop the others."""
+    if lang not in LANGUAGES or psm not in SEGMENTATION:
+        raise ValueError(f"no language {lang} or no mode {psm}")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for images in batches:

@@ -7,21 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import pixel
 from ..operators import neighbour, settings, stats
 from ..sources import views
+from .registered import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 RASTER = "raster AS (SELECT vec_id AS image_id, p % 8 AS x, p // 8 AS y, round_even(least(255.0, greatest(0.0, 128.0::DOUBLE + 256.0::DOUBLE * embedding[p + 1]::DOUBLE)), 0)::BIGINT AS v FROM embeddings, (SELECT unnest(range(64)) AS p))"
@@ -272,7 +260,7 @@ def illumination_blocks(spark, d):
     return neighbour.illumination_blocks(views.raster8(spark, d), 8, 8).select("image_id", "bx", "by", F.col("level").cast("long").alias("level"))
 
 
-@query(f"""WITH RECURSIVE {RASTER}, p AS (SELECT image_id, x, y, (y * 4096 + x)::BIGINT AS id FROM raster WHERE v > 130),
+@query(f"""WITH RECURSIVE {RASTER}, p AS (SELECT image_id, x, y, (y * 4294967296 + x)::BIGINT AS id FROM raster WHERE v > 130),
  reach(image_id, x, y, label) AS (SELECT image_id, x, y, id FROM p UNION SELECT p.image_id, p.x, p.y, reach.label FROM reach JOIN p ON p.image_id = reach.image_id AND abs(p.x - reach.x) + abs(p.y - reach.y) = 1)
  SELECT image_id, x, y, min(label)::BIGINT AS label FROM reach GROUP BY 1, 2, 3""")
 def components(spark, d):

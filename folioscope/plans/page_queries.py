@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import detect as detector
-from ..operators import geometry, pages, pdf, raster, settings, stats, text
+from ..operators import geometry, pages, pdf, settings, stats, store, text
 from ..sources import images, views
 from ..streaming import capture
 from .imaging_queries import RASTER
+from .registered import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 # ---------------------------------------------------------------- settings
@@ -53,10 +39,12 @@ def slider_edit(spark, d):
     return settings.edit(p, "contrast", F.col("n") - F.lit(1200.0)).select("id", "filter", "contrast")
 
 
-@query(f"WITH {PRESETS}, {SETTINGS} SELECT id, sharpen FROM settings JOIN presets USING (filter)")
+@query(f"""WITH {PRESETS}, {SETTINGS}, s AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'custom' ELSE filter END AS filter FROM settings)
+ SELECT id, s.filter, coalesce(sharpen, 16.0::DOUBLE) AS sharpen FROM s LEFT JOIN presets USING (filter)""")
 def slider_reset(spark, d):
-    p = views.settings(spark, d).withColumn("sharpen", F.lit(99.0))
-    return settings.reset_field(p, "sharpen", F.col("filter")).select("id", "sharpen")
+    """Pages of even id were edited before, so no preset is left to go back to."""
+    p = views.settings(spark, d).withColumns({"sharpen": F.lit(99.0), "filter": F.when(F.col("id") % 2 == 0, "custom").otherwise(F.col("filter"))})
+    return settings.reset_field(p, "sharpen").select("id", "filter", "sharpen")
 
 
 @query(f"WITH {PRESETS}, {SETTINGS} SELECT id, rotate, straighten, 'original' AS filter, {LIST} FROM settings, (SELECT * EXCLUDE (filter) FROM presets WHERE filter = 'original')")
@@ -70,11 +58,13 @@ def apply_all(spark, d):
     return settings.apply_to_all(p, F.col("id") == 13).drop("n")
 
 
-@query("""WITH s AS (SELECT conv_id AS session, turn, CASE WHEN role = 'user' OR turn = 0 THEN turn * 7.0::DOUBLE END AS contrast FROM conversations)
- SELECT session, turn, last_value(contrast IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS contrast FROM s""")
+@query("""WITH s AS (SELECT conv_id AS session, turn, role = 'user' AND turn > 0 AS own, turn * 7.0::DOUBLE AS contrast, CASE WHEN turn % 2 = 0 THEN 'auto' ELSE 'ink' END AS filter, 90.0::DOUBLE AS rotate, turn % 3 = 0 AS flipH FROM conversations),
+ h AS (SELECT *, max(CASE WHEN own THEN turn END) OVER (PARTITION BY session ORDER BY turn ROWS UNBOUNDED PRECEDING) AS giver FROM s)
+ SELECT h.session, h.turn, coalesce(g.contrast, h.contrast) AS contrast, coalesce(g.filter, h.filter) AS filter, CASE WHEN h.own OR giver IS NULL THEN h.rotate ELSE 0 END::DOUBLE AS rotate, CASE WHEN h.own OR giver IS NULL THEN h.flipH ELSE false END AS flipH
+ FROM h LEFT JOIN s g ON g.session = h.session AND g.turn = h.giver""")
 def inherit(spark, d):
-    p = views.page_list(spark, d).select("session", F.col("ord").alias("turn"), F.when((F.col("role") == "user") | (F.col("ord") == 0), F.col("ord") * F.lit(7.0)).alias("contrast"))
-    return settings.inherit(p, "session", "turn", "contrast")
+    p = views.page_list(spark, d).select("session", F.col("ord").alias("turn"), ((F.col("role") == "user") & (F.col("ord") > 0)).alias("own"), (F.col("ord") * F.lit(7.0)).alias("contrast"), F.when(F.col("ord") % 2 == 0, "auto").otherwise("ink").alias("filter"), F.lit(90.0).alias("rotate"), (F.col("ord") % 3 == 0).alias("flipH"))
+    return settings.inherit(p, "session", "turn", F.col("own")).drop("own")
 
 
 @query(f"WITH {PRESETS}, {SETTINGS} SELECT id, abs(flatten - 65) > 1e-9 AS flatten_changed, abs(gamma - 1) > 1e-9 AS gamma_changed, abs(sharpen - 16) > 1e-9 AS sharpen_changed FROM settings JOIN presets USING (filter)")
@@ -103,9 +93,20 @@ def move_page(spark, d):
     return pages.move(views.page_list(spark, d), "session", 0, 2).select("session", "id", F.col("ord").cast("long").alias("ord"))
 
 
-@query(f"WITH {PAGES} SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY ord, id) - 1 AS ord FROM pages_ WHERE ord <> 1")
+@query(f"WITH {PAGES} SELECT session, id, ord FROM pages_ WHERE ord <> 1")
 def delete_page(spark, d):
-    return pages.delete(views.page_list(spark, d), "session", F.col("ord") == 1).select("session", "id", F.col("ord").cast("long").alias("ord"))
+    """The others keep their order."""
+    return pages.delete(views.page_list(spark, d), F.col("ord") == 1).select("session", "id", "ord")
+
+
+@query(f"WITH {PAGES} SELECT session, id, row_number() OVER (PARTITION BY session ORDER BY ord, id) - 1 AS ord FROM pages_ WHERE ord <> 1")
+def delete_renumbered(spark, d):
+    return pages.delete(views.page_list(spark, d), F.col("ord") == 1, "session").select("session", "id", F.col("ord").cast("long").alias("ord"))
+
+
+@query(f"WITH {PAGES} SELECT session, id, ord FROM pages_ WHERE session % 2 = 1")
+def clear_pages(spark, d):
+    return pages.clear(views.page_list(spark, d), F.col("session") % 2 == 0).select("session", "id", "ord")
 
 
 @query(f"WITH {PAGES} SELECT session, id, ord, CASE WHEN ord = 2 THEN upper(role) ELSE role END AS role FROM pages_")
@@ -229,64 +230,18 @@ def flip(spark, d):
     return geometry.flipped(views.raster8(spark, d), 8, 8, True, True)
 
 
-@query()
-def homography(spark, d):
-    """Coefficients of the map from the unit square onto each quad; null where there is none."""
-    q = views.quads(spark, d)
-
-    @F.pandas_udf("array<double>")
-    def solve(quad: pd.Series) -> pd.Series:
-        unit = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], dtype=float)
-        found = [geometry.homography(unit, np.reshape(x, (4, 2))) for x in quad]
-        return pd.Series([None if m is None else m.ravel().tolist() for m in found])
-
-    return q.select("id", solve(F.array(*geometry.QUAD)).alias("matrix"))
-
-
-@query()
-def hull(spark, d):
-    """The convex hull of the bright pixels of each raster, and the quad it is cut down to."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        points = geometry.hull(p[["x", "y"]].to_numpy())
-        return pd.DataFrame({"image_id": [p["image_id"].iloc[0]], "hull": [points.astype(float).ravel().tolist()], "quad": [geometry.to_quad(points).ravel().tolist()]})
-
-    return views.raster8(spark, d).filter("v > 150").select("image_id", "x", "y").groupBy("image_id").applyInPandas(run, "image_id long, hull array<double>, quad array<double>")
+#: the map of the unit square onto a quad, as SQL over x0..y3
+SQUARE = """u AS (SELECT *, x1 - x2 AS ux, y1 - y2 AS uy, x3 - x2 AS vx, y3 - y2 AS vy, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM {quads}),
+ u1 AS (SELECT *, ux * vy - vx * uy AS det, (x1 - x0) * (y3 - y0) - (x3 - x0) * (y1 - y0) AS flat FROM u),
+ u2 AS (SELECT *, (sx * vy - vx * sy) / det AS g, (ux * sy - sx * uy) / det AS h_ FROM u1 WHERE abs(det) >= 1e-12 AND abs(flat) >= 1e-12)"""
+_COEFFICIENTS = ("x1 - x0 + g * x1", "x3 - x0 + h_ * x3", "x0", "y1 - y0 + g * y1", "y3 - y0 + h_ * y3", "y0", "g", "h_", "1.0::DOUBLE")
 
 
-def _packed(spark, d):
-    """The 8x8 rasters as packed gray RGB images."""
-    v = views.raster8(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p"))  # 64 pixels an image
-    one = F.concat(*[F.unhex(F.lpad(F.hex(F.col("p")[i]["v"]), 2, "0")) for i in range(64) for _ in range(3)])
-    return v.select(F.col("image_id").cast("string").alias("id"), F.lit(8).alias("w"), F.lit(8).alias("h"), one.alias("data"))
-
-
-@query()
-def warp(spark, d):
-    """Every raster straightened from a fixed quad by the packed pipeline, without colour stages."""
-    quad = F.array(*[F.lit(float(v)) for v in (0.1, 0.1, 0.9, 0.2, 0.85, 0.95, 0.05, 0.9)])
-    off = F.create_map(*[F.lit(x) for k, v in settings.preset_record("original").items() for x in (k, str(v))])
-    return raster.render_pages(_packed(spark, d).withColumn("corners", quad).withColumn("settings", off))
-
-
-@query()
-def render_pipeline(spark, d):
-    """Every raster rendered with the preset its id picks."""
-    names = F.element_at(F.array(*[F.lit(n) for n in views.PRESET_NAMES]), (F.col("id").cast("int") % 8 + 1))
-    table = F.create_map(*[x for n in settings.PRESETS for x in (F.lit(n), F.create_map(*[F.lit(y) for k, v in settings.preset_record(n).items() for y in (k, str(v))]))])
-    return raster.render_pages(_packed(spark, d).withColumn("corners", F.lit(None).cast("array<double>")).withColumn("settings", F.element_at(table, names)))
-
-
-@query()
-def detect(spark, d):
-    """The page outline found in every raster, null where none convinces."""
-    return detector.detect_pages(_packed(spark, d))
-
-
-@query()
-def image_export(spark, d):
-    """PNG sizes of all rasters."""
-    return images.estimate(images.encode_png(_packed(spark, d)))
+@query(f"WITH {QUADS}, {SQUARE.format(quads='quads')} SELECT quads.id, " + ", ".join(f"round({c}, 9) AS m{k}" for k, c in enumerate(f"m.{x}" for x in ("a", "b", "c", "d", "e", "f", "g", "h", "i"))) + " FROM quads LEFT JOIN (SELECT id, " + ", ".join(f"{c} AS {n}" for c, n in zip(_COEFFICIENTS, "abcdefghi")) + " FROM u2) m USING (id)")
+def homography(spark, d):
+    """Coefficients of the map from the unit square onto each quad; null where there is none."""
+    m = views.quads(spark, d).select("id", geometry.unit_square_map().alias("m"))
+    return m.select("id", *[F.round(F.col("m")[k], 9).alias(f"m{k}") for k in range(9)])
 
 
 # ---------------------------------------------------------------- text
@@ -306,8 +261,10 @@ def flatten_words(spark, d):
     """Words nested in blocks, paragraphs and lines, and back to a list; some lack a box."""
     w = views.ocr_words(spark, d).withColumn("x0", F.when(F.col("i") % 7 != 3, F.col("x0")))
     word = F.struct(F.col("word").alias("text"), "conf", "x0", "y0", "x1", "y1")
-    lines = w.groupBy("doc_id", F.floor(F.col("i") / 10).alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", word.alias("w")))), lambda x: x["w"]).alias("words"), F.min("i").alias("i0"))
-    blocks = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i0", "words"))), lambda x: F.struct(F.array(F.struct(F.array(F.struct(x["words"].alias("words"))).alias("lines"))).alias("paragraphs"))).alias("blocks"))
+    own = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", word.alias("w")))).alias("ws"))  # the words of one text
+    line = lambda k: F.transform(F.slice("ws", k * 10 + 1, 10), lambda x: x["w"])
+    block = lambda k: F.struct(F.array(F.struct(F.array(F.struct(line(k).alias("words"))).alias("lines"))).alias("paragraphs"))
+    blocks = own.select("doc_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 10).cast("int")), block).alias("blocks"))
     none = F.lit(None).cast("array<struct<text:string,conf:double,x0:double,y0:double,x1:double,y1:double>>")
     out = blocks.select("doc_id", F.explode(text.word_list(none, F.col("blocks"))).alias("w"))
     return out.select("doc_id", (F.floor(F.col("w.y0") / 20) * 10 + F.floor(F.col("w.x0") / 100)).cast("long").alias("i"), "w.text", "w.conf")
@@ -357,18 +314,6 @@ def text_layer(spark, d):
     return t.select("doc_id", F.col("i").cast("long").alias("i"), F.round("size", 6).alias("size"), F.round("stretch", 6).alias("stretch"), F.round("tx", 6).alias("tx"), F.round("ty", 6).alias("ty"))
 
 
-@query(f"WITH {PAGES} SELECT session, ord, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY session ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM pages_")
-def xref_offsets(spark, d):
-    return pdf.offsets(views.page_list(spark, d), "session", "ord", "text").select("session", "ord", "at")
-
-
-@query()
-def pdf_build(spark, d):
-    """One document of each conversation, a page a turn, its words unseen on the page."""
-    p = views.page_list(spark, d).select("session", "ord", F.encode("text", "utf-8").alias("jpeg"), F.lit(1000).alias("w"), F.lit(1400).alias("h"), F.split("text", " ").alias("ws"))
-    box = lambda i: ((i % 10) * 100).cast("double")
-    words = F.transform("ws", lambda x, i: F.struct(x.alias("text"), box(i).alias("x0"), (F.floor(i / 10) * 20).cast("double").alias("y0"), (box(i) + 80).alias("x1"), (F.floor(i / 10) * 20 + 16).cast("double").alias("y1")))
-    return pdf.build_documents(p.withColumn("words", words).drop("ws"), "session").select("session", "n_pages", F.octet_length("pdf").alias("n_bytes"))
 
 
 # ---------------------------------------------------------------- streams
@@ -464,9 +409,8 @@ def mime_filter(spark, d):
 @query("SELECT event_type AS key, arg_max(props, (ts, event_id)) AS value FROM events GROUP BY 1")
 def key_value_store(spark, d):
     """The last value put under each key, as a settings store keeps it."""
-    w = W.partitionBy("key").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    e = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), "ts", "event_id")
-    return e.withColumn("n", F.row_number().over(w)).filter("n = 1").select("key", "value")
+    log = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), "ts", "event_id")
+    return store.latest(log, "ts", "event_id")
 
 
 # ---------------------------------------------------------------- and more
@@ -530,24 +474,9 @@ _MARKS = "".join(map(chr, pdf.WIN_ANSI))
 _CODES = "".join(map(chr, pdf.WIN_ANSI.values()))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, replace(left(text, 60), 'e', '(\') || chr(8212) || chr(8364) || chr(9) || chr(26085) || chr(128512) AS s FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, replace(text, 'e', '(\') || chr(8212) || chr(8364) || chr(9) || chr(26085) || chr(128512) AS s FROM documents),
  u AS (SELECT doc_id, regexp_replace(regexp_replace(s, '[\x{{10000}}-\x{{10FFFF}}]', '??', 'g'), '[^\x00-\xff{_MARKS}]', '?', 'g') AS s FROM t)
  SELECT doc_id, '(' || regexp_replace(regexp_replace(translate(s, '{_MARKS}', '{_CODES}'), '[\x00-\x1f]', ' ', 'g'), '([()\\])', '\\\1', 'g') || ')' AS literal FROM u""")
 def pdf_string(spark, d):
-    s = F.concat(F.replace(F.left("text", F.lit(60)), F.lit("e"), F.lit("(\\")), F.lit("—€\t日\U0001f600"))
-    return views.table(spark, d, "documents").select("doc_id", pdf.literal_text(s).alias("literal"))
-
-
-@query(SQL["pdf_string"].replace("left(text, 60)", "text"))
-def pdf_string_whole(spark, d):
-    """pdf_string of whole texts."""
     s = F.concat(F.replace("text", F.lit("e"), F.lit("(\\")), F.lit("—€\t日\U0001f600"))
     return views.table(spark, d, "documents").select("doc_id", pdf.literal_text(s).alias("literal"))
-
-
-@query()
-def thumbnail(spark, d):
-    """Every raster rendered small and encoded."""
-    none = F.lit(None).cast("array<double>")
-    p = _packed(spark, d).withColumn("corners", none).withColumn("settings", F.lit(None).cast("map<string,string>"))
-    return images.encode_png(raster.render_pages(p, 160)).select("id", "w", "h", "n_bytes")

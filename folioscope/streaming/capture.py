@@ -107,8 +107,8 @@ def interval_capture(samples: DataFrame, seconds: int) -> DataFrame:
     if samples.isStreaming:
         w = F.window("ts", f"{seconds} seconds")
         return samples.groupBy("camera", w).agg(F.min(F.struct("ts", "event_id")).alias("f")).select("camera", "f.ts", "f.event_id")
-    first = W.partitionBy("camera", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000))).orderBy("ts", "event_id")
-    return samples.withColumn("n", F.row_number().over(first)).filter("n = 1").select("camera", "ts", "event_id")
+    slot = F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)).alias("slot")
+    return samples.groupBy("camera", slot).agg(F.min(F.struct("ts", "event_id")).alias("f")).select("camera", "f.ts", "f.event_id")
 
 
 # ---------------------------------------------------------------- outline
@@ -190,6 +190,75 @@ def first_knob(capabilities: DataFrame, device: str = "device") -> DataFrame:
     return capabilities.filter((F.col("kind") == "range") & (rank > 0)).withColumn("n", F.row_number().over(W.partitionBy(device).orderBy(rank))).filter("n = 1").drop("n")
 
 
+def video_devices(devices: DataFrame) -> DataFrame:
+    """The devices that give video."""
+    return devices.filter(F.col("kind") == "videoinput")
+
+
+#: Sizes asked for after the sensor's own, largest first.
+LADDER = ((3840, 2160), (2560, 1440))
+
+
+def ladder(devices: DataFrame) -> DataFrame:
+    """(device, start_w, rung, w, h): sizes to ask of each device (device, start_w, max_w, max_h),
+    in order: those wider than what it gives now."""
+    sizes = F.array(F.struct(F.col("max_w").alias("w"), F.col("max_h").alias("h")), *[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in LADDER])
+    rungs = devices.select("device", "start_w", F.posexplode(sizes).alias("rung", "size")).select("device", "start_w", "rung", "size.w", "size.h")
+    return rungs.filter(F.col("w") > F.coalesce("start_w", F.lit(0)))
+
+
+def raised_mode(attempts: DataFrame) -> DataFrame:
+    """What each device ends with, of its attempts (device, start_w, rung, w, h, got_w, renders):
+    the first that was taken (got_w is null if refused), is wider than before, and gives frames.
+    Any other is undone; a device without one keeps its size and is left out."""
+    good = attempts.filter((F.col("got_w") > F.coalesce("start_w", F.lit(0))) & F.col("renders"))
+    return good.groupBy("device").agg(F.min(F.struct("rung", "w", "h", "got_w")).alias("m")).select("device", "m.rung", "m.w", "m.h", "m.got_w")
+
+
+#: Controls in the order they are shown: key, label, kind.
+CONTROLS = (
+    ("exposureMode", "Exposure mode", "enum"), ("exposureCompensation", "Exposure compensation", "range"), ("exposureTime", "Exposure time", "range"), ("iso", "ISO", "range"),
+    ("brightness", "Brightness", "range"), ("contrast", "Contrast", "range"), ("saturation", "Saturation", "range"), ("sharpness", "Sharpness", "range"), ("zoom", "Zoom", "range"),
+    ("focusMode", "Focus", "enum"), ("focusDistance", "Focus distance", "range"), ("whiteBalanceMode", "White balance", "enum"), ("colorTemperature", "Colour temp.", "range"), ("torch", "Torch / lamp", "bool"),
+)
+#: Controls that do nothing before a mode is set to `manual`.
+NEEDS_MANUAL = {"exposureTime": "exposureMode", "iso": "exposureMode", "focusDistance": "focusMode", "colorTemperature": "whiteBalanceMode"}
+
+
+def capabilities(raw: DataFrame) -> DataFrame:
+    """(device, place, key, label, kind, low, high, step, value, options, needs): the controls worth
+    showing, of what devices report (device, key, low, high, step, options array<string>, value
+    string).  A range must have room, a choice two options, a switch the option `true`."""
+    spec = raw.sparkSession.createDataFrame([(k, *c, NEEDS_MANUAL.get(c[0])) for k, c in enumerate(CONTROLS)], "place int, key string, label string, kind string, needs string")
+    j = raw.join(F.broadcast(spec), "key")  # fourteen rows
+    ranged, n = F.col("kind") == "range", F.size(F.coalesce("options", F.array().cast("array<string>")))
+    room = F.col("low").isNotNull() & F.coalesce(F.col("high") != F.col("low"), F.lit(True))
+    shown = F.when(ranged, room).when(F.col("kind") == "enum", n >= 2).otherwise(F.coalesce(F.array_contains("options", "true"), F.lit(False)))
+    step = F.when(ranged, F.when(F.coalesce(F.col("step"), F.lit(0.0)) != 0, F.col("step")).otherwise((F.col("high") - F.col("low")) / 100))
+    value = F.when(ranged, F.coalesce("value", F.col("low").cast("string"))).when(F.col("kind") == "bool", F.coalesce(F.col("value") == "true", F.lit(False)).cast("string")).otherwise(F.col("value"))
+    return j.filter(shown).select(
+        "device", "place", "key", "label", "kind", F.when(ranged, F.col("low")).alias("low"), F.when(ranged, F.col("high")).alias("high"), step.alias("step"), value.alias("value"),
+        F.when(F.col("kind") == "enum", F.col("options")).alias("options"), "needs",
+    )
+
+
+def control_steps(key: Column, mode_options: Column, mode_now: Column) -> Column:
+    """What to set, in order, to change a control: its mode first, where the device can be set to
+    `manual` and is not."""
+    mode = F.lit(None).cast("string")
+    for k, m in NEEDS_MANUAL.items():
+        mode = F.when(key == k, F.lit(m)).otherwise(mode)
+    first = mode.isNotNull() & F.coalesce(F.array_contains(mode_options, "manual"), F.lit(False)) & ~F.coalesce(mode_now == "manual", F.lit(False))
+    return F.when(first, F.array(F.concat(mode, F.lit("=manual")), key)).otherwise(F.array(key))
+
+
+def refocus_steps(modes: Column) -> Column:
+    """The focus modes to set, in order, to make a lens focus again; null if it can't."""
+    has = lambda m: F.array_contains(modes, m)
+    again = F.when(has("manual"), F.array(F.lit("manual"), F.lit("continuous"))).otherwise(F.array(F.lit("continuous")))
+    return F.when(has("single-shot"), F.array(F.lit("single-shot"))).when(has("continuous"), again)
+
+
 def preview_mode(modes: DataFrame, device: str = "device", heights: tuple[int, ...] = (1200, 960, 720), slack: float = 0.02, fps: float = 20) -> DataFrame:
     """Of each device (w, h, fps, aspect of its sensor) the first height that keeps the aspect and the rate."""
     rank = F.array_position(F.array(*[F.lit(h) for h in heights]), F.col("h"))

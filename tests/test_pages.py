@@ -1,14 +1,17 @@
 """PDF structure, streams against batches, sources and sinks, and the pipeline over Spark."""
 
+import os
 import re
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from folioscope.operators import pdf, raster, settings, text
+from folioscope.operators import detect, pdf, raster, settings, text
 from folioscope.plans.registry import QUERIES
-from folioscope.sources import images
+from folioscope.sources import camera, codec, images
 from folioscope.streaming import capture
 
 
@@ -21,7 +24,7 @@ def test_pdf_strings_of_whole_texts(spark, tmp_path):
     """A registered query gives every text whole, as pdf.literal() does."""
     rows = [(1, None), (2, ""), (3, "short\n\x00 (one)"), (4, "x" * 61 + "—é日\\)"), (5, "tail e “q” \U0001f600\t" * 400)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.literal for r in QUERIES["pdf_string_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.literal for r in QUERIES["pdf_string"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else pdf.literal(t.replace("e", "(\\") + "—€\t日\U0001f600").decode("latin-1") for i, t in rows}
 
 
@@ -143,10 +146,172 @@ def test_images_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(k, v.shape[1], v.shape[0], bytearray(v.tobytes())) for k, v in px.items()], raster.IMAGE)
     from pyspark.sql import functions as F
 
-    images.write_files(images.encode_png(df), F.concat("id", F.lit(".png")), F.col("png"), str(tmp_path / "out"))
+    files = images.encode(df)
+    images.write_files(files, F.concat("id", F.lit(".png")), F.col("file"), str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["a0.png", "a1.png", "a2.png"]
     (tmp_path / "out" / "broken.png").write_bytes(b"no image")
     back = {r.id.rsplit("/", 1)[1][:-4]: raster.unpack(r.w, r.h, r.data) for r in images.read_images(spark, str(tmp_path / "out")).collect()}
     assert set(back) == set(px) and all((back[k] == px[k]).all() for k in px)
+    plain = {r.id: raster.unpack(r.w, r.h, r.data) for r in images.decode_png(files.select("id", "file").unionByName(spark.createDataFrame([("x", bytearray(b"none"))], "id string, file binary"))).collect()}
+    assert set(plain) == set(px) and all((plain[k] == px[k]).all() for k in px)
+    with pytest.raises(ValueError):
+        images.encode(df, "webp")
+
+
+def test_file_names_stay_apart(spark, tmp_path):
+    """Names that differ by signs a path can't hold give files of their own; a failed job leaves nothing."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(n, bytearray(n.encode())) for n in ("a/b", "a_b", "a b", "..")], "name string, body binary")
+    images.write_files(df, F.col("name"), F.col("body"), str(tmp_path / "o"))
+    assert sorted((tmp_path / "o" / n).read_bytes().decode() for n in os.listdir(tmp_path / "o")) == ["..", "a b", "a/b", "a_b"]
+    bad = df.withColumn("name", F.when(F.col("name") == "a b", F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("name")))
+    with pytest.raises(Exception):
+        images.write_files(bad, F.col("name"), F.col("body"), str(tmp_path / "p"))
+    assert not os.path.isdir(tmp_path / "p") or os.listdir(tmp_path / "p") == []
+
+
+def test_jpeg_files_decode(spark, tmp_path):
+    """A reader of its own decodes them to nearly the same pixels; larger quality, less loss."""
+    rng = np.random.default_rng(4)
+    x, y = np.meshgrid(np.arange(97), np.arange(61))
+    px = {"ramp": np.stack([x * 2, y * 3, x + y], -1).astype(np.uint8), "flat": np.full((8, 8, 3), 77, dtype=np.uint8), "noise": rng.integers(0, 256, (33, 41, 3), dtype=np.uint8), "one": np.array([[[250, 3, 128]]], dtype=np.uint8)}
+    for k, v in px.items():
+        for q in (30, 95):
+            (tmp_path / f"{k}-{q}.jpg").write_bytes(codec.jpeg(v, q / 100))
+    loss = {}
+    for r in images.read_images(spark, str(tmp_path)).collect():
+        name, q = r.id.rsplit("/", 1)[1][:-4].split("-")
+        assert (r.h, r.w) == px[name].shape[:2]
+        loss[name, int(q)] = float(((raster.unpack(r.w, r.h, r.data).astype(float) - px[name]) ** 2).mean())
+    assert len(loss) == 8 and all(loss[k, 95] <= loss[k, 30] for k in px)
+    assert loss["ramp", 95] < 2 and loss["flat", 95] < 2 and loss["noise", 95] < 30
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    rng = np.random.default_rng(kind)
+    for channels, colour in ((3, 2), (4, 6), (1, 0)):
+        px = rng.integers(0, 256, (6, 5, channels), dtype=np.uint8)
+        rows, above = [], np.zeros(5 * channels, dtype=int)
+        for y in range(6):
+            row = px[y].reshape(-1).astype(int)
+            left = np.concatenate([np.zeros(channels, dtype=int), row[:-channels]])
+            corner = np.concatenate([np.zeros(channels, dtype=int), above[:-channels]])
+            p = left + above - corner
+            near = np.stack([abs(p - left), abs(p - above), abs(p - corner)]).argmin(0)
+            guess = (0 * row, left, above, (left + above) // 2, np.choose(near, [left, above, corner]))[kind]
+            rows.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+            above = row
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        body = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+        want = np.repeat(px, 3, axis=2) if channels == 1 else px[..., :3]
+        assert (codec.unpng(body) == want).all()
+
+
+def test_camera_stream_and_outlines(spark, tmp_path):
+    """Frames of the made-up camera as a stream equal those as a batch; so do their outlines."""
+    spark.dataSource.register(camera.CameraSource)
+    reader = lambda r: r.format("camera").option("width", 999).option("frames", 9).option("per_batch", 4)
+    batch = reader(spark.read).load()
+    rows = {(r.seq, r.w, r.h, bytes(r.data)) for r in batch.collect()}
+    assert len(rows) == 9 and {(w, h) for _, w, h, _ in rows} == {(64, 48)}  # a size it can't give: its own
+    stream = reader(spark.readStream).load()
+    q = stream.writeStream.format("memory").queryName("frames").option("checkpointLocation", str(tmp_path / "f")).trigger(processingTime="0 seconds").start()
+    for _ in range(100):
+        q.processAllAvailable() if q.isActive else None
+        if spark.table("frames").count() >= 9:
+            break
+    q.stop()
+    assert {(r.seq, r.w, r.h, bytes(r.data)) for r in spark.table("frames").collect()} == rows
+    rng = np.random.default_rng(2)
+    px = []
+    for k in range(12):
+        img = np.full((40, 60, 3), 200 if k % 3 else 30, dtype=np.uint8)
+        img[6:34, 8:52] = 30 if k % 3 else 200
+        px.append((k, raster.store(img + rng.normal(0, 1, img.shape))))
+    frames = spark.createDataFrame([("ab"[k % 2], k, 60, 40, bytearray(v.tobytes())) for k, v in px], "camera string, seq long, w int, h int, data binary")
+    seen = lambda df: sorted((r.camera, r.seq, tuple(r.corners or ()), r.bright) for r in df.collect())
+    want = seen(detect.detect_frames(frames))
+    assert len(want) == 12 and all(c for _, _, c, _ in want)
+    for k in range(3):
+        frames.filter(f"seq div 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    detect.detect_frames_stream(s).writeStream.format("memory").queryName("outlines").option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).start().awaitTermination()
+    assert seen(spark.table("outlines")) == want
+
+
+def test_pages_looked_at_again(spark):
+    img = np.full((60, 80, 3), 20, dtype=np.uint8)
+    img[10:50, 12:70] = 220
+    flat = np.full((60, 80, 3), 90, dtype=np.uint8)
+    rows = [(k, 80, 60, bytearray(v.tobytes()), [0.0] * 8) for k, v in (("page", img), ("flat", flat))]
+    out = {r.id: r.corners for r in detect.redetect(spark.createDataFrame(rows, "id string, w int, h int, data binary, corners array<double>")).collect()}
+    assert out["flat"] is None and np.abs(np.array(out["page"]) - [0.15, 1 / 6, 0.875, 1 / 6, 0.875, 5 / 6, 0.15, 5 / 6]).max() < 0.03
+
+
+def test_settings_of_all_pages(spark):
+    df = spark.createDataFrame([(k, "ink", float(k), 90.0 * k, k == 1) for k in range(4)], "id long, filter string, contrast double, rotate double, invert boolean")
+    from pyspark.sql import functions as F
+
+    assert sorted(map(tuple, settings.apply_to_all(df, F.col("id") == 99).collect())) == sorted(map(tuple, df.collect()))  # none chosen
+    two = settings.apply_to_all(df, F.col("id") >= 2).collect()
+    assert {(r.contrast, r.invert) for r in two} == {(2.0, False)} and {r.rotate for r in two} == {0.0, 90.0, 180.0, 270.0}
+    null = settings.apply_to_all(df.withColumn("contrast", F.when(F.col("id") != 1, F.col("contrast"))), F.col("id") == 1).collect()
+    assert {r.contrast for r in null} == {None}  # a null of the chosen page is taken over, too
+
+
+def test_work_is_called_off(spark):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    @F.udf("int")
+    def slow(x):
+        time.sleep(0.5)
+        return 1
+
+    job, seen = text.Job(spark, "reading"), []
+
+    def work():
+        try:
+            seen.append(job.run(lambda: spark.range(0, 400, 1, 4).select(slow("id").alias("x")).agg(F.sum("x")).collect()))
+        except Exception as e:
+            seen.append(e)
+
+    t = threading.Thread(target=work)
+    t.start()
+    time.sleep(3)
+    job.cancel()
+    t.join(60)
+    assert not t.is_alive() and isinstance(seen[0], Exception)
+    assert text.Job(spark, "short").run(lambda: spark.range(3).count()) == 3
+
+
+def test_created_dates():
+    from datetime import datetime, timedelta, timezone
+
+    at = datetime(2024, 3, 5, 7, 8, 9, tzinfo=timezone(timedelta(hours=-5, minutes=-30)))
+    assert pdf.created_now(at) == "D:20240305070809-05'30'" and pdf.low_bytes("aé日") == b"a\xe9\xe5"
+    assert re.search(rb"/CreationDate \(D:\d{14}[+-]\d\d'\d\d'\)", pdf.build(pages()))
+
+
+def test_entry_without_the_text_operators(tmp_path):
+    """Without llm the other queries are there; an error inside of it is not passed over."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "folioscope"), tmp_path / "folioscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1_') for k in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(QUERIES)), "False"]
+    (tmp_path / "folioscope" / "llm").mkdir()
+    (tmp_path / "folioscope" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "folioscope" / "llm" / "queries.py").write_text("import a_library_that_is_not_there")
+    assert "a_library_that_is_not_there" in run().stderr
 
 
 def test_render_pages(spark):
