@@ -82,7 +82,7 @@ def text_layer(words: DataFrame) -> DataFrame:
     each; blank words and tiny boxes go."""
     bw, bh = (F.col("x1") - F.col("x0")) * (F.col("dw") / F.col("w")), (F.col("y1") - F.col("y0")) * (F.col("dh") / F.col("h"))
     t = words.withColumns({"word": F.trim("word"), "bw": bw, "bh": bh}).filter((F.col("word") != "") & (F.col("bw") > 0.3) & (F.col("bh") > 0.3))
-    t = t.withColumn("size", F.least(F.col("bh") * 0.92, F.lit(200.0))).withColumn("natural", text_width(F.col("word"), F.col("size"))).filter("natural > 0")
+    t = t.withColumn("size", F.least(F.col("bh") * 0.92, F.lit(200.0))).withColumn("natural", text_width(F.col("word"), F.col("size")))  # above 0, as every character is wide
     return t.withColumns({
         "stretch": F.greatest(F.lit(1.0), F.least(F.lit(3000.0), F.col("bw") / F.col("natural") * 100)),
         "tx": F.col("ox") + F.col("x0") * (F.col("dw") / F.col("w")),
