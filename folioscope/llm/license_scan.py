@@ -1,20 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a run of `block_words` words of a document; blocks begin every half
-block, so any passage of half that length lies whole inside one.  A block meets a
-template when it contains at least `threshold` of the template's distinct words.
-Tokens are ordered by their frequency over all documents, rarest first.  A
-template is indexed by its prefix, the first |T| - need + 1 tokens: a block that
-holds none of them can't hold `need` tokens.  The length filter drops blocks with
-fewer than `need` distinct words, the positional filter those whose tokens after
-the meeting place can't add up, and what is left is verified.
+A block is any run of `block_words` words of a document, wherever it begins (or the
+whole document, if that is shorter).  A block meets a template when it contains at
+least `threshold` of the template's distinct words; every block that does is found.
+Tokens are ordered by their frequency over all documents, rarest first.  A template
+is indexed by its prefix, the first |T| - need + 1 tokens: a block that holds none of
+them can't hold `need` tokens.  So blocks need be looked for only around places of
+prefix tokens.  The length filter drops a place with fewer than `need` tokens of the
+template within reach of a block, the positional filter one with fewer among those
+that come no earlier in the order (of a block's rarest token, all its others do so).
+Around what is left, one pass counts the distinct tokens of every block.
 
 Base: places where the words of a phrase stand one after another.
 
 Cases: a null or empty text has no words, no labels and score 0; repeated rows
 are scanned each for themselves; phrases and blocks don't cross documents; texts
-are scanned whole; ties in frequency go by the word itself; an empty table gives
-an empty result.
+are scanned whole, however long; ties in frequency go by the word itself; columns
+other than the id and the text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,31 +64,48 @@ class Templates:
 
     def ordered(self, frequency: np.ndarray) -> Templates:
         """Orders tokens by frequency and indexes the prefixes of the templates."""
-        self.order = np.empty(len(self.words), dtype=np.int64)
-        self.order[np.lexsort((self.words, frequency))] = np.arange(len(self.words))
-        self.sorted = [np.sort(self.order[s]) for s in self.sets]
-        self.index: dict[int, list[tuple[int, int]]] = {}
-        for t, tokens in enumerate(self.sorted):
-            for i, token in enumerate(tokens[: len(tokens) - self.need[t] + 1].tolist()):
-                self.index.setdefault(token, []).append((t, i))
-        self.first = np.zeros(len(self.words), dtype=bool)
-        self.first[list(self.index)] = True
+        order = np.empty(len(self.words), dtype=np.int64)
+        order[np.lexsort((self.words, frequency))] = np.arange(len(self.words))
+        self.rank = np.full((len(self.sets), len(self.words)), -1, dtype=np.int64)  # of a word within each template
+        self.prefix = np.zeros(len(self.words), dtype=bool)  # of any template
+        for t, own in enumerate(self.sets):
+            own = own[np.argsort(order[own])]
+            self.rank[t, own] = np.arange(len(own))
+            self.prefix[own[: len(own) - self.need[t] + 1]] = True
         return self
 
-    def block(self, tokens: np.ndarray) -> dict[int, float]:
-        """tokens: the ordered distinct template words of a block. Templates met, with their containment."""
-        found, seen = {}, set()
-        for j, token in enumerate(tokens.tolist()):
-            for t, i in self.index.get(token, ()):
-                if t in seen:
-                    continue
-                seen.add(t)  # at their first common token the bound below is exact
-                if min(len(self.sorted[t]) - i, len(tokens) - j) < self.need[t] or len(tokens) < self.need[t]:
-                    continue
-                both = len(np.intersect1d(self.sorted[t], tokens, assume_unique=True))
-                if both >= self.need[t]:
-                    found[t] = both / len(self.sorted[t])
-        return found
+    def met(self, t: int, at: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where blocks end that meet template t, and their distinct words of it.  at: places of
+        template words in ascending order; word: which; first, last: of the document each lies in."""
+        rank, need = self.rank[t, word], self.need[t]
+        own = rank >= 0
+        at, rank, first, last = at[own], rank[own], first[own], last[own]
+        least = rank < len(self.sets[t]) - need + 1
+        if not least.any():
+            return at[:0], at[:0]
+        low = lambda p, f: np.maximum(p - size + 1, f)  # noqa: E731  what a block around p can reach
+        high = lambda p, l: np.minimum(p + size - 1, l)
+        count = lambda x, p, f, l: np.searchsorted(x, high(p, l), "right") - np.searchsorted(x, low(p, f))
+        least[least] = count(at, at[least], first[least], last[least]) >= need  # length
+        for r in np.unique(rank[least]).tolist():  # position
+            some = least & (rank == r)
+            least[some] = count(at[rank >= r], at[some], first[some], last[some]) >= need
+        if not least.any():
+            return at[:0], at[:0]
+        step = np.zeros(len(at) + 1, dtype=np.int64)
+        np.add.at(step, np.searchsorted(at, low(at[least], first[least])), 1)
+        np.add.at(step, np.searchsorted(at, high(at[least], last[least]), "right"), -1)
+        near = np.cumsum(step[:-1]) > 0
+        at, rank, last = at[near], rank[near], last[near]
+        # a word counts for blocks that end between its place and where it comes again or is out of reach
+        order = np.lexsort((at, rank))
+        again = np.full(len(at), np.iinfo(np.int64).max)
+        same = rank[order[1:]] == rank[order[:-1]]
+        again[order[:-1][same]] = at[order[1:][same]]
+        ends = np.sort(np.minimum(np.minimum(again - 1, at + size - 1), last))
+        distinct = np.arange(1, len(at) + 1) - np.searchsorted(ends, at)
+        good = distinct >= need
+        return at[good], distinct[good]
 
 
 def frequencies(docs: DataFrame, templates: Templates, text_col: str = "text") -> np.ndarray:
@@ -112,8 +131,6 @@ def frequencies(docs: DataFrame, templates: Templates, text_col: str = "text") -
 def scan(docs: DataFrame, templates: Templates, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document the base places, and the labels and best containment of the join.
     `templates` must be ordered()."""
-    half = max(1, block_words // 2)
-
     def make():
         find = _core.lookup(templates.words)
 
@@ -137,16 +154,14 @@ def scan(docs: DataFrame, templates: Templates, id_col: str = "doc_id", text_col
                     low[i] = word if low[i] < 0 else min(low[i], word)
                     high[i] = max(high[i], word)
             score = np.where(n_base > 0, 1.0, 0.0)
-            known = place >= 0
-            rare = np.flatnonzero(known)
-            rare = rare[templates.first[templates.order[place[rare]]]]
-            number = (rare - w.first[owner[rare]]) // half  # a word lies in this block and the one before
-            for i, b in sorted({*zip(owner[rare].tolist(), number.tolist()), *zip(owner[rare].tolist(), np.maximum(number - 1, 0).tolist())}):
-                a = w.first[i] + b * half
-                own = place[a : min(a + 2 * half, w.first[i + 1])]
-                for t, c in templates.block(np.unique(templates.order[own[own >= 0]])).items():
-                    labels[i].add(templates.labels[t])
-                    score[i] = max(score[i], c)
+            at = np.flatnonzero(place >= 0)
+            if len(at) and templates.prefix[place[at]].any():
+                word, first, last = place[at], w.first[owner[at]], w.first[owner[at] + 1] - 1
+                for t, label in enumerate(templates.labels):
+                    ends, count = templates.met(t, at, word, first, last, block_words)
+                    for i, c in zip(owner[ends].tolist(), count.tolist()):
+                        labels[i].add(label)
+                        score[i] = max(score[i], c / len(templates.sets[t]))
             return {
                 "doc_id": cols[0], "n_words": w.counts, "n_base": n_base,
                 "first_word": [int(x) if x >= 0 else None for x in low], "last_word": [int(x) if x >= 0 else None for x in high],

@@ -20,14 +20,15 @@ def _templates() -> str:
     return ", ".join(rows)
 
 
-_HALF = BLOCK_WORDS // 2
+_PHRASES = ", ".join(f"('{k}', {len(k.split())}, '{v}')" for k, v in PHRASES.items())
 OP3 = rf"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
  p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
- base AS (SELECT doc_id, i - 1 AS pos, label FROM p JOIN (VALUES {', '.join(f"('{k}', {len(k.split())}, '{v}')" for k, v in PHRASES.items())}) AS f(phrase, n, label) ON array_to_string(w[i:i + n - 1], ' ') = phrase),
+ base AS (SELECT doc_id, i - 1 AS pos, label FROM p JOIN (VALUES {_PHRASES}) AS f(phrase, n, label) ON array_to_string(w[i:i + n - 1], ' ') = phrase),
  tem(t, label, word, size, need) AS (VALUES {_templates()}),
- hit AS (SELECT doc_id, t, label, size, need, word, (i - 1) // {_HALF} AS b FROM p JOIN tem ON w[i] = word),
- blocks AS (SELECT * FROM hit UNION ALL SELECT * REPLACE (b - 1 AS b) FROM hit WHERE b > 0),
- met AS (SELECT doc_id, label, count(DISTINCT word) / any_value(size)::DOUBLE AS share FROM blocks GROUP BY doc_id, t, b, label HAVING count(DISTINCT word) >= any_value(need)),
+ hit AS (SELECT doc_id, t, label, size, need, word, i FROM p JOIN tem ON w[i] = word),
+ met AS (SELECT a.doc_id, a.label, count(DISTINCT b.word) / any_value(a.size)::DOUBLE AS share
+  FROM hit a JOIN hit b ON b.doc_id = a.doc_id AND b.t = a.t AND b.i BETWEEN a.i - {BLOCK_WORDS - 1} AND a.i
+  GROUP BY a.doc_id, a.t, a.i, a.label HAVING count(DISTINCT b.word) >= any_value(a.need)),
  lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM met UNION SELECT doc_id, label FROM base) GROUP BY 1),
  bl AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
  sc AS (SELECT doc_id, max(share) AS share FROM met GROUP BY 1)

@@ -182,20 +182,57 @@ def test_licenses(make_docs):
     assert got[4].labels == "" and got[4].score == 0 and got[5].base_labels == "apache"
 
 
-def test_license_join_is_exact():
-    """The filters find just the blocks that comparing all would."""
-    rng = np.random.default_rng(5)
-    templates = [(f"l{k}", " ".join(f"w{v}" for v in rng.integers(0, 60, 25))) for k in range(6)]
-    t = license_scan.Templates(templates, {}, 0.6)
-    t.ordered(rng.integers(0, 50, len(t.words)))
-    hits = 0
-    for _ in range(600):
-        block = np.unique(rng.integers(0, len(t.words), int(rng.integers(1, 70))))
-        ordered = np.sort(t.order[block])
-        want = {k: len(np.intersect1d(s, block)) / len(s) for k, s in enumerate(t.sets) if len(np.intersect1d(s, block)) >= t.need[k]}
-        assert t.block(ordered) == want
-        hits += len(want)
-    assert hits
+def brute_blocks(words_, templates, threshold, size):
+    """Labels and best share by looking at every block."""
+    labels, best = set(), 0.0
+    for label, text in templates:
+        own = set(ALNUM.findall(lowered(text)))
+        need = max(1, math.ceil(threshold * len(own) - 1e-9))
+        for a in range(max(1, len(words_) - size + 1)):
+            both = len(own.intersection(words_[a : a + size]))
+            if both >= need:
+                labels.add(label)
+                best = max(best, both / len(own))
+    return labels, best
+
+
+def test_license_join_is_exact(make_docs):
+    """Just the blocks that comparing all would find, with few words that come often."""
+    rng = random.Random(5)
+    templates = [(f"l{k}", " ".join(f"w{rng.randrange(60)}" for _ in range(25))) for k in range(6)]
+    rows = [(k, " ".join(f"w{min(rng.randrange(90), rng.randrange(200))}" for _ in range(rng.randrange(1, 160)))) for k in range(150)]
+    for k in range(60):
+        own = templates[rng.randrange(6)][1].split()
+        rng.shuffle(own)
+        for _ in range(rng.randrange(25)):
+            own.insert(rng.randrange(len(own)), f"x{rng.randrange(99)}")
+        rows.append((200 + k, " ".join(["y"] * rng.randrange(90) + own + ["z"] * rng.randrange(50))))
+    for threshold, size in ((0.6, 30), (0.8, 40), (1.0, 96)):
+        t = license_scan.Templates(templates, {"no such phrase": "x"}, threshold)
+        docs = make_docs(rows)
+        got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in license_scan.scan(docs, t.ordered(license_scan.frequencies(docs, t)), block_words=size).collect()}
+        want = {i: brute_blocks(text.split(), templates, threshold, size) for i, text in rows}
+        assert all(got[i][0] == w[0] and math.isclose(got[i][1], w[1]) for i, w in want.items())
+        assert sum(bool(w[0]) for w in want.values()) >= (40 if threshold < 1 else 5)
+
+
+def test_licenses_at_every_place(make_docs):
+    """Edited notices spread over less than a block are found wherever they begin: recall 1."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(300):
+        own = ALNUM.findall(lowered(license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1]))
+        distinct = sorted(set(own))
+        gone = set(rng.sample(distinct, len(distinct) - max(1, math.ceil(license_scan.THRESHOLD * len(distinct) - 1e-9))))
+        left = [w for w in own if w not in gone]
+        while len(left) < license_scan.BLOCK_WORDS - 6:
+            left.insert(rng.randrange(1, len(left)), f"q{rng.randrange(10**6)}")
+        rows.append((k, " ".join(["f"] * k + left + ["g"] * rng.randrange(200))))
+    t = license_scan.Templates()
+    docs = make_docs(rows)
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(docs, t.ordered(license_scan.frequencies(docs, t))).collect()}
+    assert all(license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][0] in got[k] for k, _ in rows)
+    assert license_scan.scan(make_docs([]), t).collect() == []
 
 
 # ---------------------------------------------------------------- 4
