@@ -3,9 +3,10 @@
 Natural words cost a byte-pair vocabulary few tokens: many characters share one
 token.  Random strings don't.  A candidate run of key characters whose ratio of
 characters to tokens is low is reported as a span of kind `rare`, unless it is a
-known digest or an identifier.  Of a run that is not, each part between separators
-that is long enough is judged by itself, as wordy text joined to a random string
-raises the ratio of both.  The three fixed patterns of the base come first
+known digest or an identifier.  What has the look of a digest is taken for one, unless
+it is the value given to a name for a secret.  Of a run that is not reported, each part
+between separators that is long enough is judged by itself, as wordy text joined to a
+random string raises the ratio of both.  The three fixed patterns of the base come first
 and always stay.
 
 Cases: a null or empty text has no spans; repeated rows are scanned each for
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -51,27 +53,31 @@ def encoder(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_random(s: str, path: str, max_ratio: float) -> bool:
-    """Whether a candidate mixes letters and digits, is no known digest or
-    identifier, and has at most max_ratio characters for each token."""
+def is_random(s: str, path: str, max_ratio: float, named: bool = False) -> bool:
+    """Whether a candidate mixes letters and digits, is no known digest (unless a name for a
+    secret stands before it) or identifier, and has at most max_ratio characters for each token."""
     if s.isalpha() or s.isdigit() or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
         return False
-    if DIGEST.fullmatch(s) or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    if not named and DIGEST.fullmatch(s) or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
         return False
     return len(s) <= max_ratio * len(encoder(path).encode_ordinary(s))
 
 
 def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     """All spans of one text as (start, place in KINDS, end), ordered."""
-    spans = []
+    spans, values = [], []
     low = text.lower()
     if any(w in low for w in WORDS):
-        spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        spans += [(m.start(), 0, m.end()) for m in found]
+        values = [m.start(2) for m in found]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        found = [m] if is_random(m[0], path, max_ratio) else [p for p in PART.finditer(text, *m.span()) if p[0] != m[0] and is_random(p[0], path, max_ratio)]
+        k = bisect_left(values, m.start())
+        named = k < len(values) and values[k] < m.end()  # a value begins in it
+        found = [m] if is_random(m[0], path, max_ratio, named) else [p for p in PART.finditer(text, *m.span()) if p[0] != m[0] and is_random(p[0], path, max_ratio)]
         spans += [(p.start(), 3, p.end()) for p in found]
     return sorted(spans)
 
