@@ -16,16 +16,17 @@ lowest score of a training document, by these rows, that gets its own label, and
 MOST_LEAST at most: a lower score says that no language is likelier than all others
 together, or than in any clean document.
 
-Cases: a text that is null or has no letter is `und` with score 0; without training
-rows every text is; repeated rows get equal labels; ties go to the language that
-sorts first; an empty table gives an empty result.
+Cases: a text that is null or has no letter (Unicode's category L) is `und` with score 0;
+without training rows every text is; repeated rows get equal labels; ties go to the
+language that sorts first; a text of any length is read whole, in rows; columns other
+than the id, the text and, to learn, the language are not read, and pass through
+keep_known() whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ FIT_ROWS = 8
 FOLDS, HELD_OUT = 4, 2
 MOST_LEAST = 0.5
 COLUMNS = 2048  # rows of bytes that run side by side
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Direction:
