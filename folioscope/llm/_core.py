@@ -241,6 +241,24 @@ def lookup(keys: np.ndarray):
     return find
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, places: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Which spans of data are not, byte for byte, those of `other` at places; a bounded stretch at a time."""
+    out = sizes != other_sizes
+    same = np.flatnonzero(~out & (sizes > 0))
+    ends = np.cumsum(sizes[same])
+    at = 0
+    while at < len(same):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SEG, "right")))
+        some = same[at:to]
+        n = sizes[some]
+        step = runs(n)
+        wrong = data[np.repeat(starts[some], n) + step] != other[np.repeat(places[some], n) + step]
+        if wrong.any():
+            out[np.unique(np.repeat(some, n)[wrong])] = True
+        at = to
+    return out
+
+
 class Words:
     """The words of a list of texts: where each lies in the joined bytes, its hash,
     and `first`, with the words of text i at first[i]:first[i+1]."""
@@ -283,7 +301,7 @@ def runs(counts: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tuple[list, list]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text", length: str = "n_chars") -> DataFrame:
+def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tuple[list, list]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text", length: str = "n_chars", max_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs with new texts: make()(columns of keys, texts) gives the texts as bytes or None
     (the very object where nothing changed) and, for each row, whether it stays.  Columns, their order and types remain; a
     column named `length` follows the new text where the text changed."""
@@ -294,7 +312,7 @@ def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tup
     def run(batches):
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, max_bytes):
                 old = part.column(at).cast(pa.binary()).to_pylist()
                 new, keep = work([part.column(i).to_pylist() for i in key_at], old)
                 cols = [c.cast(f.type) for c, f in zip(part.columns, schema)]

@@ -15,8 +15,10 @@ Cases: null or empty texts and items have no words and match nothing; an item
 without an id takes part with its windows, but is not listed; repeated items count
 once by their id, repeated documents each for themselves; items that
 share a window are all reported; long texts are indexed whole; an empty
-benchmark or table gives rows without hits.  The benchmark is read in blocks of
-max_block_bytes, each broadcast alone, so its size is bounded by that parameter.
+benchmark or table gives rows without hits; columns other than the id and the text are
+not read, and pass through remove() whatever their names.  The benchmark is read in blocks
+of max_block_bytes, each broadcast alone; a worker holds one at a time, whatever the size
+of the benchmark, and then takes larger shards, so as to load blocks less often.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from . import _core
 
 WIDTH = 10
-MAX_BLOCK_BYTES = 16 << 20
+MAX_BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20  # of a shard where the benchmark takes several blocks
 SAMPLE = 16
 
 
@@ -121,20 +124,23 @@ class Windows:
 
     def __init__(self, item_ids: list[str | None], texts: list, width: int = WIDTH):
         w = _core.Words(texts, _core.ALNUM, lower=True)
-        self.words = np.unique(w.hash)
-        symbol = np.searchsorted(self.words, w.hash) + 2
-        found: dict[tuple, set] = {}
-        for i, item in enumerate(item_ids):
-            own = symbol[w.first[i] : w.first[i + 1]].tolist()
-            for k in range(max(1, len(own) - width + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + width]), set()).update(() if item is None else (str(item),))
-        self.items = sorted({x for s in found.values() for x in s})
+        self.words, symbol = np.unique(w.hash, return_inverse=True)
+        symbol = (symbol + 2).astype(np.int32)
+        self.items = sorted({str(x) for x in item_ids if x is not None})
         place = {x: k for k, x in enumerate(self.items)}
-        self.groups = []  # (windows of one length, items of each)
-        for length in sorted({len(p) for p in found}):
-            own = [p for p in found if len(p) == length]
-            self.groups.append((np.array(own, dtype=np.int64), [sorted(place[x] for x in found[p]) for p in own]))
-        self.least = min((len(p) for p in found), default=0)
+        number = np.array([-1 if x is None else place[str(x)] for x in item_ids], dtype=np.int64)
+        self.groups = []  # (windows of one length; items of window k at owners[first[k]:first[k+1]])
+        size = np.minimum(w.counts, width)
+        for length in np.unique(size[size > 0]).tolist():
+            some = np.flatnonzero(size == length)
+            each = w.counts[some] - length + 1
+            at = np.repeat(w.first[some], each) + _core.runs(each)
+            rows = np.ascontiguousarray(symbol[at[:, None] + np.arange(length)])
+            held, which = np.unique(rows.view([("", rows.dtype)] * length).reshape(-1), return_inverse=True)
+            pairs = np.unique(np.stack([which, np.repeat(number[some], each)]), axis=1)
+            pairs = pairs[:, pairs[1] >= 0]
+            self.groups.append((held.view(rows.dtype).reshape(-1, length), np.searchsorted(pairs[0], np.arange(len(held) + 1)), pairs[1]))
+        self.least = int(size[size > 0].min()) if (size > 0).any() else 0
 
     def scan(self, w: _core.Words, find) -> tuple[np.ndarray, list[set]]:
         """Which words of a slice are hit, and the items found in each text."""
@@ -155,14 +161,18 @@ class Windows:
         real = _core.runs(size + 1) < np.repeat(size, size + 1)
         text[real] = symbol[at[real]]
         index = FMIndex(text, len(self.words) + 2)
-        for patterns, owners in self.groups:
-            which, low, high = index.search(patterns)
+        there = np.zeros(len(self.words) + 2, dtype=bool)
+        there[text] = True
+        for patterns, first, owners in self.groups:
+            here = np.flatnonzero(there[patterns].all(1))  # windows of which some word is missing can't occur
+            which, low, high = index.search(patterns[here])
+            which = here[which]
             count = high - low
             start = at[index.locate(np.repeat(low, count) + _core.runs(count))]
             np.add.at(hit, start, 1)
             np.add.at(hit, start + patterns.shape[1], -1)
             for doc, k in {*zip(owner[start].tolist(), np.repeat(which, count).tolist())}:
-                items[doc].update(owners[k])
+                items[doc].update(owners[first[k] : first[k + 1]].tolist())
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -186,11 +196,15 @@ def _scanner(held: list):
         hit, items = np.zeros(len(w.starts), dtype=bool), [set() for _ in texts]
         for k, b in enumerate(held):
             own = b.value
-            h, found = own.scan(w, finds.setdefault(k, _core.lookup(own.words)))
+            if k not in finds:
+                finds[k] = _core.lookup(own.words)
+            h, found = own.scan(w, finds[k])
             hit |= h
             for i, x in enumerate(found):
                 if x:
                     items[i].update(own.items[j] for j in x)
+            if len(held) > 1:
+                del b._value, finds[k], own  # read anew when it is needed again
         return w, hit, items
 
     return scan
@@ -219,7 +233,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return work
 
     ddl = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
-    return _core.map_texts(docs, make, ddl, (id_col,), text_col)
+    return _core.map_texts(docs, make, ddl, (id_col,), text_col, _shard(held))
+
+
+def _shard(held: list) -> int:
+    return _core.SLICE_BYTES if len(held) == 1 else SHARD_BYTES
 
 
 def cut(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> bytes:
@@ -254,7 +272,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width:
 
         return work
 
-    return _core.rewrite_texts(docs, make, (), text_col)
+    return _core.rewrite_texts(docs, make, (), text_col, max_bytes=_shard(held))
 
 
 def op4_decontaminate(spark, sf_dir) -> DataFrame:
