@@ -4,16 +4,19 @@ Each line is content or boilerplate.  Emission scores are linear in a dozen line
 features, transitions join neighbouring lines, Viterbi decoding finds the best
 labelling, and the share of words in content lines decides whether a document is
 kept.  The field is fitted here by gradient ascent on its log-likelihood, over a
-bounded sample of documents (max_fit_docs): lines of documents labelled good are
-content; in the others, lines that a plain rule finds noisy are boilerplate.
+bounded sample: max_fit_docs documents, of each max_fit_chains chains of FIT_LINES lines,
+spread over it.  Only the figures of these lines come to the driver, no text.  Lines of
+documents labelled good are content; in the others, lines that a plain rule finds noisy
+are boilerplate.
 
 Base figures: words [^\\x20\\x09-\\x0D]+, their code points, symbols, lines equal to
 an earlier line, and words in 8-word windows found twice or more.
 
 Cases: a null or empty text has no words or lines, fails the base and is not kept;
 repeated rows are judged each for themselves; ties in Viterbi go to content; texts
-are read whole; without labels the plain rule alone teaches the field, and
-without any documents the weights stay at their prior.
+are read whole, however long; without labels the plain rule alone teaches the field, and
+without any documents the weights stay at their prior; columns other than the id, the
+text and the label are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 20, 30
 MAX_FIT_DOCS = 600
+FIT_LINES, MAX_FIT_CHAINS = 64, 4
 MIN_CONTENT = 0.4
 FEATURES = ("bias", "symbol words", "symbols in bytes", "digits in bytes", "repeated line", "repeated words", "few words", "no lower case", "closed by a mark", "bars", "long words", "same as last word")
 CONTENT, BOILERPLATE = 0, 1
@@ -203,21 +207,51 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = MAX_FIT_DOCS) -> Chain:
+CHAINS = "i long, h long, chain long, n long, features binary, noisy binary"
+
+
+def _chains(docs: DataFrame, id_col: str, text_col: str, max_fit_chains: int) -> DataFrame:
+    """The figures of the lines of docs, in chains of FIT_LINES at most, max_fit_chains of a document."""
+
+    def make():
+        def work(cols, texts):
+            page = Page(texts)
+            noisy, out = page.noisy_lines(), {k: [] for k in ("i", "h", "chain", "n", "features", "noisy")}
+            first = np.searchsorted(page.doc, np.arange(len(texts) + 1))
+            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                begins = list(range(a, b, FIT_LINES))
+                some = begins if len(begins) <= max_fit_chains else [begins[j * len(begins) // max_fit_chains] for j in range(max_fit_chains)]
+                for at in some:
+                    z = min(at + FIT_LINES, b)
+                    for name, v in (("i", cols[0][k]), ("h", cols[1][k]), ("chain", at - a), ("n", z - at), ("features", page.features[at:z].tobytes()), ("noisy", noisy[at:z].tobytes())):
+                        out[name].append(v)
+            return out
+
+        return work
+
+    return _core.map_texts(docs.withColumn("h", F.xxhash64(text_col)), make, CHAINS, (id_col, "h"), text_col)
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", max_fit_docs: int = MAX_FIT_DOCS, max_fit_chains: int = MAX_FIT_CHAINS) -> Chain:
     """A chain fitted on max_fit_docs documents at most: those of least hashed id,
     labelled ones where labels are given."""
-    ids = docs.select(F.col(id_col).alias("i"))
+    plain = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    ids = plain.select("i")
     if labels is not None:
-        ids = ids.join(labels.filter("quality is not null").select(F.col(id_col).alias("i"), "quality"), "i")
+        ids = ids.join(labels.filter("quality is not null").select(F.col(f"`{id_col}`").alias("i"), "quality"), "i")
     else:
         ids = ids.withColumn("quality", F.lit(-1))
     ids = ids.filter("i is not null").orderBy(F.xxhash64("i"), "i", "quality").limit(max_fit_docs).collect()
     chain, quality = Chain(), {r.i: r.quality for r in ids}
     if quality:
-        rows = docs.filter(F.col(id_col).isin(list(quality))).select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).orderBy("i", "t").limit(max_fit_docs).collect()
-        page = Page([r.t and bytes(r.t) for r in rows])
-        given = np.array([quality[r.i] for r in rows])[page.doc]
-        chain.fit(page.doc, page.features, np.where((given != 1) & page.noisy_lines(), BOILERPLATE, CONTENT))
+        # repeated ids: the texts of least hash, so that the number of documents stays bounded
+        some = plain.filter(F.col("i").isin(list(quality))).orderBy("i", F.xxhash64("t")).limit(max_fit_docs)
+        rows = sorted(_chains(some, "i", "t", max_fit_chains).collect(), key=lambda r: (r.i, r.h, r.chain))
+        if rows:
+            features = np.concatenate([np.frombuffer(r.features).reshape(r.n, -1) for r in rows])
+            noisy = np.concatenate([np.frombuffer(r.noisy, dtype=bool) for r in rows])
+            given = np.repeat([quality[r.i] for r in rows], [r.n for r in rows])
+            chain.fit(np.repeat(np.arange(len(rows)), [r.n for r in rows]), features, np.where((given != 1) & noisy, BOILERPLATE, CONTENT))
     return chain
 
 
