@@ -12,9 +12,13 @@ u64 code bytes c; then u32 ids by rank [d]; i64 document ids [m]; u8 whether an
 id is null [m]; u64 token counts [m]; control bytes [(n+3)/4]; code [c]; u32 crc32
 of all before it.
 
+A shard's ids are held until they are ranked; the number of shards follows the bytes of
+the texts, so that a shard has about SHARD_BYTES of them.
+
 Cases: a null or empty text has its end id alone; a null document id comes first
 and stays null; rows with one id keep an order by their text's hash; ranks of equal
-frequency go by id; an empty table gives no shard and an empty result.
+frequency go by id; a long text lies in one block, whole; columns other than the id and
+the text are not read; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from . import _core, tokens
 MAGIC = b"FTK1"
 HEAD = struct.Struct("<4sIQQQ")
 BLOCK_TOKENS = 1 << 17
+SHARD_BYTES = 64 << 20
 END = 2
 
 BLOCKS = "shard long, block long, n_docs long, n_tokens long, start long, payload binary"
@@ -88,7 +93,8 @@ def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shards: int = 0) -> None:
-    """Writes the token files of docs under path, `shards` of them (spark.sql.shuffle.partitions if 0)."""
+    """Writes the token files of docs under path, `shards` of them (if 0, one for each
+    SHARD_BYTES of text, spark.sql.shuffle.partitions at least)."""
     schema = _core.arrow_schema(BLOCKS)
 
     def run(batches):
@@ -124,7 +130,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
             a, block = b, block + 1
 
     spark = docs.sparkSession
-    n = shards or _core.shuffle_parts(spark)
+    n = shards or max(_core.shuffle_parts(spark), -(-(docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0) // SHARD_BYTES))
     plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).withColumn("h", F.xxhash64("t")).withColumn("u", F.monotonically_increasing_id())
     ranged = plain.repartitionByRange(n, "i", "h", "u").sortWithinPartitions("i", "h", "u").select("i", "t")
     ranged.mapInArrow(_core.tidy(run), BLOCKS).write.parquet(path)
