@@ -2,9 +2,10 @@
 
 The vocabularies here split a text at white space before any merge, so the ids of
 a text are those of its chunks, one after another.  Chunks repeat; each task finds
-the distinct ones of a slice by hash and asks the library only for chunks it has
-not met.  Texts with rare white space, where a cut could fall differently, go to
-the library whole.
+the distinct ones of a slice by hash, compares the bytes of all that share one, and asks
+the library only for chunks it has not met.  Texts with a chunk whose hash stands for other
+bytes, and texts with rare white space, where a cut could fall differently, go to the
+library whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ _ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\x
 #: Chunks held by a worker before it starts anew; a bound on memory, not on results.
 HELD_CHUNKS = 1_000_000
 HELD_IDS = 6_000_000
+HELD_BYTES = 24 << 20
 
 
 class Encoder:
@@ -43,6 +45,8 @@ class Encoder:
         self.keys = np.empty(0, dtype=np.uint64)  # sorted hashes of the chunks held
         self.begin, self.size = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint32)
         self.ids, self.used = np.empty(1 << 18, dtype=np.uint32), 0
+        self.raw, self.raw_used = np.empty(1 << 18, dtype=np.uint8), 0  # the bytes of the chunks held
+        self.raw_at, self.raw_size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,7 +63,15 @@ class Encoder:
                 self.ids = np.resize(self.ids, max(3 * len(self.ids) // 2, self.used + n))
             self.ids[self.used : self.used + n] = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=n)
             self.used += n
+        joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if self.raw_used + len(joined) > len(self.raw):
+            self.raw = np.resize(self.raw, max(3 * len(self.raw) // 2, self.raw_used + len(joined)))
+        self.raw[self.raw_used : self.raw_used + len(joined)] = joined
+        raw_size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        raw_at = self.raw_used + np.cumsum(raw_size) - raw_size
+        self.raw_used += len(joined)
         at = np.searchsorted(self.keys, hashes)
+        self.raw_at, self.raw_size = np.insert(self.raw_at, at, raw_at), np.insert(self.raw_size, at, raw_size)
         self.begin = np.insert(self.begin, at, begin + np.cumsum(size) - size)
         self.size = np.insert(self.size, at, size)
         self.keys = np.insert(self.keys, at, hashes)
@@ -83,7 +95,7 @@ class Encoder:
             first = first + np.concatenate([[0], np.cumsum(tail)])
         hashes = _core.hash_runs(w.data, starts, ends)
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > HELD_CHUNKS or self.used > HELD_IDS:
+        if len(self.keys) + len(distinct) > HELD_CHUNKS or self.used > HELD_IDS or self.raw_used > HELD_BYTES:
             self._clear()
         slots = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), dtype=bool)
@@ -93,6 +105,10 @@ class Encoder:
             self._learn(distinct[~known], [w.raw[a:b] for a, b in zip(starts[place[~known]].tolist(), ends[place[~known]].tolist())])
             slots = np.searchsorted(self.keys, distinct)
         slots = slots[inverse]
+        wrong = _core.unlike(w.data, starts, ends - starts, self.raw, self.raw_at[slots], self.raw_size[slots])
+        if wrong.any():  # two chunks of one hash
+            owner = np.searchsorted(first, np.flatnonzero(wrong), "right") - 1
+            whole |= {i: texts[i] for i in set(owner.tolist())}
         size = self.size[slots].astype(np.int64)
         flat = self.ids[np.repeat(self.begin[slots].astype(np.int64), size) + _core.runs(size)]
         total = np.concatenate([[0], np.cumsum(size)])
