@@ -91,7 +91,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
         encoder, number = tokens.encoder(vocabulary, True), [(TaskContext.get().partitionId() if TaskContext.get() else 0) << 33]
 
         def work(cols, texts):
-            ids, counts = tokens.append_id(*encoder.encode(texts), end)
+            ids, counts = encoder.encode(texts, end)
             out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece")}
             raw, base = ids.tobytes(), 0
             for doc, n in zip(cols[0], counts.tolist()):

@@ -45,21 +45,17 @@ BLOCKS = "shard long, block long, n_docs long, n_tokens long, start long, payloa
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 #: Lengths of the four codes a control byte tells of.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def encode_block(doc_ids: list, counts: np.ndarray, ranks: np.ndarray, by_rank: np.ndarray) -> bytes:
     n = len(ranks)
-    ranks = ranks.astype(np.int64)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = np.ascontiguousarray(ranks, dtype="<u4")
+    size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     control = np.zeros((n + 3) // 4 * 4, dtype=np.uint8)
     control[:n] = size - 1
     control = control.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    at = np.cumsum(size) - size
-    code = np.empty(int(size.sum()), dtype=np.uint8)
-    for k in range(4):
-        some = size > k
-        code[at[some] + k] = (ranks[some] >> (8 * k)) & 0xFF
+    code = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < size[:, None]]
     body = b"".join([
         HEAD.pack(MAGIC, len(by_rank), len(doc_ids), n, len(code)), by_rank.astype("<u4").tobytes(),
         np.array([0 if i is None else i for i in doc_ids], dtype="<i8").tobytes(), bytes(i is None for i in doc_ids),
@@ -84,11 +80,9 @@ def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     by_rank, ids, null, counts = take("<u4", d), take("<i8", m), take("u1", m), take("<u8", m)
     control, code = take("u1", (n + 3) // 4), take("u1", c)
     size = LENGTHS[control].reshape(-1)[:n]
-    start = np.cumsum(size) - size
-    ranks = np.zeros(n, dtype=np.int64)
-    for k in range(4):
-        some = size > k
-        ranks[some] |= code[start[some] + k].astype(np.int64) << (8 * k)
+    ranks = np.zeros((n, 4), dtype=np.uint8)
+    ranks[np.arange(4, dtype=np.uint8) < size[:, None]] = code
+    ranks = ranks.view("<u4").reshape(-1)
     return [None if z else i for i, z in zip(ids.tolist(), null)], counts.astype(np.int64), by_rank[ranks]
 
 
@@ -103,7 +97,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
         ids, counts, flat, total = [], [], [], np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in _core.slices(batch, "t"):
-                f, c = tokens.append_id(*encoder.encode(part.column(1).to_pylist()), end)
+                f, c = encoder.encode(part.column(1).to_pylist(), end)
                 ids += part.column(0).to_pylist()
                 counts.append(c)
                 few = np.bincount(f)
@@ -124,8 +118,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
             start = int(ends[a - 1]) if a else 0
             b = max(a + 1, int(np.searchsorted(ends, start + BLOCK_TOKENS, "right")))
             own = rank[flat[start : ends[b - 1]]]
-            used, local = np.unique(own, return_inverse=True)  # a block's dictionary: its ids in the shard's order
-            payload = encode_block(ids[a:b], counts[a:b], local, by_rank[used])
+            here = np.zeros(len(by_rank), dtype=bool)
+            here[own] = True
+            used = np.flatnonzero(here)  # a block's dictionary: its ids in the shard's order
+            local = np.cumsum(here, dtype=np.uint32) - np.uint32(1)
+            payload = encode_block(ids[a:b], counts[a:b], local[own], by_rank[used])
             yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((shard, block, b - a, len(own), start, payload), schema)], schema=schema)
             a, block = b, block + 1
 

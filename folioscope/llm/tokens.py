@@ -59,13 +59,13 @@ class Encoder:
             found = self._library([r.decode("utf-8", "replace") for r in raw[at : at + 4096]])
             size[at : at + len(found)] = own = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
             n = int(own.sum())
-            if self.used + n > len(self.ids):
-                self.ids = np.resize(self.ids, max(3 * len(self.ids) // 2, self.used + n))
+            if self.used + n >= len(self.ids):
+                self.ids = np.resize(self.ids, max(3 * len(self.ids) // 2, self.used + n + 1))
             self.ids[self.used : self.used + n] = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=n)
             self.used += n
         joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        if self.raw_used + len(joined) > len(self.raw):
-            self.raw = np.resize(self.raw, max(3 * len(self.raw) // 2, self.raw_used + len(joined)))
+        if self.raw_used + len(joined) + 8 > len(self.raw):
+            self.raw = np.resize(self.raw, max(3 * len(self.raw) // 2, self.raw_used + len(joined) + 8))
         self.raw[self.raw_used : self.raw_used + len(joined)] = joined
         raw_size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         raw_at = self.raw_used + np.cumsum(raw_size) - raw_size
@@ -76,8 +76,8 @@ class Encoder:
         self.size = np.insert(self.size, at, size)
         self.keys = np.insert(self.keys, at, hashes)
 
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts (bytes or None), and how many each has."""
+    def encode(self, texts: list, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (bytes or None), with `end` after each if given, and how many each has."""
         whole = {}
         if self.spaced and any(x in t for t in texts if t for x in _ODD_SIGNS):
             whole = {i: t for i, t in enumerate(texts) if t and _ODD_SPACE.search(t)}
@@ -105,21 +105,51 @@ class Encoder:
             self._learn(distinct[~known], [w.raw[a:b] for a, b in zip(starts[place[~known]].tolist(), ends[place[~known]].tolist())])
             slots = np.searchsorted(self.keys, distinct)
         slots = slots[inverse]
-        wrong = _core.unlike(w.data, starts, ends - starts, self.raw, self.raw_at[slots], self.raw_size[slots])
-        if wrong.any():  # two chunks of one hash
-            owner = np.searchsorted(first, np.flatnonzero(wrong), "right") - 1
-            whole |= {i: texts[i] for i in set(owner.tolist())}
-        size = self.size[slots].astype(np.int64)
-        flat = self.ids[np.repeat(self.begin[slots].astype(np.int64), size) + _core.runs(size)]
-        total = np.concatenate([[0], np.cumsum(size)])
+        wrong = self._unlike(w.data, starts, ends, slots)
+        if len(wrong):  # two chunks of one hash
+            whole |= {i: texts[i] for i in set((np.searchsorted(first, wrong, "right") - 1).tolist())}
+        return self._flat(slots, first, whole, end)
+
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Places of chunks that are not the bytes held under their hash: up to 16 bytes by their
+        first and last eight, longer ones byte by byte."""
+        size, other = ends - starts, self.raw_size[slots]
+        same, at = size == other, self.raw_at[slots]
+        if len(data) < 8 or len(self.raw) < 8:
+            return np.flatnonzero(_core.unlike(data, starts, size, self.raw, at, other))
+        # eight bytes from any place on, by a view of overlapping numbers; what lies behind a short chunk is masked
+        eight = lambda x: np.ndarray(len(x) - 7, dtype="<u8", buffer=x, strides=(1,))
+        near, held = eight(np.concatenate([data, np.zeros(8, dtype=np.uint8)])), eight(self.raw)
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)[np.minimum(size, 8)]
+        same &= (near[starts] ^ held[at]) & mask == 0
+        back = np.maximum(size - 8, 0)
+        same &= (near[starts + back] ^ held[np.minimum(at + back, len(held) - 1)]) & mask == 0
+        long = np.flatnonzero(same & (size > 16))
+        if len(long):
+            same[long] &= ~_core.unlike(data, starts[long], size[long], self.raw, at[long], other[long])
+        return np.flatnonzero(~same)
+
+    def _flat(self, slots: np.ndarray, first: np.ndarray, whole: dict, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, those of `whole` texts by the library, an end id after each text."""
+        begin, size = self.begin[slots].astype(np.int64), self.size[slots].astype(np.int64)
+        texts = len(first) - 1
+        if end is not None:
+            self.ids[self.used] = end  # one place is kept free for it
+            begin, size = np.insert(begin, first[1:], self.used), np.insert(size, first[1:], 1)
+            first = first + np.arange(texts + 1)
+        ends = np.cumsum(size)
+        flat = np.repeat(begin - ends + size, size)
+        flat += np.arange(len(flat))
+        flat = self.ids[flat]
+        total = np.concatenate([[0], ends])
         counts = total[first[1:]] - total[first[:-1]]
         if whole:
             parts = np.split(flat, np.cumsum(counts)[:-1])
             for i, t in whole.items():
-                parts[i] = np.array(self._library([t.decode("utf-8", "replace")])[0], dtype=np.uint32)
+                parts[i] = np.array(self._library([t.decode("utf-8", "replace")])[0] + ([] if end is None else [end]), dtype=np.uint32)
                 counts[i] = len(parts[i])
             flat = np.concatenate(parts)
-        return flat, counts
+        return flat.astype("<u4", copy=False), counts
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -131,8 +161,3 @@ def encoder(path: str, spaced: bool) -> Encoder:
         _encoders.clear()
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]
-
-
-def append_id(flat: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with `end` after each text's."""
-    return np.insert(flat, np.cumsum(counts), end).astype("<u4"), counts + 1
