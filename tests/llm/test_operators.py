@@ -79,11 +79,25 @@ def test_encoder(name, spaced, monkeypatch):
     want = library(name, texts, 9)
     for held in (1 << 20, 50):  # the second time the cache starts anew at every call
         monkeypatch.setattr(tokens, "HELD_CHUNKS", held)
-        flat, counts = tokens.append_id(*e.encode([None if t is None else t.encode() for t in texts]), 9)
+        flat, counts = e.encode([None if t is None else t.encode() for t in texts], 9)
         got = np.split(flat, np.cumsum(counts)[:-1])
         assert all(np.array_equal(a, b) for a, b in zip(got, want)) and len(got) == len(want)
 
 
+def test_chunks_of_one_hash(monkeypatch):
+    """Where hashes collide, bytes decide: ids stay those of the library."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("one", "two", "three", "four", "fünf", "")) for _ in range(rng.randrange(12))) for _ in range(200)]
+    plain = _core.hash_runs
+    monkeypatch.setattr(_core, "hash_runs", lambda d, a, b: plain(d, a, b) % np.uint64(3))
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        e = tokens.Encoder(public_tokenizers.path(name), spaced)
+        for part in (texts[:100], texts[100:], texts):
+            flat, counts = e.encode([t.encode() for t in part], 9)
+            got = np.split(flat, np.cumsum(counts)[:-1])
+            assert all(np.array_equal(a, b) for a, b in zip(got, library(name, part, 9)))
+
+
 def test_pack(make_docs, mixed_rows):
     out = pack.pack(make_docs(mixed_rows), public_tokenizers.path("byte_bpe_50k.json"), capacity=256, max_piece=64, group_pieces=40).collect()
     want = collections.defaultdict(list)
@@ -287,6 +301,22 @@ def test_decontaminate(spark, make_docs, contaminated, monkeypatch, limit):
     assert decontaminate.remove(make_docs([]), bench).collect() == []
 
 
+def test_many_benchmark_blocks_with_extra_columns(spark, make_docs):
+    """Several blocks, each loaded anew, with columns named as those inside."""
+    rng = random.Random(18)
+    items = [(k, " ".join(words(rng, 14, 300))) for k in range(40)]
+    rows = [(k, " ".join(words(rng, 30, 300)) + " " + items[k][1] + " " + " ".join(words(rng, 30, 300))) for k in range(40)]
+    bench = spark.createDataFrame([(i, t, "x", "y") for i, t in items], "item_id long, text string, i string, t string")
+    held = decontaminate.blocks(bench, max_block_bytes=400)
+    assert len(held) > 3
+    scan = decontaminate._scanner(held)
+    for _ in range(2):
+        _, _, found = scan([t.encode() for _, t in rows])
+        assert all(str(k) in x for k, x in enumerate(found))
+    want = windows_of(items)
+    assert [sorted(x) for x in found] == [sorted({i for n in {len(w) for w in want} for a in range(len(t.split()) - n + 1) for i in want.get(tuple(ALNUM.findall(lowered(t))[a : a + n]), ())}) for _, t in rows]
+
+
 def test_no_benchmark(spark, make_docs):
     out = decontaminate.scan(make_docs([(1, "a b c")]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert [(r.n_words, r.n_hit, r.n_items) for r in out] == [(3, 0, 0)]
@@ -333,6 +363,76 @@ def test_secrets_joined_to_words():
         assert not [k for _, k, _ in secret_scan.find(f"in {s} now", path) if k == 3]
 
 
+def plain_secrets(text, path, max_ratio=secret_scan.MAX_RATIO):
+    """Every candidate by looking at each place, and its tokens counted one by one."""
+    good = set(string.ascii_letters + string.digits + "+/_=-")
+    part = set(string.ascii_letters + string.digits + "+/")
+    encoding = secret_scan.encoder(path)
+
+    def stretches(kind, a, z):
+        out, begin = [], None
+        for i in range(a, z + 1):
+            if i < z and text[i] in kind:
+                begin = i if begin is None else begin
+            elif begin is not None:
+                out += [(begin, i)] if i - begin >= 20 else []
+                begin = None
+        return out
+
+    values = {m.start(2) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 12}
+
+    def random_(a, z, named):
+        s = text[a:z]
+        if not any(x.isdigit() for x in s) or not any(x.isalpha() for x in s):
+            return False
+        digest = set(s.rstrip("=")) <= set("0123456789abcdef") and len(s.rstrip("=")) in (32, 40, 56, 64, 96, 128) or set(s.rstrip("=")) <= set("0123456789ABCDEF") and len(s.rstrip("=")) in (32, 40, 64)
+        if digest and not named or secret_scan.UUID.fullmatch(s) or secret_scan.IDENTIFIER.fullmatch(s):
+            return False
+        return len(s) / len(encoding.encode_ordinary(s)) <= max_ratio
+
+    found = []
+    for a, z in stretches(good, 0, len(text)):
+        if random_(a, z, any(a <= v < z for v in values)):
+            found.append((a, z))
+        else:
+            found += [(b, y) for b, y in stretches(part, a, z) if (b, y) != (a, z) and random_(b, y, False)]
+    return found
+
+
+def test_secrets_against_a_plain_version():
+    rng = random.Random(41)
+    path = public_tokenizers.path(secret_scan.VOCABULARY)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 12)))
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    total = 0
+    for _ in range(300):
+        bits = []
+        for _ in range(rng.randrange(1, 9)):
+            bits.append(rng.choice((word(), some(string.ascii_letters + string.digits, rng.randrange(10, 50)), some("0123456789abcdef", rng.choice((31, 32, 40, 64))), "token = " + some("0123456789abcdef", 40), f"{word()}_{word()}_{rng.randrange(99)}", some(string.digits, 24), "secret='" + word() + "/" + some(string.ascii_letters + string.digits, 22) + "'")))
+        text = rng.choice((" ", "\n", "/", "-", ".")).join(bits)
+        got = [(a, z) for a, k, z in secret_scan.find(text, path) if k == 3]
+        assert got == sorted(plain_secrets(text, path))
+        total += len(got)
+    assert total > 200
+
+
+def test_secrets_of_a_labelled_set():
+    """Random strings against digests, identifiers, words and numbers: what README says of both."""
+    rng = random.Random(43)
+    path = public_tokenizers.path(secret_scan.VOCABULARY)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    base62, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    secrets = [some(base62, n - 2) + "a1" for n in (20, 24, 32, 40) for _ in range(100)] + [some(base64, 42) + "Z9" for _ in range(100)] + ["AKIA" + some(string.ascii_uppercase + string.digits, 16) + "" for _ in range(100)]
+    words_ = "request handler config storage private update network session build manager default layout buffer format version display context pattern".split()
+    plain = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(100)] + [hashlib.sha1(str(k).encode()).hexdigest() for k in range(100)]
+    plain += ["_".join(rng.choice(words_) for _ in range(4)) + str(rng.randrange(99)) for _ in range(100)] + ["".join(rng.choice(words_).capitalize() for _ in range(4)) + "2" for _ in range(100)]
+    plain += ["/".join(rng.choice(words_) for _ in range(5)) + "/v2" for _ in range(100)] + [some(string.digits, 24) for _ in range(100)]
+    plain += ["-".join((some("0123456789abcdef", 8), *(some("0123456789abcdef", 4) for _ in range(3)), some("0123456789abcdef", 12))) for _ in range(100)]
+    flagged = lambda s: any(k == 3 for _, k, _ in secret_scan.find(f"see {s} here", path))
+    hits, wrong = sum(map(flagged, secrets)), sum(map(flagged, plain))
+    assert hits >= 0.99 * len(secrets) and wrong <= 0.01 * len(plain)
+
+
 # ---------------------------------------------------------------- 5
 def line_rows():
     rng = random.Random(4)
@@ -485,6 +585,45 @@ def test_language(make_docs):
     assert [r.lang_pred for r in language_id.predict(make_docs([(1, "abc")]), None).collect()] == ["und"]
 
 
+def test_letters_are_letters():
+    net = language_id.Network(["aa", "bb"])
+    assert language_id.verdicts(net, [t.encode() for t in ("\u00b2 \u00bd \u2167", "12_", "\u0661", "a", "\u00aa", "\u6587")])[0][:3] == ["und"] * 3
+    assert "und" not in language_id.verdicts(net, [t.encode() for t in ("a", "\u00e9 1", "\u6587")])[0]
+
+
+def test_network_against_a_plain_one():
+    """Pooling, rows and their ends, one byte and one unit after another."""
+    rng = np.random.default_rng(6)
+    net = language_id.Network(["aa", "bb", "cc"], hidden=3)
+    for part in (net.ahead.p, net.back.p, net.out):
+        for k, v in part.items():
+            part[k] = rng.normal(0, 0.7, v.shape).astype(np.float32)
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, row):
+        h, out = np.zeros(3), []
+        for x in row:
+            i, u = d.p["table"][:, x].astype(float), d.p["u"].astype(float) @ h
+            r, z = logistic(i[:3] + u[:3]), logistic(i[3:6] + u[3:6])
+            n = np.tanh(i[6:] + r * (u[6:] + d.p["b"][:, 0]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    texts = [b"a", b"some words " * 20, bytes(rng.integers(0, 256, 64, dtype=np.uint8)), bytes(rng.integers(0, 256, 65, dtype=np.uint8))]
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for a in range(0, len(t), language_id.SPAN):
+            row = t[a : a + language_id.SPAN].ljust(language_id.SPAN, b" ")
+            ahead, back = states(net.ahead, row), states(net.back, row[::-1])[::-1]
+            for k in range(len(t[a : a + language_id.SPAN])):
+                z = net.out["w"].astype(float) @ np.concatenate([ahead[k], back[k]]) + net.out["c"][:, 0]
+                total += z - np.log(np.exp(z).sum())
+        want.append(total / len(t))
+    assert np.allclose(net.documents(texts), want, atol=1e-4)
+
+
 def test_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
@@ -543,6 +682,57 @@ def test_quality(spark, make_docs, mixed_rows):
     assert quality_rules.fit(docs, None).weights.shape == (len(quality_rules.FEATURES), 2)
 
 
+def test_verdict_against_all_labellings(make_docs):
+    """Short documents judged by trying every labelling of their lines."""
+    rng = random.Random(9)
+    line = lambda: rng.choice((" ".join(words(rng, rng.randrange(1, 12))) + ".", " ".join(f"{w}## |" for w in words(rng, 6)), "12 34 5 |", "MENU | HOME | ABOUT"))
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 8)))) for k in range(120)] + [(500, None), (501, "")]
+    chain = quality_rules.Chain()
+    got = {r.doc_id: (r.kept, r.content_share) for r in quality_rules.judge(make_docs(rows), chain).collect()}
+    for i, t in rows:
+        page = quality_rules.Page([t and t.encode()])
+        score, n = page.features @ chain.weights, len(page.words)
+        labellings = [[s >> k & 1 for k in range(n)] for s in range(1 << n)]
+        value = [sum(score[k, y[k]] for k in range(n)) + sum(chain.step[a, b] for a, b in zip(y, y[1:])) for y in labellings]
+        top = [y for y, v in zip(labellings, value) if v >= max(value) - 1e-9]
+        shares = {sum(w for w, x in zip(page.words.tolist(), y) if x == quality_rules.CONTENT) / max(1, int(page.n_words[0])) for y in top}
+        assert any(math.isclose(got[i][1], s) for s in shares)
+        assert got[i][0] == (not plain_quality(t)[-1] and got[i][1] >= quality_rules.MIN_CONTENT)
+
+
+def test_fit_climbs_the_likelihood():
+    """No small step from the fitted weights makes the labels likelier, all labellings being counted."""
+    rng = np.random.default_rng(12)
+    doc = np.repeat(np.arange(12), 5)
+    x = rng.normal(size=(60, len(quality_rules.FEATURES))) * 0.5
+    y = (x[:, 1] + 0.4 * rng.normal(size=60) > 0).astype(int)
+    chain = quality_rules.Chain()
+    chain.fit(doc, x, y, rounds=600, rate=0.3, decay=0.05)
+
+    def value(weights, step):
+        total = 0.0
+        for d in range(12):
+            e, own = x[doc == d] @ weights, y[doc == d]
+            score = lambda s: sum(e[k, s[k]] for k in range(5)) + sum(step[a, b] for a, b in zip(s, s[1:]))  # noqa: B023, E731
+            z = [score([s >> k & 1 for k in range(5)]) for s in range(32)]
+            total += score(own.tolist()) - np.logaddexp.reduce(z)
+        return total / 60 - 0.025 * ((weights**2).sum() + (step**2).sum())
+
+    best = value(chain.weights, chain.step)
+    for _ in range(30):
+        a, b = rng.normal(size=chain.weights.shape), rng.normal(size=(2, 2))
+        assert value(chain.weights + 0.05 * a, chain.step + 0.05 * b) < best
+
+
+def test_fit_takes_bounded_chains(spark, make_docs):
+    """A document of many lines gives max_fit_chains of FIT_LINES, spread over it."""
+    docs = make_docs([(1, "\n".join(f"line {k}" for k in range(5000))), (2, "one\ntwo"), (3, None)])
+    out = quality_rules._chains(docs, "doc_id", "text", 4).collect()
+    assert sorted((r.i, r.chain, r.n) for r in out) == [(1, 0, 64), (1, 1216, 64), (1, 2496, 64), (1, 3712, 64), (2, 0, 2)]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality long")
+    assert np.isfinite(quality_rules.fit(docs, labels).weights).all()
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(1)
     chain = quality_rules.Chain()
