@@ -22,6 +22,10 @@ from . import _core
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: One of these is in every text with such white space.
 _ODD_SIGNS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: Chunks that are asked for in one text, and the bytes that case and normal forms leave as many as they are.
+_TOGETHER = 4096
+_STEADY = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])*")
+_SPACE = b" \t\n\v\f\r"
 #: Chunks held by a worker before it starts anew; a bound on memory, not on results.
 HELD_CHUNKS = 1_000_000
 HELD_IDS = 6_000_000
@@ -39,6 +43,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
+        # the bytes that each id stands for: a byte-level vocabulary spells a byte as a character
+        vocabulary = self.tokenizer.get_vocab()
+        close = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for piece, k in vocabulary.items():
+            self.bytes[k] = len(piece.removesuffix(close))
         self._clear()
 
     def _clear(self) -> None:
@@ -51,17 +61,47 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._library([r.decode("utf-8", "replace") for r in raw])
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())), size
+
+    def _many(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after another, and how many each has.  Most chunks are encoded
+        in one text; the bytes that ids stand for tell where each ends.  Where these do not
+        add up to the chunks' own, every chunk is asked for by itself."""
+        if self.spaced:  # parted by the white space they begin with
+            fits = [r[0] in _SPACE and r[-1] not in _SPACE for r in raw]
+        else:
+            fits = [_STEADY.fullmatch(r) is not None for r in raw]
+        rest = [r for r, x in zip(raw, fits) if x]
+        if not rest:
+            return self._apart(raw)
+        ids = np.array(self._library([(b"" if self.spaced else b" ").join(rest).decode("utf-8", "replace")])[0], dtype=np.uint32)
+        ends, want = np.cumsum(self.bytes[ids]), np.cumsum([len(r) for r in rest])
+        place = np.searchsorted(ends, want)
+        if not len(ids) or ends[-1] != want[-1] or (ends[place] != want).any():
+            return self._apart(raw)
+        size = np.diff(place, prepend=-1)
+        if len(rest) == len(raw):
+            return ids, size
+        single = np.flatnonzero(~np.array(fits))
+        more, own = self._apart([raw[k] for k in single.tolist()])
+        at = single - np.arange(len(single))  # where each lies among the others
+        before = np.concatenate([[0], np.cumsum(size)])[at]
+        return np.insert(ids, np.repeat(before, own), more), np.insert(size, at, own)
+
     def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         """Adds chunks; hashes are sorted, and none is held."""
         size = np.empty(len(raw), dtype=np.uint32)
         begin = self.used
-        for at in range(0, len(raw), 4096):
-            found = self._library([r.decode("utf-8", "replace") for r in raw[at : at + 4096]])
-            size[at : at + len(found)] = own = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
-            n = int(own.sum())
+        for at in range(0, len(raw), _TOGETHER):
+            ids, own = self._many(raw[at : at + _TOGETHER])
+            size[at : at + len(own)] = own
+            n = len(ids)
             if self.used + n >= len(self.ids):
                 self.ids = np.resize(self.ids, max(3 * len(self.ids) // 2, self.used + n + 1))
-            self.ids[self.used : self.used + n] = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=n)
+            self.ids[self.used : self.used + n] = ids
             self.used += n
         joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
         if self.raw_used + len(joined) + 8 > len(self.raw):
