@@ -68,7 +68,7 @@ def library(name, texts, end):
     return [np.array(e.ids + [end], dtype="<u4") for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
 
 
-ODD = ["", "  a  b \n\n c", "\n", " ", "x\x1c y", "it's  don't\t1234 ñandú's ", "<|endoftext|> x <|startoftext|>", "ΣΑΣ ΣΑΣ.́ é", "a\u0085b \u0085 c   d", "日本語　テキスト", "x" * 3000]
+ODD = ["", "  a  b \n\n c", "\n", " ", "x\x1c y", "it's  don't\t1234 ñandú's ", "<|endoftext|> x <|startoftext|>", "ΣΑΣ ΣΑΣ.́ é", "a\u0085b \u0085 c   d", "日本語　テキスト", "x" * 3000, "a\x01b \x01 \n\x01 c", "e \u0301 \u0338> \u0338", "a,\n\n \n", "  '' \"x\"  -- 12 34", "ÀÉ ÿ İ ß ſ K", "x\x1c\x1dy \x1f"]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
