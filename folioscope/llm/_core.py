@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 SLICE_BYTES = 1 << 20
 
@@ -135,13 +135,23 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         at = to
 
 
+def press(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, each after its length in eight bytes; nulls stay."""
+    return pa.array([None if t is None else len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts.cast(pa.binary()).to_pylist()], type=pa.binary())
+
+
+def unpress(texts: list) -> list:
+    return [t if t is None else pa.decompress(t[8:], decompressed_size=int.from_bytes(t[:8], "little"), codec="zstd", asbytes=True) for t in texts]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], ddl: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", max_bytes: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], ddl: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", max_bytes: int = SLICE_BYTES, pressed: bool = False) -> DataFrame:
     """One Python stage over (keys, text): make() is called once a task and gives a
-    function of (columns of keys, texts as bytes or None) to a dict of output columns."""
+    function of (columns of keys, texts as bytes or None) to a dict of output columns.
+    pressed: the texts are as press() leaves them."""
     schema = arrow_schema(ddl)
     plain = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("binary").alias("__text"))
 
@@ -150,7 +160,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], d
         for batch in batches:
             for part in slices(batch, "__text", max_bytes):
                 cols = [part.column(i).to_pylist() for i in range(len(keys))]
-                out = work(cols, part.column(len(keys)).to_pylist())
+                texts = part.column(len(keys)).to_pylist()
+                out = work(cols, unpress(texts) if pressed else texts)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -301,12 +312,14 @@ def runs(counts: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tuple[list, list]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text", length: str = "n_chars", max_bytes: int = SLICE_BYTES) -> DataFrame:
+def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tuple[list, list]]], keys: tuple[str, ...] = ("doc_id",), text: str = "text", length: str = "n_chars", max_bytes: int = SLICE_BYTES, out: DataType | None = None) -> DataFrame:
     """docs with new texts: make()(columns of keys, texts) gives the texts as bytes or None
     (the very object where nothing changed) and, for each row, whether it stays.  Columns, their order and types remain; a
-    column named `length` follows the new text where the text changed."""
-    schema = to_arrow_schema(docs.schema)
+    column named `length` follows the new text where the text changed.  With `out`, the
+    texts come as press() leaves them, and `out` is the type they had."""
     names = docs.columns
+    fields = [StructField(f.name, out, f.nullable) if out and f.name == text else f for f in docs.schema.fields]
+    schema = to_arrow_schema(StructType(fields))
     at, key_at, long_at = names.index(text), [names.index(k) for k in keys], names.index(length) if length in names else -1
 
     def run(batches):
@@ -314,14 +327,15 @@ def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], tup
         for batch in batches:
             for part in slices(batch, text, max_bytes):
                 old = part.column(at).cast(pa.binary()).to_pylist()
+                old = unpress(old) if out else old
                 new, keep = work([part.column(i).to_pylist() for i in key_at], old)
-                cols = [c.cast(f.type) for c, f in zip(part.columns, schema)]
-                if any(x is not y for x, y in zip(new, old)):
+                cols = [c if out and k == at else c.cast(f.type) for k, (c, f) in enumerate(zip(part.columns, schema))]
+                if out or any(x is not y for x, y in zip(new, old)):
                     if long_at >= 0:
                         held = part.column(long_at).to_pylist()
                         cols[long_at] = pa.array([h if x is y else len(x.decode("utf-8", "replace")) for h, x, y in zip(held, new, old)], type=schema.field(long_at).type)
                     cols[at] = pa.array([None if x is None else x.decode("utf-8", "replace") for x in new], type=schema.field(at).type)
-                out = pa.RecordBatch.from_arrays(cols, schema=schema)
-                yield out if all(keep) else out.filter(pa.array(keep, type=pa.bool_()))
+                rows = pa.RecordBatch.from_arrays(cols, schema=schema)
+                yield rows if all(keep) else rows.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run), StructType(fields))

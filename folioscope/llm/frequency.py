@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import _core
 
@@ -124,12 +126,18 @@ def without_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     return df.mapInArrow(_core.tidy(run), df.schema)
 
 
-def with_bits(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """The rows whose long `column` may be among the values the bitmap was made of."""
+def with_bits(df: DataFrame, column: str, bitmap: np.ndarray, text_col: str) -> DataFrame:
+    """The rows whose long `column` may be among the values the bitmap was made of, their texts
+    pressed (as _core.press() does), as they are about to be shuffled."""
     held = df.sparkSession.sparkContext.broadcast(bitmap)
+    at = df.columns.index(text_col)
+    fields = [StructField(f.name, BinaryType(), f.nullable) if k == at else f for k, f in enumerate(df.schema.fields)]
+    schema = to_arrow_schema(StructType(fields))
 
     def run(batches):
         for batch in batches:
-            yield having_bit(batch, column, held.value)
+            some = having_bit(batch, column, held.value)
+            cols = [_core.press(c) if k == at else c.cast(f.type) for k, (c, f) in enumerate(zip(some.columns, schema))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return df.mapInArrow(_core.tidy(run), df.schema)
+    return df.mapInArrow(_core.tidy(run), StructType(fields))

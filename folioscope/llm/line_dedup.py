@@ -16,7 +16,7 @@ Chunks are counted over all documents by hash, in a table of fixed size; those t
 may repeat are compared by the hashes of all their lines.  Tasks send the bytes of
 these lines, each once, to be compared with other tasks' lines of equal hash; a hash
 that stands for different bytes is replaced by a digest of the bytes, so equal
-chunks have equal bytes.  The first occurrence, by document id and line, stays; the
+chunks have equal bytes.  Lines and touched texts travel compressed.  The first occurrence, by document id and line, stays; the
 lines of all others go.
 
 Cases: a null text stays null, an empty one empty; rows of one id and one text are
@@ -111,6 +111,24 @@ class Lines:
         yield self.hash[long], long, long
 
 
+def _pressed(lines: list[tuple[int, bytes]]) -> bytes:
+    """Lines with their hashes in one compressed body."""
+    keys, size = np.array([h for h, _ in lines], dtype=np.int64), np.array([len(b) for _, b in lines], dtype=np.int64)
+    raw = b"".join([np.int64(len(lines)).tobytes(), keys.tobytes(), size.tobytes(), *(b for _, b in lines)])
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpressed(body: bytes):
+    """The lines of _pressed()."""
+    raw = pa.decompress(body[8:], decompressed_size=int(np.frombuffer(body[:8], dtype=np.int64)[0]), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw[:8], dtype=np.int64)[0])
+    keys, size = np.frombuffer(raw, dtype=np.int64, count=2 * n, offset=8).reshape(2, n).tolist()
+    at = 8 + 16 * n
+    for key, k in zip(keys, size):
+        yield key, raw[at : at + k]
+        at += k
+
+
 def _hashes(runs: bool):
     def run(texts: list) -> np.ndarray:
         return np.concatenate([np.empty(0, dtype=np.uint64), *(key for key, _, _ in Lines(texts).counted(runs))])
@@ -127,9 +145,9 @@ def _sequence(lines: Lines, x: int, y: int, collided: frozenset) -> bytes:
     return b"".join(bytes(8) + hashlib.sha256(body(k)).digest() if int(lines.hash[k]) in collided else lines.hash[k].tobytes() for k in range(x, y + 1))
 
 
-def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: frozenset, runs: bool) -> DataFrame:
+def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, bits: int, collided: frozenset, runs: bool) -> DataFrame:
     """Chunks that may repeat, one row a flush and chunk with all its places there, and their
-    lines, one row a flush and line."""
+    lines, one row a flush and bucket of their hashes (v)."""
     schema, held = _core.arrow_schema(CHUNKS), plain.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -142,7 +160,10 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
                 doc, th, a, *_ = min(places, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[2]))
                 flat = np.array([[0 if d is None else d, (d is None) + 2 * alone, t, x, y] for d, t, x, y, alone in places], dtype=np.int64)
                 rows.append((CHUNK, number, v, key, body, doc, th, a, len({p[:3] for p in places}), flat.tobytes()))
-            rows += [(LINE, number, None, h, body, None, None, None, None, None) for h, body in bodies]
+            dealt: dict[int, list] = {}
+            for h, body in sorted(bodies):
+                dealt.setdefault((h & (1 << 64) - 1) >> (64 - bits), []).append((h, body))
+            rows += [(LINE, number, k, None, _pressed(own), None, None, None, None, None) for k, own in dealt.items()]
             found.clear()
             bodies.clear()
             size, number = 0, number + 1
@@ -173,18 +194,17 @@ def _chunk_rows(plain: DataFrame, table: np.ndarray, slot_bits: int, collided: f
     return _core.materialise(plain.mapInArrow(_core.tidy(run), CHUNKS), "chunks")
 
 
-def _collisions(rows: DataFrame, bits: int) -> frozenset:
+def _collisions(rows: DataFrame) -> frozenset:
     """Hashes that stand for lines of different bytes.  Of n lines n*n / 2**65 are expected:
     none, in practice."""
     schema = _core.arrow_schema("key long")
 
     def compare(table: pa.Table) -> pa.Table:
         seen: dict[int, bytes] = {}
-        out = {key for key, body in zip(table.column("key").to_pylist(), table.column("body").to_pylist()) if seen.setdefault(key, body) != body}
+        out = {key for blob in table.column("body").to_pylist() for key, body in _unpressed(blob) if seen.setdefault(key, body) != body}
         return pa.table([pa.array(sorted(out), type=pa.int64())], schema=schema)
 
-    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-    found = rows.filter(F.col("kind") == LINE).select(bucket, "key", "body").groupBy("bucket").applyInArrow(_core.tidy_group(compare), "key long").collect()
+    found = rows.filter(F.col("kind") == LINE).select("v", "body").groupBy("v").applyInArrow(_core.tidy_group(compare), "key long").collect()
     return frozenset(r.key & (1 << 64) - 1 for r in found)
 
 
@@ -207,10 +227,10 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
                 out += [(flush, v, doc if real else None, th, a) for *_, flush, v, _ in rows]
         return pa.table([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(verdict_schema)], schema=verdict_schema)
 
-    rows = _chunk_rows(plain, table, slot_bits, collided, runs)
-    if more := _collisions(rows, bits) - collided:
+    rows = _chunk_rows(plain, table, slot_bits, bits, collided, runs)
+    if more := _collisions(rows) - collided:
         _core.discard(rows)
-        rows = _chunk_rows(plain, table, slot_bits, collided | more, runs)
+        rows = _chunk_rows(plain, table, slot_bits, bits, collided | more, runs)
     # a bucket gets one row a flush and chunk, however often that occurs; its places stay behind
     chunks = rows.filter(F.col("kind") == CHUNK)
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
@@ -241,8 +261,8 @@ def drop_lines(text: bytes, ranges: list) -> tuple[bytes, int]:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> tuple[DataFrame, DataFrame, str]:
-    """The documents without a repeat; the others with the ranges that go from each, by id and
-    text; the name of the column of ranges, which docs does not have.  Only documents that may lose lines, by a bitmap of the texts' hashes, are shuffled to
+    """The documents without a repeat; the others, their texts pressed, with the ranges that go
+    from each, by id and text; the name of the column of ranges, which docs does not have.  Only documents that may lose lines, by a bitmap of the texts' hashes, are shuffled to
     meet their ranges."""
     ranges = "array<struct<a:bigint,b:bigint>>"
     of, h, th, gone = _core.new_names(docs, "id_of", "hash_of", "text_hash", "gone")
@@ -252,7 +272,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> tuple[Da
     _core.discard(found.chunks)
     bitmap = frequency.held_bits(marks, h)
     hashed = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`")))
-    hit = frequency.with_bits(hashed, th, bitmap)
+    hit = frequency.with_bits(hashed, th, bitmap, text_col)
     hit = hit.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.col(th) == F.col(h)), "left")
     return frequency.without_bits(hashed, th, bitmap).drop(th), hit.drop(of, h, th), gone
 
@@ -272,7 +292,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs
         return work
 
     clean, hit, gone = _marked(docs, id_col, text_col, runs)
-    return clean.unionByName(_core.rewrite_texts(hit, make, (gone,), text_col).drop(gone))
+    return clean.unionByName(_core.rewrite_texts(hit, make, (gone,), text_col, out=clean.schema[text_col].dataType).drop(gone))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
@@ -294,8 +314,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs
 
     plain = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
     clean, hit, gone = _marked(plain, "i", "t", runs)
-    both = clean.withColumn(gone, F.lit(None).cast("array<struct<a:bigint,b:bigint>>")).unionByName(hit)
-    return _core.map_texts(both, make, "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string", ("i", gone), "t")
+    ddl = "doc_id long, n_lines long, n_removed long, removed string, text_sha256 string"
+    clean = clean.withColumn(gone, F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    return _core.map_texts(clean, make, ddl, ("i", gone), "t").union(_core.map_texts(hit, make, ddl, ("i", gone), "t", pressed=True))
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:

@@ -62,6 +62,7 @@ GROUP = 32
 BLOCK = 512  # classes of a cluster that meet as many others in one task
 SMALL = 16  # bands below this size sign single shingles only
 FLUSH_SIGNS = 1 << 19
+MOST_SEEN = 1 << 17
 
 _EDGES = [-(-(Fraction(5, 4) ** j).numerator // (Fraction(5, 4) ** j).denominator) for j in range(120)]
 _U = np.uint64
@@ -409,43 +410,45 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(g, c, l) of the groups whose classes lie in several components, written."""
-    schema = _core.arrow_schema("g long, c long")
-
-    def each(batches):
-        for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.frombuffer(x, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), g)), pa.array(c)], schema=schema)
-
-    own = groups.select("g", "x").mapInArrow(_core.tidy(each), "g long, c long")
-    own = _core.materialise(own.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").select("g", "c", F.coalesce("label", "c").alias("l")), "grouped")
-    some = own.groupBy("g").agg(F.min("l").alias("least"), F.max("l").alias("most")).filter("least < most").select("g")
-    out = _core.materialise(own.join(some, "g"), "mixed")
-    _core.discard(own)
-    return out
+def _stars(batches):
+    """(first class, class) of groups, each pair once as long as a task remembers it."""
+    schema, seen = pa.schema([("a", pa.int64()), ("b", pa.int64())]), set()
+    for batch in batches:
+        new = set()
+        for x in batch.column(0).to_pylist():
+            c = np.frombuffer(x, dtype=np.int64).tolist()
+            new.update(zip(itertools.repeat(c[0]), c[1:]))
+        new -= seen
+        if len(seen) > MOST_SEEN:
+            seen.clear()
+        seen |= new
+        yield _batch(list(new), schema)
 
 
 def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame | None:
     """Links still missing between classes of larger groups, None if there can be none.
 
-    Only groups that hold several components matter.  Those that share classes are taken
-    together, so no pair meets twice.  Of such a cluster, the classes outside its largest
+    Only groups that hold several components matter: their components are taken together, as
+    a cluster, so no pair meets twice.  Of a cluster, the classes outside its largest
     component meet all its classes, in blocks of BLOCK by BLOCK; of what meets, only links
     that join components are given out."""
-    mixed = _mixed(groups, labels)
-    if mixed.isEmpty():
-        _core.discard(mixed)
+    stars = groups.select("x").mapInArrow(_core.tidy(_stars), "a long, b long").distinct()
+    named = labels.select("node", F.col("label").alias("l"))
+    for end in ("a", "b"):
+        stars = stars.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("l", end)).drop("l")
+    apart = _core.materialise(stars.filter("a != b").distinct(), "apart")  # labels whose classes share a group
+    if apart.isEmpty():
+        _core.discard(apart)
         return None
-    first = mixed.groupBy("g").agg(F.min("c").alias("a"))
-    clusters = components(mixed.join(first, "g").filter("a != c").select("a", F.col("c").alias("b")))
-    own = clusters.select(F.col("node").alias("c"), F.col("label").alias("w")).join(mixed.select("c", "l").distinct(), "c").join(profiles, "c")
-    own = _core.materialise(own.select("w", "c", "n", "x", "l"), "clusters")
-    _core.discard(mixed)
+    joined = components(apart)
+    clusters = joined.select(F.col("node").alias("l"), F.col("label").alias("w"))
+    alone = clusters.join(labels.select(F.col("node").alias("l")), "l", "left_anti").select(F.col("l").alias("c"), "w", "l")
+    nodes = labels.select(F.col("node").alias("c"), F.col("label").alias("l")).join(clusters, "l").select("c", "w", "l").union(alone)
+    own = _core.materialise(nodes.join(profiles, "c").select("w", "c", "n", "x", "l"), "clusters")
+    _core.discard(apart, joined)
     sizes = own.groupBy("w", "l").agg(F.count("*").alias("k")).groupBy("w").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.max_by("l", F.struct("k", "l")).alias("main"))
     left = _core.materialise(own.join(sizes.filter("total > most"), "w"), "clusters")
-    _core.discard(clusters, own)
+    _core.discard(own)
     if left.isEmpty():
         _core.discard(left)
         return None

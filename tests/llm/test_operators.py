@@ -510,9 +510,9 @@ def test_line_hashes_that_stand_for_different_lines(make_docs, monkeypatch):
 
 
 def test_collisions_are_found(spark):
-    rows = [(1, 5, b"x"), (1, 5, b"y"), (1, -6, b"z"), (1, -6, b"z"), (0, 5, b"w"), (1, -7, b"u"), (1, -7, b"v")]
-    df = spark.createDataFrame([(k, h, bytearray(b)) for k, h, b in rows], "kind int, key long, body binary")
-    assert line_dedup._collisions(df, 6) == {5, (1 << 64) - 7}
+    lines = [(1, [(5, b"x"), (5, b"")]), (1, [(5, b"x")]), (2, [(-6, b"z"), (9, b"w")]), (2, [(-6, b"z")]), (3, [(-7, b"u")]), (3, [(-7, b"v")])]
+    df = spark.createDataFrame([(line_dedup.LINE, k, bytearray(line_dedup._pressed(own))) for k, own in lines] + [(line_dedup.CHUNK, 3, None)], "kind int, v long, body binary")
+    assert line_dedup._collisions(df) == {5, (1 << 64) - 7}
 
 
 def test_boundaries_resist_shifts():
