@@ -539,26 +539,34 @@ def test_long_lines_go_alone(make_docs):
     assert all(got[i] == t for i, t in copies[:3]) and got[23] == copies[3][1].split("\n")[1]
 
 
-def test_repeated_runs_go_to_their_edges(spark, make_docs, tmp_path):
-    """Planted passages of two to six lines between lines that differ, against all runs of lines."""
-    rng = random.Random(22)
-    line = lambda n: " ".join(f"u{rng.randrange(1 << 40)}" for _ in range(n))
-    passages = [[line(rng.choice((1, 4, 12, 30))) for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 6) for _ in range(3)]
-    rows = [(k, "\n".join([line(9), *p, line(9), "", *rng.choice(passages), line(rng.randrange(1, 9))])) for k, p in enumerate(passages * 3)]
-    rows += line_rows()
+def plain_runs(rows):
+    """What each document keeps, and whether it lost any line, by a dictionary of all runs of lines."""
     where = collections.defaultdict(set)
     for i, t in rows:
         lines = (t or "").split("\n")
         real = [k for k, x in enumerate(lines) if x.split()]
-        for a, b in ((a, b) for k, a in enumerate(real) for b in real[k + 1 :]):
+        for a, b in ((a, b) for k, a in enumerate(real) for b in real[k:]):
             run = "\n".join(lines[a : b + 1])
-            if len(run.split()) >= line_dedup.MIN_WORDS:
-                where[run].add(((i is not None, i or 0, t), a, b))
+            if len(run.split()) >= (line_dedup.MIN_WORDS if a < b else line_dedup.LONG_LINE):
+                where[run].add(((i is not None, i or 0, t), a, b, a == b and len(real) == 1))
     gone = collections.defaultdict(set)
     for places in where.values():
-        for doc, a, b in places - {min(places, key=lambda p: (p[0][:2], p[1]))}:
-            gone[doc].update(range(a, b + 1))
-    left = [(i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i is not None, i or 0, t])) for i, t in rows]
+        first = min(places, key=lambda p: (p[0][:2], p[1]))
+        for doc, a, b, alone in places - {first}:
+            if not (alone and doc[2] == first[0][2]):
+                gone[doc].update(range(a, b + 1))
+    own = [gone.get((i is not None, i or 0, t), ()) for i, t in rows]
+    return [(i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g), bool(g)) for (i, t), g in zip(rows, own)]
+
+
+def test_repeated_runs_go_to_their_edges(spark, make_docs, tmp_path):
+    """Planted passages of two to six lines between lines that differ, against all runs of lines."""
+    rng = random.Random(22)
+    line = lambda n: " ".join(f"u{rng.randrange(1 << 40)}" for _ in range(n))
+    passages = [[line(rng.choice((1, 4, 12, 30))) for _ in range(n)] for n in (2, 2, 2, 3, 3, 4, 5, 6) for _ in range(3)]
+    rows = [(k, "\n".join([line(9), *p, line(9), "", *rng.choice(passages), line(rng.randrange(1, 9))])) for k, p in enumerate(passages * 3)]
+    rows += line_rows()
+    left = [(i, text) for i, text, _ in plain_runs(rows)]
     want = sorted(((i, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t in left), key=key)
     assert rows_of(line_dedup.report(make_docs(rows), runs=True), "doc_id", "text_sha256") == want
     make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from folioscope.llm import shingle_join
 
 from .conftest import words
-from .test_operators import brute_hits, plain_dedup, windows_of
+from .test_operators import brute_hits, plain_runs, windows_of
 from .test_shingle_join import brute, edited
 
 
@@ -47,7 +47,7 @@ def test_stages(spark, tables):
     before, after = seen["language_id"]
     assert {r.doc_id for r in after} == {i for i, _ in before} - {0, 1, 2}
     before, after = seen["line_dedup"]
-    assert sorted((r.doc_id, r.text) for r in after) == sorted((i, t) for i, t, c in plain_dedup(before)[0] if not c or t.split())
+    assert sorted((r.doc_id, r.text) for r in after) == sorted((i, t) for i, t, c in plain_runs(before) if not c or t.split())
     before, after = seen["shingle_join"]
     assert {r.doc_id for r in after} == {i for _, i, _, c in brute(before) if i <= c}
     assert len(after) < len(before)
