@@ -15,7 +15,7 @@ from . import _core
 
 COUNTS = "bucket int, hashes binary, counts binary"
 LEVELS = "bucket int, levels binary"
-HELD_HASHES = 1 << 20
+HELD_HASHES = 1 << 19
 HELD_BITS = 24
 _U = np.uint64
 
