@@ -27,9 +27,9 @@ _TOGETHER = 4096
 _STEADY = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])*")
 _SPACE = b" \t\n\v\f\r"
 #: Chunks held by a worker before it starts anew; a bound on memory, not on results.
-HELD_CHUNKS = 1_000_000
-HELD_IDS = 6_000_000
-HELD_BYTES = 24 << 20
+HELD_CHUNKS = 500_000
+HELD_IDS = 2_000_000
+HELD_BYTES = 8 << 20
 
 
 class Encoder:
@@ -56,7 +56,7 @@ class Encoder:
         self.begin, self.size = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint32)
         self.ids, self.used = np.empty(1 << 18, dtype=np.uint32), 0
         self.raw, self.raw_used = np.empty(1 << 18, dtype=np.uint8), 0  # the bytes of the chunks held
-        self.raw_at, self.raw_size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.raw_at, self.raw_size = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
