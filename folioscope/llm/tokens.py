@@ -27,9 +27,9 @@ _TOGETHER = 4096
 _STEADY = re.compile(rb"(?:[\x00-\x7f]|\xc3[\x80-\xbf])*")
 _SPACE = b" \t\n\v\f\r"
 #: Chunks held by a worker before it starts anew; a bound on memory, not on results.
-HELD_CHUNKS = 500_000
-HELD_IDS = 2_000_000
-HELD_BYTES = 8 << 20
+HELD_CHUNKS = 750_000
+HELD_IDS = 3_000_000
+HELD_BYTES = 12 << 20
 
 
 class Encoder:
