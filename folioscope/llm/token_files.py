@@ -39,6 +39,7 @@ MAGIC = b"FTK1"
 HEAD = struct.Struct("<4sIQQQ")
 BLOCK_TOKENS = 1 << 17
 SHARD_BYTES = 64 << 20
+HELD_SHARE = 5 / 3  # of chunks a worker holds: nothing else takes its memory here
 END = 2
 
 BLOCKS = "shard long, block long, n_docs long, n_tokens long, start long, payload binary"
@@ -93,7 +94,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", t
 
     def run(batches):
         """One shard: its ids stay in memory until their frequencies are known."""
-        shard, encoder = TaskContext.get().partitionId() if TaskContext.get() else 0, tokens.encoder(vocabulary, False)
+        shard, encoder = TaskContext.get().partitionId() if TaskContext.get() else 0, tokens.encoder(vocabulary, False, HELD_SHARE)
         ids, counts, flat, total = [], [], [], np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in _core.slices(batch, "t"):

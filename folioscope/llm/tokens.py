@@ -34,15 +34,15 @@ HELD_BYTES = 12 << 20
 
 class Encoder:
     """ids of texts under a tokenizers file. spaced: a chunk takes in the white space
-    before it (byte-level vocabularies); else white space yields no ids."""
+    before it (byte-level vocabularies); else white space yields no ids.  share: of the bounds on what is held."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, share: float = 1.0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
+        self.spaced, self.share = spaced, share
         # the bytes that each id stands for: a byte-level vocabulary spells a byte as a character
         vocabulary = self.tokenizer.get_vocab()
         close = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
@@ -135,7 +135,7 @@ class Encoder:
             first = first + np.concatenate([[0], np.cumsum(tail)])
         hashes = _core.hash_runs(w.data, starts, ends)
         distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > HELD_CHUNKS or self.used > HELD_IDS or self.raw_used > HELD_BYTES:
+        if len(self.keys) + len(distinct) > HELD_CHUNKS * self.share or self.used > HELD_IDS * self.share or self.raw_used > HELD_BYTES * self.share:
             self._clear()
         slots = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), dtype=bool)
@@ -195,9 +195,9 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, share: float = 1.0) -> Encoder:
     """One for each worker process and vocabulary."""
     if (path, spaced) not in _encoders:
         _encoders.clear()
-        _encoders[path, spaced] = Encoder(path, spaced)
+        _encoders[path, spaced] = Encoder(path, spaced, share)
     return _encoders[path, spaced]
