@@ -3,7 +3,8 @@
 Natural words cost a byte-pair vocabulary few tokens: many characters share one
 token.  Random strings don't.  A candidate run of key characters whose ratio of
 characters to tokens is low is reported as a span of kind `rare`, unless it is a
-known digest or an identifier.  What has the look of a digest is taken for one, unless
+known digest or an identifier.  Random letters before a few digits have the look of an
+identifier, too: one without separators is taken for such only above JOINED_RATIO.  What has the look of a digest is taken for one, unless
 it is the value given to a name for a secret.  Of a run that is not reported, each part
 between separators that is long enough is judged by itself, as wordy text joined to a
 random string raises the ratio of both.  The three fixed patterns of the base come first
@@ -38,7 +39,7 @@ IDENTIFIER = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]+)(?:[_/+=-]+(?:[A-Za-z]+[
 #: A prefilter of ASSIGN: one of these is in every match, in lower case.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-MAX_RATIO = 2.2
+MAX_RATIO, JOINED_RATIO = 2.2, 1.6
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -55,11 +56,16 @@ def encoder(path: str):
 
 def is_random(s: str, path: str, max_ratio: float, named: bool = False) -> bool:
     """Whether a candidate mixes letters and digits, is no known digest (unless a name for a
-    secret stands before it) or identifier, and has at most max_ratio characters for each token."""
+    secret stands before it) or identifier, and has at most max_ratio characters for each token
+    (JOINED_RATIO, if it could be an identifier without separators)."""
     if s.isalpha() or s.isdigit() or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
         return False
-    if not named and DIGEST.fullmatch(s) or UUID.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    if not named and DIGEST.fullmatch(s) or UUID.fullmatch(s):
         return False
+    if IDENTIFIER.fullmatch(s):
+        if not s.isalnum():
+            return False
+        max_ratio = min(max_ratio, JOINED_RATIO)
     return len(s) <= max_ratio * len(encoder(path).encode_ordinary(s))
 
 

@@ -386,9 +386,12 @@ def plain_secrets(text, path, max_ratio=secret_scan.MAX_RATIO):
         if not any(x.isdigit() for x in s) or not any(x.isalpha() for x in s):
             return False
         digest = set(s.rstrip("=")) <= set("0123456789abcdef") and len(s.rstrip("=")) in (32, 40, 56, 64, 96, 128) or set(s.rstrip("=")) <= set("0123456789ABCDEF") and len(s.rstrip("=")) in (32, 40, 64)
-        if digest and not named or secret_scan.UUID.fullmatch(s) or secret_scan.IDENTIFIER.fullmatch(s):
+        if digest and not named or secret_scan.UUID.fullmatch(s):
             return False
-        return len(s) / len(encoding.encode_ordinary(s)) <= max_ratio
+        ratio = len(s) / len(encoding.encode_ordinary(s))
+        if secret_scan.IDENTIFIER.fullmatch(s):
+            return not set(s) & set("+/_=-") and ratio <= secret_scan.JOINED_RATIO
+        return ratio <= max_ratio
 
     found = []
     for a, z in stretches(good, 0, len(text)):
