@@ -119,6 +119,25 @@ def tidy_group(work, least_bytes: int = 1 << 22):
     return tidied
 
 
+def tidy_stream(work, least_bytes: int = 1 << 22):
+    """work, a generator over the batches of a group as they come, with a release() after each large group."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+
+        def counted():
+            nonlocal size
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+
+        yield from work(counted())
+        if size >= least_bytes:
+            release()
+
+    return tidied
+
+
 # ---------------------------------------------------------------- Arrow maps
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose `column` holds max_bytes at most (or one row)."""

@@ -40,6 +40,27 @@ def merged(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def summed(batches, hash_type, count_type) -> tuple[int, np.ndarray, np.ndarray]:
+    """The bucket of a group of (bucket, hashes, counts), its distinct hashes, sorted, and their
+    summed counts.  Rows are merged as they come, so what is held is about twice the distinct ones."""
+    bucket, held, counts, new, waiting = 0, np.empty(0, dtype=hash_type), np.empty(0, dtype=np.int64), [], 0
+
+    def fold():
+        h, c = np.concatenate([held, *(x for x, _ in new)]), np.concatenate([counts, *(y for _, y in new)])
+        new.clear()
+        return merged(h, c)
+
+    for batch in batches:
+        for bucket, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            new.append((np.frombuffer(x, dtype=hash_type), np.frombuffer(y, dtype=count_type)))
+            waiting += len(new[-1][0])
+            if waiting > max(HELD_HASHES, len(held)):
+                held, counts = fold()
+                waiting = 0
+    held, counts = fold()
+    return bucket, held, counts
+
+
 def levels(plain: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], least: tuple[int, int, int], bits: int, slot_bits: int) -> np.ndarray:
     """A table of two bits for each of 2**slot_bits slots of the hash, four to a byte: how
     many of `least` the most frequent hash of the slot reaches.  plain: (any, text);
@@ -63,18 +84,17 @@ def levels(plain: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], l
                     held, counts = held[:0], counts[:0]
         yield rows()
 
-    def level(table: pa.Table) -> pa.Table:
-        h, c = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(i).to_pylist()]) for i, kind in ((1, np.uint32), (2, np.uint16)))
-        h, c = merged(h, c.astype(np.int64))
+    def level(batches):
+        bucket, h, c = summed(batches, np.uint32, np.uint16)
         some = c >= least[0]
         slot = np.zeros(1 << low, dtype=np.uint8)
         np.maximum.at(slot, (h[some] >> np.uint32(32 - low)).astype(np.int64), np.searchsorted(least, c[some], "right").astype(np.uint8))
         packed = (slot.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(1).astype(np.uint8).tobytes()
-        return pa.table([pa.array([x], type=f.type) for x, f in zip((table.column(0)[0].as_py(), packed), out_schema)], schema=out_schema)
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((bucket, packed), out_schema)], schema=out_schema)
 
     out = np.zeros(1 << (slot_bits - 2), dtype=np.uint8)
     size = len(out) >> bits
-    for r in plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_group(level), LEVELS).collect():  # 2**slot_bits / 4 bytes in all
+    for r in plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_stream(level), LEVELS).collect():  # 2**slot_bits / 4 bytes in all
         out[r.bucket * size : (r.bucket + 1) * size] = np.frombuffer(r.levels, dtype=np.uint8)
     return out
 

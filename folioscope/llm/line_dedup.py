@@ -199,12 +199,12 @@ def _collisions(rows: DataFrame) -> frozenset:
     none, in practice."""
     schema = _core.arrow_schema("key long")
 
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(batches):
         seen: dict[int, bytes] = {}
-        out = {key for blob in table.column("body").to_pylist() for key, body in _unpressed(blob) if seen.setdefault(key, body) != body}
-        return pa.table([pa.array(sorted(out), type=pa.int64())], schema=schema)
+        out = {key for batch in batches for blob in batch.column(1) for key, body in _unpressed(blob.as_py()) if seen.setdefault(key, body) != body}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(out), type=pa.int64())], schema=schema)
 
-    found = rows.filter(F.col("kind") == LINE).select("v", "body").groupBy("v").applyInArrow(_core.tidy_group(compare), "key long").collect()
+    found = rows.filter(F.col("kind") == LINE).select("v", "body").groupBy("v").applyInArrow(_core.tidy_stream(compare), "key long").collect()
     return frozenset(r.key & (1 << 64) - 1 for r in found)
 
 
@@ -215,17 +215,18 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
     table = frequency.levels(plain.select("i", "t"), lambda: _hashes(runs), (2, 1 << 62, 1 << 62), bits, slot_bits)
     verdict_schema, gone_schema = (_core.arrow_schema(x) for x in (VERDICTS, GONE))
 
-    def judge(table: pa.Table) -> pa.Table:
+    def judge(batches):
         """One bucket of chunks: the first occurrence of each that is found more than once."""
         met: dict[tuple, list] = {}
-        for flush, v, key, body, doc, th, a, n in zip(*(table.column(k).to_pylist() for k in ("flush", "v", "key", "body", "doc", "th", "a", "n"))):
-            met.setdefault((key, body), []).append((doc is not None, doc or 0, th, a, flush, v, n))
+        for batch in batches:
+            for flush, v, key, body, doc, th, a, n in zip(*(batch.column(k).to_pylist() for k in ("flush", "v", "key", "body", "doc", "th", "a", "n"))):
+                met.setdefault((key, body), []).append((doc is not None, doc or 0, th, a, flush, v, n))
         out = []
         for rows in met.values():
             if len(rows) > 1 or rows[0][-1] > 1:
                 real, doc, th, a, *_ = min(rows)
                 out += [(flush, v, doc if real else None, th, a) for *_, flush, v, _ in rows]
-        return pa.table([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(verdict_schema)], schema=verdict_schema)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(verdict_schema)], schema=verdict_schema)
 
     rows = _chunk_rows(plain, table, slot_bits, bits, collided, runs)
     if more := _collisions(rows) - collided:
@@ -234,7 +235,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, slot_bits: int = SLOT_
     # a bucket gets one row a flush and chunk, however often that occurs; its places stay behind
     chunks = rows.filter(F.col("kind") == CHUNK)
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-    verdicts = chunks.select(bucket, "flush", "v", "key", "body", "doc", "th", "a", "n").groupBy("bucket").applyInArrow(_core.tidy_group(judge), VERDICTS)
+    verdicts = chunks.select(bucket, "flush", "v", "key", "body", "doc", "th", "a", "n").groupBy("bucket").applyInArrow(_core.tidy_stream(judge), VERDICTS)
     met = chunks.select("flush", "v", "places").join(verdicts, ["flush", "v"]).select("doc", "th", "a", "places")
 
     def others(batches):

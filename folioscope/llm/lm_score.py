@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _core
-from .frequency import COUNTS, bucket_bits, dealt, merged
+from .frequency import COUNTS, bucket_bits, dealt, merged, summed
 
 FOLDS, HELD_OUT = 10, 0
 COMMON = 1 << 17
 BYTE_SHARE = 1e-4
 END_SHARE = 2e-3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, ANSWER_BYTES = 8 << 20, 1 << 20
 MERGE_ENTRIES = 1 << 20
 FLOOR = 0.1  # the base's addition to every count
 
@@ -153,12 +153,11 @@ def count(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     hashes, counts = hashes[:0], counts[:0]
         yield rows(hashes, counts)
 
-    def merge(table: pa.Table) -> pa.Table:
-        h, c = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(i).to_pylist()]) for i, kind in ((1, np.uint64), (2, np.int64)))
-        h, c = merged(h, c)
-        return pa.table([pa.array([x], type=f.type) for x, f in zip((table.column(0)[0].as_py(), h.tobytes(), c.tobytes()), schema)], schema=schema)
+    def merge(batches):
+        bucket, h, c = summed(batches, np.uint64, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((bucket, h.tobytes(), c.tobytes()), schema)], schema=schema)
 
-    return plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_group(merge), COUNTS)
+    return plain.mapInArrow(_core.tidy(gather), COUNTS).groupBy("bucket").applyInArrow(_core.tidy_stream(merge), COUNTS)
 
 
 def summary(counts: DataFrame, common: int, bits: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -252,25 +251,28 @@ def score(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
         if ids:
             yield flush()
 
-    def answer(data: pa.Table) -> pa.Table:
-        """One bucket: its counts answer the requests; homes pass through."""
-        kind = data.column("kind").to_pylist()
-        own = [i for i, k in enumerate(kind) if k == COUNT]
-        h = np.frombuffer(data.column("a")[own[0]].as_py(), dtype=np.uint64) if own else np.empty(0, dtype=np.uint64)
-        c = np.frombuffer(data.column("b")[own[0]].as_py(), dtype=np.int64) if own else np.empty(0, dtype=np.int64)
-        out = []
-        for i, k in enumerate(kind):
-            bucket, _, block, part, a, b, log = (data.column(j)[i].as_py() for j in range(7)) if k != COUNT else [None] * 7
-            if k == REQUEST:
-                asked = np.frombuffer(a, dtype=np.uint64)
-                got = np.zeros(len(asked), dtype=np.int64)
-                if len(h):
-                    place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-                    got = np.where(h[place] == asked, c[place], 0)
-                out.append((bucket, k, block, part, got.astype(np.uint32 if got.max(initial=0) < 1 << 32 else np.uint64).tobytes(), b, log))
-            elif k == HOME:
+    def answer(batches):
+        """One bucket: its counts, which come first, answer the requests one by one; homes pass through."""
+        h, c, out, size = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, k, block, part, a, b, log = (batch.column(j)[i].as_py() for j in range(7))
+                if k == COUNT:
+                    h, c = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.int64)
+                    continue
+                if k == REQUEST:
+                    asked = np.frombuffer(a, dtype=np.uint64)
+                    got = np.zeros(len(asked), dtype=np.int64)
+                    if len(h):
+                        place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+                        got = np.where(h[place] == asked, c[place], 0)
+                    a = got.astype(np.uint32 if got.max(initial=0) < 1 << 32 else np.uint64).tobytes()
                 out.append((bucket, k, block, part, a, b, log))
-        return pa.Table.from_batches([table(out)], schema=schema)
+                size += len(a) + len(b) + len(log)
+                if size > ANSWER_BYTES:
+                    yield table(out)
+                    out, size = [], 0
+        yield table(out)
 
     def sum_up(data: pa.Table) -> pa.Table:
         """One block: its texts' figures with all that was answered."""
@@ -294,7 +296,9 @@ def score(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str =
     requests = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(_core.tidy(ask), MESSAGES)
     none = F.lit(None).cast("binary")
     known = counts.select("bucket", F.lit(COUNT).alias("kind"), F.lit(-1).cast("long").alias("block"), F.lit(-1).alias("part"), F.col("hashes").alias("a"), F.col("counts").alias("b"), none.alias("c"))
-    answered = requests.unionByName(known).groupBy("bucket").applyInArrow(_core.tidy_group(answer), MESSAGES)
+    # sorted by kind within a bucket, the counts first
+    dealt_out = requests.unionByName(known).repartition("bucket").sortWithinPartitions("bucket", F.col("kind").desc())
+    answered = dealt_out.groupBy("bucket").applyInArrow(_core.tidy_stream(answer), MESSAGES)
     return answered.groupBy("block").applyInArrow(_core.tidy_group(sum_up), ROWS)
 
 
