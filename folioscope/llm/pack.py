@@ -21,7 +21,7 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +84,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+KEPT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def cut(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity: int, max_piece: int, end: int) -> DataFrame:
@@ -113,21 +114,23 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """One row for each piece: where it lies in its document and in its sequence.
     Full windows have even sequence ids, packed ones odd."""
     pieces = _core.materialise(cut(docs, vocabulary, id_col, text_col, capacity, max_piece, end), "pieces")
-    whole = pieces.filter(F.col("length") == capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("piece") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.filter(F.col("length") == capacity).select(*KEPT, (F.col("piece") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)
     groups = max(1, round(rest.count() / group_pieces))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "piece"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sequence, offset = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
-        length = pdf["length"].to_numpy()
+    def one(table: pa.Table) -> pa.Table:
+        length, piece = (table.column(k).to_numpy() for k in ("length", "piece"))
+        order = np.lexsort((piece, -length))
+        table, length = table.take(order), length[order]
+        sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
         for k, members in enumerate(windows(length.tolist(), capacity)):
             sequence[members] = k
             offset[members] = np.cumsum(length[members]) - length[members]
-        return pdf.assign(sequence_id=(int(pdf["grp"].iloc[0]) << 24 | sequence) * 2 + 1, offset=offset)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        sequence = (table.column("grp")[0].as_py() << 24 | sequence) * 2 + 1
+        return table.select(KEPT).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     dealt = rest.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(groups)))
-    return whole.unionByName(dealt.groupBy("grp").applyInPandas(one, PACKED))
+    return whole.unionByName(dealt.groupBy("grp").applyInArrow(_core.tidy_group(one), PACKED))
 
 
 def op1_pack(spark, sf_dir) -> DataFrame:
