@@ -7,6 +7,7 @@ operators.raster; these are for statistics and for checking those.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -90,7 +91,7 @@ def components(pixels: DataFrame) -> DataFrame:
     spark = pixels.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         held = spark.conf.get("spark.checkpoint.dir", "")
-        if not held and not spark.sparkContext.master.startswith("local"):
+        if not held and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(held or tempfile.mkdtemp(prefix="folioscope-"))
     p = pixels.filter("v > 0").select("image_id", "x", "y", (F.col("y").cast("long") * F.lit(1 << 32) + F.col("x")).alias("label"))
