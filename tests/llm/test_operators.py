@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,24 @@ def test_levels(spark, make_docs):
     assert frequency.level_of(table, 20, h).tolist() == [3, 2, 0]
 
 
+@pytest.mark.parametrize("held", [1, 16, 1 << 19])
+def test_counts_summed_as_they_come(spark, monkeypatch, held):
+    """Rows of a bucket are merged at any time, with the same result."""
+    monkeypatch.setattr(frequency, "HELD_HASHES", held)
+    rng = np.random.default_rng(5)
+    batches, want = [], collections.Counter()
+    for n in (3, 0, 1, 5):
+        rows = [(np.unique(rng.integers(0, 60, rng.integers(0, 20), dtype=np.uint64)), 0) for _ in range(n)]
+        rows = [(h, rng.integers(1, 9, len(h), dtype=np.int64)) for h, _ in rows]
+        for h, c in rows:
+            want.update(dict(zip(h.tolist(), c.tolist())))
+        schema = _core.arrow_schema(frequency.COUNTS)
+        columns = ([7] * n, [h.tobytes() for h, _ in rows], [c.tobytes() for _, c in rows])
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, schema)], schema=schema))
+    bucket, h, c = frequency.summed(iter(batches), np.uint64, np.int64)
+    assert bucket == 7 and h.tolist() == sorted(want) and dict(zip(h.tolist(), c.tolist())) == want
+
+
 # ---------------------------------------------------------------- 1 and 8
 def library(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
@@ -777,8 +796,9 @@ def test_lattice_against_recursion():
     assert math.isclose(sum(np.exp(net.logs)) + lm_score.BYTE_SHARE + lm_score.END_SHARE, 1)
 
 
-@pytest.mark.parametrize("common", [1 << 17, 8])
-def test_lm(make_docs, mixed_rows, common):
+@pytest.mark.parametrize(("common", "answer_bytes"), [(1 << 17, 1 << 20), (8, 1 << 20), (8, 1)])
+def test_lm(make_docs, mixed_rows, monkeypatch, common, answer_bytes):
+    monkeypatch.setattr(lm_score, "ANSWER_BYTES", answer_bytes)
     rows = [r[:2] for r in mixed_rows]
     tok = [[*SOLID.findall(lowered(t)), "\0end"] for _, t in rows]
     train = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 != 0 for i, _ in rows]
