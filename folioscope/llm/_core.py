@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructField, StructType
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 
 
 # ---------------------------------------------------------------- tables
@@ -138,6 +138,14 @@ def tidy_stream(work, least_bytes: int = 1 << 22):
     return tidied
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lets batches for Python workers hold `most` bytes at most (a setting of the session, kept
+    where it is less): each task holds them twice beside the heap, and its worker once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > most:
+        spark.conf.set(key, str(most))
+
+
 # ---------------------------------------------------------------- Arrow maps
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose `column` holds max_bytes at most (or one row)."""
