@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _core, frequency
-from .components import components
+from .components import FOREST_NODES, components
 from .frequency import bucket_bits, dealt
 
 WIDTH = 5
@@ -62,7 +62,6 @@ GROUP = 32
 BLOCK = 512  # classes of a cluster that meet as many others in one task
 SMALL = 16  # bands below this size sign single shingles only
 FLUSH_SIGNS = 1 << 19
-MOST_SEEN = 1 << 17
 
 _EDGES = [-(-(Fraction(5, 4) ** j).numerator // (Fraction(5, 4) ** j).denominator) for j in range(120)]
 _U = np.uint64
@@ -410,19 +409,53 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _stars(batches):
-    """(first class, class) of groups, each pair once as long as a task remembers it."""
-    schema, seen = pa.schema([("a", pa.int64()), ("b", pa.int64())]), set()
+TREES = "first long, x binary"
+
+
+def _trees(batches):
+    """Groups that share classes taken together, as far as a task sees: one row a tree, its least class and all."""
+    schema, of, trees = pa.schema([("first", pa.int64()), ("x", pa.binary())]), {}, {}
+
+    def flush():
+        rows = [(int(c.min()), c.tobytes()) for c in (np.array(tree, dtype=np.int64) for tree in trees.values())]
+        of.clear()
+        trees.clear()
+        return _batch(rows, schema)
+
     for batch in batches:
-        new = set()
         for x in batch.column(0).to_pylist():
             c = np.frombuffer(x, dtype=np.int64).tolist()
-            new.update(zip(itertools.repeat(c[0]), c[1:]))
-        new -= seen
-        if len(seen) > MOST_SEEN:
-            seen.clear()
-        seen |= new
-        yield _batch(list(new), schema)
+            met = set(map(of.get, c))
+            if len(met) > 1 or None in met:
+                met.discard(None)
+                root = max(met, key=lambda r: len(trees[r]), default=c[0])
+                new = [v for v in c if v not in of]
+                for r in met - {root}:  # smaller trees go to the largest
+                    new += trees.pop(r)
+                of.update(zip(new, itertools.repeat(root)))
+                trees.setdefault(root, []).extend(new)
+                if len(of) > FOREST_NODES:
+                    yield flush()
+    yield flush()
+
+
+def _stars(batches):
+    """(first class, class) of trees in order of their first class, each pair once."""
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for first, own in itertools.groupby(rows, lambda row: row[0]):
+        held = np.empty(0, dtype=np.int64)
+        for _, x in own:
+            held = np.union1d(held, np.frombuffer(x, dtype=np.int64))
+        held = held[held != first]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), first, dtype=np.int64)), pa.array(held)], names=["a", "b"])
+
+
+def gathered(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes by which all classes of a group, and of groups that share one, are
+    connected.  A task gives one row a tree whatever its size.  Trees of one cluster mostly
+    have the same least class and meet by it, so there are about as many pairs as classes."""
+    trees = groups.select("x").mapInArrow(_core.tidy(_trees), TREES).repartition("first").sortWithinPartitions("first")
+    return trees.mapInArrow(_core.tidy(_stars), "a long, b long")
 
 
 def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: DataFrame) -> DataFrame | None:
@@ -432,7 +465,7 @@ def settle(groups: DataFrame, labels: DataFrame, profiles: DataFrame, plain: Dat
     a cluster, so no pair meets twice.  Of a cluster, the classes outside its largest
     component meet all its classes, in blocks of BLOCK by BLOCK; of what meets, only links
     that join components are given out."""
-    stars = groups.select("x").mapInArrow(_core.tidy(_stars), "a long, b long").distinct()
+    stars = gathered(groups)
     named = labels.select("node", F.col("label").alias("l"))
     for end in ("a", "b"):
         stars = stars.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("l", end)).drop("l")

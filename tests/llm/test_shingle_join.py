@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import components as C
@@ -64,6 +65,59 @@ def test_large_group_of_near_copies(make_docs, monkeypatch):
     assert found(S.join(docs)) == want
 
 
+def test_rows_of_a_large_group_of_near_copies(spark, make_docs, monkeypatch):
+    """Over many tasks no stage in Python gives out rows by the square of the group, and no link is lost."""
+    rng, made = random.Random(14), {}
+    base = [f"b{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(rng, base, 1 + rng.randrange(8)))) for k in range(400)]
+    plain = S._core.tidy
+
+    def counting(run):
+        n = made.setdefault(run.__qualname__, spark.sparkContext.accumulator(0))
+        inner = plain(run)
+
+        def counted(batches):
+            for batch in inner(batches):
+                n.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(S._core, "tidy", counting)
+    new = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, value)
+    try:
+        assert found(S.join(make_docs(rows))) == brute(rows)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    counts = {name: n.value for name, n in made.items()}
+    assert counts["_stars"] and max(counts.values()) <= 8 * len(rows), counts
+
+
+@pytest.mark.parametrize("most", [8, 1 << 18])
+def test_trees_connect_what_groups_do(monkeypatch, most):
+    """However often a task gives out its trees."""
+    monkeypatch.setattr(S, "FOREST_NODES", most)
+    rng = random.Random(most)
+    groups = [sorted(100 * k + v for v in rng.sample(range(30), rng.randrange(3, 9))) for k in range(20) for _ in range(6)]
+    rng.shuffle(groups)
+    batches = [pa.RecordBatch.from_arrays([pa.array([np.array(g, dtype=np.int64).tobytes() for g in groups[a : a + 7]])], names=["x"]) for a in range(0, len(groups), 7)]
+    trees = sorted((t["first"], t["x"]) for b in S._trees(iter(batches)) for t in b.to_pylist())
+    assert most == 8 or len({v for _, x in trees for v in np.frombuffer(x, dtype=np.int64).tolist()}) == sum(len(x) // 8 for _, x in trees)
+    a, b = C.Forest(), C.Forest()
+    for g in groups:
+        for v in g:
+            a.join(g[0], v)
+    for rows in S._stars([pa.RecordBatch.from_arrays([pa.array([t[0] for t in trees]), pa.array([t[1] for t in trees])], names=["first", "x"])]):
+        for x in rows.to_pylist():
+            b.join(x["a"], x["b"])
+    nodes = {v for g in groups for v in g}
+    assert {v: a.root(v) for v in nodes} == {v: b.root(v) for v in nodes}
+
+
 def test_empty_table_and_clashing_columns(make_docs):
     docs = make_docs([])
     assert S.join(docs).collect() == []
