@@ -27,7 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated runs of lines, to their edges, repeated long lines, and documents of which nothing is left."""
+    """Drops repeated content-defined chunks of lines, the rest of repeated runs up to their edges,
+    repeated long lines, and documents of which nothing is left."""
     _core.small_batches(spark)
     return line_dedup.remove(docs, runs=True)
 

@@ -1,4 +1,4 @@
-"""Line dedup by runs or content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by runs up to the edges of passages.
 
 A rolling hash runs over the hashes of a document's lines (those with a word); a
 chunk begins where it is divisible by a small number.  Where a chunk begins thus
@@ -8,9 +8,9 @@ divisor, are made side by side.  A chunk counts if it has at least two lines and
 min_words words; a line of LONG_LINE words or more counts by itself, too.
 
 A chunk's ends depend on the lines next to it, so chunks miss edges of passages, and
-short passages whole.  With runs=True the shortest runs of that size count instead, one
+short passages whole.  With runs=True the shortest runs of that size count beside them, one
 from every line on and one up to every line: they cover every repeated run of lines
-that is large enough, to its edges, and so all that chunks find.
+that is large enough, to its edges.
 
 Chunks are counted over all documents by hash, in a table of fixed size; those that
 may repeat are compared by the hashes of all their lines.  Tasks send the bytes of
@@ -105,8 +105,12 @@ class Lines:
         return _core.hash_runs(self.data, self.starts[begin], self.ends[last]), begin, last
 
     def counted(self, runs: bool = False):
-        """(key, first line, last line) of all that counts: chunks or shortest runs, and long lines."""
-        yield from [self.shortest()] if runs else self.chunks()
+        """(key, first line, last line), each once, of all that counts: chunks, if asked for shortest runs, and long lines."""
+        found = [*self.chunks(), *([self.shortest()] if runs else [])]
+        if found:
+            key, begin, last = (np.concatenate(x) for x in zip(*found))
+            one = np.unique(begin * len(self.hash) + last, return_index=True)[1]  # divisions and runs have some in common
+            yield key[one], begin[one], last[one]
         long = np.flatnonzero(self.words >= LONG_LINE)
         yield self.hash[long], long, long
 
@@ -279,7 +283,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> tuple[Da
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """docs without repeated chunks, or runs; a document that loses its last word goes."""
+    """docs without repeated chunks, and runs if asked for; a document that loses its last word goes."""
 
     def make():
         def work(cols, texts):
